@@ -145,3 +145,9 @@ def steady_sum(c: Column, digits: int = 2) -> Column:
 def steady_mean(c: Column, digits: int = 2) -> Column:
     """Mean over a settled sum; null for no values."""
     return F.try_divide(F.round(F.sum(c), digits), F.count(c))
+
+
+def half_up(c: Column, digits: int) -> Column:
+    """Round half up on the double itself."""
+    scale = float(10**digits)
+    return F.floor(c * scale + 0.5) / F.lit(scale)

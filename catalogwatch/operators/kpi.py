@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from catalogwatch.functions.values import (
     fields_of,
     first_parsed_number,
+    half_up,
     percent,
     ratio,
     steady_mean,
@@ -234,7 +235,7 @@ def variation_summary(variations: DataFrame, by: str) -> DataFrame:
         F.sum("_n").alias("total_variations"),
         F.sum("_in").alias("in_stock_count"),
         (F.sum("_n") - F.sum("_in")).alias("out_of_stock_count"),
-        F.round(ratio(F.round(F.sum("_sum"), 2), F.sum("_priced")), 2).alias("average_price"),
+        half_up(ratio(F.round(F.sum("_sum"), 2), F.sum("_priced")), 2).alias("average_price"),
         F.coalesce(F.min("_min"), zero).alias("min_price"),
         F.coalesce(F.max("_max"), zero).alias("max_price"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("_type", "_n")))).alias("type_distribution"),

@@ -303,7 +303,7 @@ def top_stock_value(spark, d):
     "variation_summary",
     f"""WITH {VARIATIONS}, s AS (
       SELECT pk, count(*) AS total_variations, count(*) FILTER (WHERE stock > 0) AS in_stock_count,
-        count(*) - count(*) FILTER (WHERE stock > 0) AS out_of_stock_count, round(round(sum(price), 2) / count(price), 2) AS average_price,
+        count(*) - count(*) FILTER (WHERE stock > 0) AS out_of_stock_count, floor(round(sum(price), 2) / count(price) * 100 + 0.5) / 100 AS average_price,
         min(price) AS min_price, max(price) AS max_price FROM variations GROUP BY pk),
     t AS (SELECT pk, string_agg(type || '=' || n, ',' ORDER BY type) AS types
       FROM (SELECT pk, type, count(*) AS n FROM variations GROUP BY pk, type) GROUP BY pk)
@@ -318,15 +318,14 @@ def variation_summary(spark, d):
 
 @query(
     "variation_types",
-    f"""WITH {VARIATIONS} SELECT pk, type, count(*) AS n, round(round(sum(price), 2) / count(price), 4) AS avg_price, min(price) AS min_price,
-      max(price) AS max_price, sum(stock) AS total_stock, round(round(sum(stock), 2) / count(stock), 4) AS avg_stock,
-      round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY pk), 4) AS share_pct
+    f"""WITH {VARIATIONS} SELECT pk, type, count(*) AS n, round(sum(price), 2) / count(price) AS avg_price, min(price) AS min_price,
+      max(price) AS max_price, sum(stock) AS total_stock, round(sum(stock), 2) / count(stock) AS avg_stock,
+      (count(*) * 100.0::DOUBLE) / (sum(count(*)) OVER (PARTITION BY pk))::DOUBLE AS share_pct
     FROM variations GROUP BY pk, type""",
 )
 def variation_types(spark, d):
     """Share, price and stock per product and variation type."""
-    out = kpi.variation_types(variations(spark, d), "pk")
-    return out.withColumns({c: F.round(c, 4) for c in ("avg_price", "avg_stock", "share_pct")})
+    return kpi.variation_types(variations(spark, d), "pk")
 
 
 @query(
@@ -336,7 +335,7 @@ def variation_types(spark, d):
       FROM variations GROUP BY pk)
     SELECT pk, p.price AS base_price, p.stock AS base_stock, coalesce(n, 0) AS variation_count,
       coalesce(n, 0) > 0 AS has_variations, lo AS min_variation_price, hi AS max_variation_price,
-      round(mean, 4) AS avg_variation_price, st AS total_variation_stock, round(ms, 4) AS avg_variation_stock
+      mean AS avg_variation_price, st AS total_variation_stock, ms AS avg_variation_stock
     FROM products p LEFT JOIN r USING (pk)""",
 )
 def product_statistics(spark, d):
@@ -345,8 +344,7 @@ def product_statistics(spark, d):
     return out.select(
         "pk", F.col("price").alias("base_price"), F.col("stock").alias("base_stock"), "variation_count",
         "has_variations", "min_variation_price", "max_variation_price",
-        F.round("avg_variation_price", 4).alias("avg_variation_price"), "total_variation_stock",
-        F.round("avg_variation_stock", 4).alias("avg_variation_stock"),
+        "avg_variation_price", "total_variation_stock", "avg_variation_stock",
     )
 
 

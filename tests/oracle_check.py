@@ -112,9 +112,9 @@ def main(argv):
         took = time.time() - start
         if why:
             failed += 1
-            print(f"FAIL {n} ({took:.1f}s): {why}", flush=True)
+            print(f"\nFAIL {n} ({took:.1f}s): {why}", flush=True)
         else:
-            print(f"ok   {n} ({took:.1f}s){'' if n in sqls else ' rows only'}", flush=True)
+            print(f"\nok   {n} ({took:.1f}s){'' if n in sqls else ' rows only'}", flush=True)
     print(f"{len(names) - failed} of {len(names)} ok")
     return 1 if failed else 0
 
