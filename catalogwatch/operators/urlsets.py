@@ -174,13 +174,19 @@ def dense_index(df: DataFrame, order: list[str], bucket: Column, name: str = "in
     return out.withColumn(name, F.col("_start") + F.col("_i")).drop("_b", "_i", "_start")
 
 
-def assign_batches(indexed: DataFrame, size: int, offset: int = 0, max_batches: int | None = None, index: str = "index") -> DataFrame:
-    """Batch number and label for indexed rows, skipping ``offset`` rows."""
-    i = F.col(index) - offset
-    out = indexed.where(i >= 0).withColumn("batch", (F.floor(i / size) + 1).cast("int"))
-    if max_batches is not None:
-        out = out.where(F.col("batch") <= max_batches)
-    return out.withColumn("label", F.concat(F.lit("batch-"), F.lpad(F.col("batch").cast("string"), 3, "0")))
+def assign_batches(indexed: DataFrame, size: int, offset: int = 0, max_batches: int = 0, index: str = "index") -> DataFrame:
+    """Batch number and label for indexed rows; ``offset`` and ``max_batches`` count batches (0 = no limit).
+
+    Without a batch size everything is one ``full-catalog`` batch.
+    """
+    if size <= 0:
+        return indexed.withColumns({"batch": F.lit(0), "label": F.lit("full-catalog")})
+    out = indexed.withColumn("batch", (F.floor(F.col(index) / size) + 1).cast("int")).where(F.col("batch") > max(offset, 0))
+    if max_batches > 0:
+        out = out.where(F.col("batch") <= max(offset, 0) + max_batches)
+    number = F.col("batch").cast("string")
+    padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
+    return out.withColumn("label", F.concat(F.lit("batch-"), padded))
 
 
 def cache_outputs(urls: DataFrame) -> tuple[DataFrame, DataFrame]:

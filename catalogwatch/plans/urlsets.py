@@ -281,15 +281,15 @@ def seeded_sample(spark, d):
 
 @query(
     "url_batches",
-    """WITH i AS (SELECT p_partkey, 'https://s.example.com/' || p_partkey AS url, row_number() OVER (ORDER BY p_partkey) - 1 AS index FROM part)
-    SELECT p_partkey, index, CAST((index - 10) // 64 + 1 AS INTEGER) AS batch, 'batch-' || lpad(CAST((index - 10) // 64 + 1 AS VARCHAR), 3, '0') AS label
-    FROM i WHERE index >= 10 AND (index - 10) // 64 + 1 <= 25""",
+    """WITH i AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS index FROM part)
+    SELECT p_partkey, index, CAST(index // 64 + 1 AS INTEGER) AS batch, 'batch-' || lpad(CAST(index // 64 + 1 AS VARCHAR), 3, '0') AS label
+    FROM i WHERE index // 64 + 1 > 2 AND index // 64 + 1 <= 27""",
 )
 def url_batches(spark, d):
     """Numbered URLs cut into labelled batches."""
     p = table(spark, d, "part").select("p_partkey")
     indexed = us.dense_index(p, ["p_partkey"], F.floor(F.col("p_partkey") / 4096))
-    return us.assign_batches(indexed, 64, offset=10, max_batches=25)
+    return us.assign_batches(indexed, 64, offset=2, max_batches=25)
 
 
 @query(
