@@ -15,6 +15,7 @@ from catalogwatch.functions.values import (
     first_parsed_number,
     first_text,
     has_value,
+    let,
     strip,
     struct_fields,
     to_number,
@@ -45,14 +46,15 @@ MAX_PARSED_STOCK = 10000
 
 
 def clean_price(c: Column) -> Column:
-    """Price from display text; a comma is a decimal mark only when no dot is there."""
+    """Price from display text; a comma is a decimal mark only when no dot is there.
+
+    A chain of three replacements: signs and blanks out, a single closing decimal comma to a dot,
+    then the commas of a text without any dot out.
+    """
     t = F.regexp_replace(c, r"[€$£¥₽\s]", "")
-    t = (
-        F.when(t.contains("."), t)
-        .when(t.rlike(r"^[^,]*,\d{0,2}$") & t.rlike(r",\d{1,2}$"), F.replace(t, F.lit(","), F.lit(".")))
-        .otherwise(F.replace(t, F.lit(","), F.lit("")))
-    )
-    n = F.nullif(F.regexp_extract(t, r"\d+(?:\.\d{1,2})?", 0), F.lit("")).try_cast("double")
+    t = F.regexp_replace(t, r"^([^.,]*),(\d{1,2})$", "$1.$2")
+    t = F.regexp_replace(t, r"\G([^.,]*),(?=[^.]*$)", "$1")
+    n = F.regexp_extract(t, r"\d+(?:\.\d{1,2})?", 0).try_cast("double")
     return F.when(n <= MAX_PRICE, n)
 
 
@@ -62,15 +64,18 @@ def parse_stock(c: Column, strict: bool = False) -> Column:
     The default order tests the positive phrases first, so a negative phrase that
     contains a positive one reads as available; ``strict`` tests negatives first.
     """
-    t = strip(F.lower(c))
-    digits = F.nullif(F.regexp_extract(t, r"\d+", 0), F.lit("")).try_cast("bigint")
-    positive = contains_any(t, AVAILABLE_PHRASES)
-    negative = contains_any(t, MISSING_PHRASES)
-    rungs = [(negative, 0), (positive, UNKNOWN_QUANTITY)] if strict else [(positive, UNKNOWN_QUANTITY), (negative, 0)]
-    out = F.when(t == "", F.lit(None)).when(digits.between(0, MAX_PARSED_STOCK), digits)
-    for cond, value in [*rungs, (contains_any(t, UNLIMITED_PHRASES), UNKNOWN_QUANTITY)]:
-        out = out.when(cond, F.lit(value))
-    return out.cast("int")
+
+    def read(t: Column) -> Column:
+        digits = F.regexp_extract(t, r"\d+", 0).try_cast("bigint")
+        positive = (contains_any(t, AVAILABLE_PHRASES), UNKNOWN_QUANTITY)
+        negative = (contains_any(t, MISSING_PHRASES), 0)
+        rungs = [negative, positive] if strict else [positive, negative]
+        out = F.when(t == "", F.lit(None)).when(digits.between(0, MAX_PARSED_STOCK), digits)
+        for cond, value in [*rungs, (contains_any(t, UNLIMITED_PHRASES), UNKNOWN_QUANTITY)]:
+            out = out.when(cond, F.lit(value))
+        return out.cast("int")
+
+    return let(strip(F.lower(c)), read)
 
 
 def price_of(fields: Fields) -> Column:

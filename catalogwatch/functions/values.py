@@ -113,6 +113,15 @@ def to_number_lenient(c: Column) -> Column:
     return F.nullif(F.regexp_extract(t, NUMBER_PREFIX, 0), F.lit("")).try_cast("double")
 
 
+def let(c: Column, fn) -> Column:
+    """Evaluate ``c`` once and use it many times inside ``fn``.
+
+    A column used n times in an expression is n copies in the plan; this binds it as the variable
+    of a one-element array. For heavy text expressions only, as it leaves generated code.
+    """
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
 def any_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds) if conds else F.lit(False)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalogwatch.functions.values import strip, to_number
 from catalogwatch.operators.catalogue import keep_last
@@ -30,7 +31,7 @@ def _changed(field: str, normalise: bool) -> Column:
     """Null-safe inequality; blank text equals no text."""
     a, b = F.col(f"p.{field}"), F.col(f"c.{field}")
     if field == "price":
-        a, b = to_number(a), to_number(b)
+        # both sides are doubles already (see _paired)
         if normalise:
             a, b = F.round(a, 2), F.round(b, 2)
     else:
@@ -40,12 +41,21 @@ def _changed(field: str, normalise: bool) -> Column:
     return ~a.eqNullSafe(b)
 
 
+def _side_column(df: DataFrame, name: str) -> Column:
+    """Column of a snapshot with its compared type; text prices are parsed, numeric ones pass as they are."""
+    if name not in df.columns:
+        return F.lit(None).cast("string").alias(name)
+    if name in ("price", "stock"):
+        numeric = isinstance(df.schema[name].dataType, T.NumericType)
+        return (F.col(name).cast("double") if numeric else to_number(F.col(name))).alias(name)
+    return F.col(name)
+
+
 def _paired(prev: DataFrame, curr: DataFrame, order) -> DataFrame:
     """Full outer join of the last row per URL, each side a struct."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        have = set(df.columns)
-        cols = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in SIDE_COLUMNS]
+        cols = [_side_column(df, c) for c in SIDE_COLUMNS]
         return latest_per_url(df, order).select("url", F.struct(*cols).alias(name))
 
     return side(prev, "p").join(side(curr, "c"), "url", "full_outer")
@@ -92,8 +102,8 @@ def wide_diff(prev: DataFrame, curr: DataFrame, order, normalise: bool = False)
         "url",
         kind.alias("change_type"),
         F.when(F.col("p").isNotNull() & F.col("c").isNotNull(), F.array_join(changed, ";")).alias("fields_changed"),
-        F.round(to_number(F.col("c.price")) - to_number(F.col("p.price")), 2).alias("price_delta"),
-        F.round(to_number(F.col("c.stock")) - to_number(F.col("p.stock")), 3).alias("stock_delta"),
+        F.round(F.col("c.price") - F.col("p.price"), 2).alias("price_delta"),
+        F.round(F.col("c.stock").cast("double") - F.col("p.stock").cast("double"), 3).alias("stock_delta"),
     )
 
 
