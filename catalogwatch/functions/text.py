@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from catalogwatch.functions.values import let
+
 # Longest text kept per field.
 FIELD_LIMITS = {"title": 512, "meta_description": 1024, "image_alt": 512, "diff_title": 200}
 DISPLAY_ZONE = "Europe/Moscow"
@@ -49,27 +51,22 @@ def browser_version(agent: Column) -> Column:
     return F.coalesce(F.coalesce(*parts).try_cast("int"), F.lit(0))
 
 
-def normalised_entropy(rows: DataFrame, key: str, text: str) -> DataFrame:
+def normalised_entropy(text: Column) -> Column:
     """Shannon entropy of the characters over its maximum, 0 for texts under ten characters.
 
-    Characters are counted with a partial aggregate per (row, character), so a long text is spread
-    over the shuffle as at most one row per distinct character.
+    Counted inside the row: for each distinct character, how much shorter the text gets without it.
     """
-    t = rows.select(key, F.lower(F.regexp_replace(F.regexp_replace(F.col(text), r"(?U)\s+", " "), r"^ | $", "")).alias("_t"))
-    counted = (
-        t.where(F.length("_t") >= 10)
-        .select(key, F.explode(F.split("_t", "")).alias("_c"))
-        .where(F.col("_c") != "")
-        .groupBy(key, "_c")
-        .agg(F.count("*").alias("_n"))
-    )
-    # H = log2(N) - sum(n log2 n) / N needs no second pass for N
-    a = counted.groupBy(key).agg(
-        F.sum("_n").alias("_all"), F.sum(F.col("_n") * F.log2("_n")).alias("_s"), F.count("*").alias("_k")
-    )
-    h = F.log2("_all") - F.col("_s") / F.col("_all")
-    top = F.log2(F.least(F.lit(256), F.col("_k")))
-    e = F.when(top > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), h / top))).otherwise(F.lit(0.0))
-    return rows.select(key).join(a.select(key, e.alias("_e")), key, "left").select(
-        key, F.round(F.coalesce("_e", F.lit(0.0)), 6).alias("entropy")
-    )
+
+    def counts(t: Column) -> Column:
+        kinds = F.array_distinct(F.split(t, ""))
+        return F.filter(F.transform(kinds, lambda ch: F.length(t) - F.length(F.replace(t, ch, F.lit("")))), lambda n: n > 0)
+
+    def entropy(n: Column) -> Column:
+        size = F.aggregate(n, F.lit(0), lambda a, x: a + x)
+        weighted = F.aggregate(n, F.lit(0.0), lambda a, x: a + x * F.log2(x))
+        # H = log2(N) - sum(n log2 n) / N
+        value = (F.log2(size) - weighted / size) / F.log2(F.least(F.lit(256), F.size(n)))
+        return F.when((size >= 10) & (F.size(n) > 1), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))).otherwise(0.0)
+
+    t = F.lower(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", ""))
+    return F.coalesce(let(let(t, counts), entropy), F.lit(0.0))

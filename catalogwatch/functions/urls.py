@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from catalogwatch.functions.values import any_of, contains_any, strip
+from catalogwatch.functions.values import any_of, contains_any, let, strip
 
 # Address marks of a product page.
 PRODUCT_MARKS = ("/product/", "/item/", "/goods/", "?id=", "/p/", "/shop/")
@@ -140,9 +140,12 @@ def is_page_type(content_type: Column, allowed=PAGE_TYPES) -> Column:
 
 def canonical_proxy(c: Column) -> Column:
     """``scheme://netloc`` with ``https`` as the default scheme; null when there is no host."""
-    t = strip(c)
-    full = F.when(t.contains("://"), t).otherwise(F.concat(F.lit("https://"), t))
-    return F.when((t != "") & host_of(full).isNotNull(), F.concat(scheme_of(full), F.lit("://"), netloc_of(full)))
+    full = F.regexp_replace(strip(c), r"^(?![\s\S]*://)(?=[\s\S])", "https://")
+    address = F.regexp_extract(full, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?[^:@/?#][^/?#]*", 0)
+    return let(
+        F.nullif(address, F.lit("")),
+        lambda a: F.concat(F.lower(F.substring_index(a, "://", 1)), F.lit("://"), F.substring_index(a, "://", -1)),
+    )
 
 
 def country_of_host(host: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalogwatch.functions.values import ratio
 from catalogwatch.operators.timeline import (
     HOUR,
+    MINUTE,
     RunningLast,
     RunningMax,
     RunningSum,
@@ -18,19 +19,18 @@ from catalogwatch.operators.timeline import (
     trailing_time,
 )
 
-DAY = 24 * HOUR
 RECENT = 50
 
 
 def recent_latency(log: DataFrame, key, us: str, tie: str, success: Column, latency: str, rows: int = RECENT,
-                   width: float = DAY) -> DataFrame:
+                   width: float = MINUTE) -> DataFrame:
     """Mean of the last ``rows`` successful latencies at each success."""
     ok = log.where(success)
     out = trailing_rows(ok, key, us, tie, rows, {"_s": F.sum(latency), "_n": F.count(latency)}, width=width)
     return out.withColumn("recent_latency", F.round(F.col("_s"), 2) / F.col("_n")).drop("_s", "_n")
 
 
-def outcome_streaks(log: DataFrame, key, us: str, tie: str, success: Column, width: float = DAY) -> DataFrame:
+def outcome_streaks(log: DataFrame, key, us: str, tie: str, success: Column, width: float = MINUTE) -> DataFrame:
     """Consecutive successes and failures up to each row."""
     return streaks(log, key, us, tie, {"success_streak": success, "failure_streak": ~success}, width)
 
@@ -48,7 +48,7 @@ MIN_RATE, MIN_REQUESTS = 0.2, 10
 
 
 def burn_events(log: DataFrame, key: str, us: str, tie: str, success: Column, error: Column, max_failures: int = 3,
-                width: float = DAY) -> DataFrame:
+                width: float = MINUTE) -> DataFrame:
     """First row at which a proxy is burned, with the reason.
 
     Running counts and streaks per key, then one ``min_by`` per key.
@@ -79,7 +79,7 @@ def drop_after_burn(log: DataFrame, burns: DataFrame, key: str, us: str) -> Data
     return j.where(F.col("burned_us").isNull() | (F.col(us) <= F.col("burned_us"))).drop("burned_us")
 
 
-def rolling_success(log: DataFrame, key: str, us: str, tie: str, success: Column, seconds: float, width: float = DAY) -> DataFrame:
+def rolling_success(log: DataFrame, key: str, us: str, tie: str, success: Column, seconds: float, width: float = MINUTE) -> DataFrame:
     """Success rate over the trailing window at each row."""
     out = trailing_time(
         log, key, us, tie, seconds, {"window_requests": F.lit(1), "window_success": success.cast("int")}, True, width
@@ -88,13 +88,13 @@ def rolling_success(log: DataFrame, key: str, us: str, tie: str, success: Column
 
 
 def rate_limit_hits(log: DataFrame, key: str, us: str, tie: str, limited: Column, seconds: float, threshold: int,
-                    width: float = DAY) -> DataFrame:
+                    width: float = MINUTE) -> DataFrame:
     """Rows at which rate-limit errors of the trailing window (open at its far end) reach the threshold."""
     out = trailing_time(log.where(limited), key, us, tie, seconds, {"window_errors": F.lit(1)}, False, width)
     return out.withColumn("exceeded", F.col("window_errors") >= threshold)
 
 
-def hourly_alerts(log: DataFrame, key: str, us: str, tie: str, flags: dict[str, tuple[Column, int]], width: float = DAY) -> DataFrame:
+def hourly_alerts(log: DataFrame, key: str, us: str, tie: str, flags: dict[str, tuple[Column, int]], width: float = MINUTE) -> DataFrame:
     """Rows whose event type occurred more often than its threshold within the last hour."""
     sums = {f"{n}_last_hour": c.cast("int") for n, (c, _) in flags.items()}
     out = trailing_time(log, key, us, tie, HOUR, sums, False, width)
@@ -106,7 +106,7 @@ MEGABYTE = 1024 * 1024
 
 
 def budget_states(log: DataFrame, scope, day: str, us: str, tie: str, size: Column, soft: int, hard: int,
-                  throttle: float = 0.8, width: float = HOUR) -> DataFrame:
+                  throttle: float = 0.8, width: float = MINUTE) -> DataFrame:
     """State of a daily budget at each consumption: allowed, throttled, blocked, usage.
 
     Usage stops growing once it has reached the hard limit. Because the limit is tested before
@@ -148,7 +148,7 @@ def budget_snapshot(log: DataFrame, day: str, site: str, residential: Column, si
 
 
 def pacing(log: DataFrame, key: str, us: str, tie: str, success: Column, inter_site: float, min_interval: float,
-           width: float = DAY) -> DataFrame:
+           width: float = MINUTE) -> DataFrame:
     """Gap since the previous run and the delay still required, scaled by the success rate so far."""
     out = running(
         log.withColumn("_ok", success.cast("int")), key, us, tie,
@@ -167,7 +167,7 @@ def pacing(log: DataFrame, key: str, us: str, tie: str, success: Column, inter_s
     return out.select(*log.columns, gap.alias("gap_seconds"), (base * factor).alias("delay_seconds"))
 
 
-def crawl_wait(log: DataFrame, key: str, us: str, tie: str, delay: Column, width: float = DAY) -> DataFrame:
+def crawl_wait(log: DataFrame, key: str, us: str, tie: str, delay: Column, width: float = MINUTE) -> DataFrame:
     """Seconds still to wait at each access under a crawl delay."""
     out = running(log, key, us, tie, {"_prev": RunningLast(F.col(us), before=True)}, width)
     gap = (F.col(us) - F.col("_prev")) / F.lit(1e6)
@@ -175,18 +175,18 @@ def crawl_wait(log: DataFrame, key: str, us: str, tie: str, delay: Column, width
     return out.select(*log.columns, wait.alias("wait_seconds"))
 
 
-def half_mean_latency(log: DataFrame, key, us: str, tie: str, value: str, width: float = DAY) -> DataFrame:
+def half_mean_latency(log: DataFrame, key, us: str, tie: str, value: str, width: float = MINUTE) -> DataFrame:
     """Latency folded as (old + new) / 2 from the first value on."""
     return decayed(log, key, us, tie, value, 0.5, "half_mean", None, width)
 
 
-def moving_latency(log: DataFrame, key, us: str, tie: str, value: str, width: float = DAY) -> DataFrame:
+def moving_latency(log: DataFrame, key, us: str, tie: str, value: str, width: float = MINUTE) -> DataFrame:
     """Latency folded as 0.9 old + 0.1 new from the first value on."""
     return decayed(log, key, us, tie, value, 0.9, "moving_latency", None, width)
 
 
 def usage_state(log: DataFrame, key: str, us: str, tie: str, success: Column, latency: str, traffic: Column, cost_per_gb: float,
-                width: float = DAY) -> DataFrame:
+                width: float = MINUTE) -> DataFrame:
     """Pool record per proxy: uses, success rate, moving latency, traffic and its cost."""
     a = log.groupBy(key).agg(
         F.count("*").alias("usage_count"),
@@ -203,7 +203,7 @@ ERROR_WORDS = ("timeout", "тайм-аут", "http 404", "404", "not found", "no
 
 
 def progress_watch(events: DataFrame, run, us: str, tie: str, current: str, is_error: Column, phase: str | None = None,
-                   stall: float = STALL_SECONDS, error_run: int = ERROR_RUN, width: float = HOUR) -> DataFrame:
+                   stall: float = STALL_SECONDS, error_run: int = ERROR_RUN, width: float = MINUTE) -> DataFrame:
     """For each progress event: did it advance, seconds since the last advance, length of the error run.
 
     An advance resets the error run unless the advancing message is itself an error, in which case
@@ -240,7 +240,7 @@ def progress_watch(events: DataFrame, run, us: str, tie: str, current: str, is_e
     )
 
 
-def speed_and_eta(events: DataFrame, run: str, us: str, tie: str, done: str, total: str, width: float = HOUR) -> DataFrame:
+def speed_and_eta(events: DataFrame, run: str, us: str, tie: str, done: str, total: str, width: float = MINUTE) -> DataFrame:
     """Processed per second since the start of the run and whole seconds left."""
     starts = events.groupBy(run).agg(F.min(us).alias("_start"))
     out = events.join(starts, run)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogwatch.functions.values import clean_text, ratio
-from catalogwatch.operators.timeline import MICROS, trailing_time
+from catalogwatch.operators.timeline import MICROS, MINUTE, trailing_time
 
 # Permitted codes.
 JOB_STATUSES = ("queued", "running", "succeeded", "failed", "cancelled")
@@ -161,7 +161,7 @@ def service_levels(latency: DataFrame, by: str, shares: DataFrame) -> DataFrame:
     return j.select(by, F.explode(broken).alias("_e")).select(by, "_e.rule", "_e.value")
 
 
-def worst_window_share(log: DataFrame, key: str, us: str, tie: str, hit: Column, seconds: float, width: float) -> DataFrame:
+def worst_window_share(log: DataFrame, key: str, us: str, tie: str, hit: Column, seconds: float, width: float = MINUTE) -> DataFrame:
     """Largest share of flagged rows over any trailing window, per key."""
     out = trailing_time(log, key, us, tie, seconds, {"_n": F.lit(1), "_hit": hit.cast("int")}, True, width)
     return out.groupBy(key).agg(F.max(ratio(F.col("_hit"), F.col("_n"))).alias("worst_share"))
@@ -178,7 +178,7 @@ def elapsed_label(seconds: Column) -> Column:
 
 def export_gap(current: DataFrame, previous: DataFrame, us: str) -> DataFrame:
     """Newest fetch time of each export and the time between them."""
-    a = current.agg(F.max(us).alias("current_us")).join(F.broadcast(previous.agg(F.max(us).alias("previous_us"))))
+    a = current.agg(F.max(us).alias("current_us")).withColumn("previous_us", previous.agg(F.max(us)).scalar())
     return a.withColumn("elapsed", elapsed_label((F.col("current_us") - F.col("previous_us")) / F.lit(float(MICROS))))
 
 

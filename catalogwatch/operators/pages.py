@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalogwatch.functions import urls as U
 from catalogwatch.functions.values import contains_any, count_hits, ratio
 from catalogwatch.operators import html_table as H
-from catalogwatch.operators.timeline import HOUR, trailing_rows
+from catalogwatch.operators.timeline import DAY, trailing_rows
 
 # Phrases and patterns of blocked pages.
 BLOCK_PHRASES = (
@@ -301,7 +301,7 @@ def first_counts(quality: DataFrame, domain: str, order: str) -> DataFrame:
     return quality.groupBy(domain).agg(first.alias("_f")).select(domain, F.col("_f.element_count").alias("base_count"), F.col("_f.at").alias("base_at"))
 
 
-def recent_counts(quality: DataFrame, domain: str, us: str, order: str, pages: int = 10, width: float = 24 * HOUR) -> DataFrame:
+def recent_counts(quality: DataFrame, domain: str, us: str, order: str, pages: int = 10, width: float = DAY) -> DataFrame:
     """Mean element count over the previous ten pages of the domain, at each page."""
     return trailing_rows(quality, domain, us, order, pages, {"recent_count": F.avg("element_count")}, before=True, width=width)
 

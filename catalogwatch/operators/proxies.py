@@ -31,11 +31,10 @@ def with_failures(catalogue: DataFrame, failures: DataFrame) -> DataFrame:
 
 def proxy_counts(catalogue: DataFrame, failures: DataFrame) -> DataFrame:
     """Total, healthy, active, failed, burned; failures count whether or not the proxy is still listed."""
-    total = catalogue.agg(F.count("*").alias("total_proxies"))
     bad = failures.agg(
         F.count_if(F.col("failures") > 0).alias("failed_proxies"), F.count_if("burned").alias("burned_proxies")
     )
-    j = total.join(F.broadcast(bad))
+    j = bad.withColumn("total_proxies", catalogue.agg(F.count("*")).scalar())
     return j.withColumns(
         {
             "healthy_proxies": F.greatest(F.col("total_proxies") - F.col("burned_proxies"), F.lit(0)),
@@ -55,7 +54,8 @@ def country_counts(catalogue: DataFrame) -> DataFrame:
 def capacity(counts: DataFrame, usage: DataFrame, per_proxy: int = REQUESTS_PER_PROXY, cost: float = COST_PER_PROXY,
              budget: float = MONTHLY_BUDGET, used: float = MONTHLY_USED) -> DataFrame:
     """Needed proxies, shortage, state, cost, budget left and warning codes (one row in, one row out)."""
-    j = counts.join(F.broadcast(usage.select("total_requests", "successful_requests", "success_rate")))
+    one = usage.select(F.struct("total_requests", "successful_requests", "success_rate")).scalar()
+    j = counts.withColumn("_u", one).select("*", "_u.*").drop("_u")
     healthy, requests = F.col("healthy_proxies"), F.col("total_requests")
     need = F.when(requests > 0, F.greatest(healthy, F.ceil(requests / per_proxy))).otherwise(healthy)
     j = j.withColumn("optimal_proxies", need.cast("bigint"))
@@ -105,9 +105,9 @@ def purchase_plan(rows: DataFrame, deficit: str, budget_left: Column, minutes_si
 
 def top_proxies(joined: DataFrame, successful: DataFrame, n: int = 5) -> DataFrame:
     """Best proxies when successes are spread evenly and failures taken off."""
-    size = joined.agg(F.count("*").alias("_n")).join(F.broadcast(successful.select("successful_requests")))
-    j = joined.join(F.broadcast(size))
-    base = F.greatest(F.col("successful_requests") / F.greatest(F.col("_n"), F.lit(1)), F.lit(1.0))
+    size = joined.agg(F.count("*")).scalar()
+    j = joined.withColumn("_base", successful.select("successful_requests").scalar() / F.greatest(size, F.lit(1)))
+    base = F.greatest(F.col("_base"), F.lit(1.0))
     good = F.greatest(base - F.col("failures"), F.lit(0.0))
     rate = half_up(F.least(ratio(good, good + F.col("failures")) * 100, F.lit(100.0)), 1)
     out = j.select(

@@ -52,7 +52,7 @@ def component_rollup(stats: DataFrame, component: str) -> DataFrame:
 QUANTILES = {"p95": (19, 20, 20), "p99": (99, 100, 100)}
 
 
-def latency_statistics(log: DataFrame, by, value: str, cell: float = 0.05) -> DataFrame:
+def latency_statistics(log: DataFrame, by, value: str, cell: float = 1.0) -> DataFrame:
     """Mean, median and exclusive quantiles per key, exact.
 
     Values are counted first, so equal ones collapse before anything is ordered. Ranks are running

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalogwatch.functions.values import ratio
 from catalogwatch.operators.health import half_mean_latency
-from catalogwatch.operators.timeline import HOUR
+from catalogwatch.operators.timeline import MINUTE
 
 # Reliability and staleness limits, score weights and scales.
 RELIABLE_RATE, RELIABLE_ATTEMPTS, RELIABLE_RUN = 0.8, 5, 3
@@ -31,7 +31,7 @@ def end_streaks(log: DataFrame, keys: list[str], us: str, ok: str) -> DataFrame:
 
 
 def selector_state(log: DataFrame, keys: list[str], us: str, tie: str, success: Column, seconds: str, as_of_us: Column,
-                   width: float = 24 * HOUR) -> DataFrame:
+                   width: float = MINUTE) -> DataFrame:
     """Statistics and scores of every selector at ``as_of``."""
     base = log.withColumn("_ok", success)
     counts = base.groupBy(*keys).agg(

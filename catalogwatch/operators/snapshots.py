@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from catalogwatch.functions.values import strip, to_number
 from catalogwatch.operators.catalogue import keep_last
-from catalogwatch.operators.timeline import HOUR, RunningLast, running
+from catalogwatch.operators.timeline import DAY, RunningLast, running
 
 DIFF_COLUMNS = (
     "url", "prev_crawl_at", "curr_crawl_at", "change_type", "fields_changed", "price_prev", "price_curr",
@@ -135,13 +135,13 @@ def same_set(a: Column, b: Column) -> Column:
     return left == right
 
 
-def baseline_jobs(jobs: DataFrame, domain: str, us: str, job: str, success: Column, width: float = 24 * HOUR) -> DataFrame:
+def baseline_jobs(jobs: DataFrame, domain: str, us: str, job: str, success: Column, width: float = DAY) -> DataFrame:
     """Each job with the last successful job of its domain before it."""
     picked = RunningLast(F.when(success, F.col(job)), before=True)
     return running(jobs, domain, us, job, {"baseline_job": picked}, width)
 
 
-def url_history(crawls: DataFrame, us: str, tie: str, values=("price", "stock"), width: float = 24 * HOUR) -> DataFrame:
+def url_history(crawls: DataFrame, us: str, tie: str, values=("price", "stock"), width: float = DAY) -> DataFrame:
     """Value history per URL: previous value, change, and whether the row is a change point."""
     wrapped = {f"_b_{v}": RunningLast(F.struct(F.col(v).alias("v")), before=True) for v in values}
     out = running(crawls, "url", us, tie, wrapped, width)

@@ -77,12 +77,11 @@ def discover(existing: DataFrame, site_map: DataFrame, preseed: DataFrame, sitem
              limit: int | None = None, force_category: bool = False, preseed_replaces: bool = False) -> DataFrame:
     """Prioritised union; the category list counts only when the others found nothing (or is forced).
 
-    The "found nothing" test stays in the plan: a one-row count joined to the category list.
+    The "found nothing" test stays in the plan as a subquery that stops at the first row.
     """
     if not force_category:
         others = site_map.select("url").unionByName(preseed.select("url")).unionByName(sitemap.select("url"))
-        found = others.agg(F.count("*").alias("_found"))
-        category = category.join(F.broadcast(found), F.col("_found") == 0).drop("_found")
+        category = category.where(~others.exists())
     sources = [site_map, preseed, sitemap, category]
     return merge_ordered(sources if preseed_replaces else [existing, *sources], limit)
 
@@ -154,8 +153,8 @@ def merge_proxies(sources: list[DataFrame]) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
-    """Repeatable random sample of ``n`` rows: smallest keyed hashes."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """Repeatable random sample of ``n`` rows: smallest keyed hashes (top-k, no full sort)."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key))), key).limit(n)
 
 
 def dense_index(df: DataFrame, order: list[str], bucket: Column, name: str = "index") -> DataFrame:

@@ -162,8 +162,8 @@ lat AS (SELECT key, mean, CASE WHEN n > 20 THEN (v[((n + 1) * 19) // 20] * (20 -
 def service_levels(spark, d):
     """Broken service levels per key."""
     r = requests(spark, d)
-    latency = latency_statistics(r, "key", "latency", cell=25.0)
-    worst = J.worst_window_share(r, "key", "us", "id", F.col("kind") == "error", 300.0, 86400.0)
+    latency = latency_statistics(r, "key", "latency")
+    worst = J.worst_window_share(r, "key", "us", "id", F.col("kind") == "error", 300.0)
     direct = r.groupBy("key").agg((F.count_if(F.col("kind") != "click") / F.count("*")).alias("direct_share"))
     shares = direct.join(worst.withColumnRenamed("worst_share", "worst_timeout_share"), "key")
     return J.service_levels(latency, "key", shares)

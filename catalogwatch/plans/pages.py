@@ -335,4 +335,4 @@ def clean_documents(spark, d):
 )
 def text_entropy(spark, d):
     """Normalised character entropy per document."""
-    return normalised_entropy(table(spark, d, "documents"), "doc_id", "text")
+    return table(spark, d, "documents").select("doc_id", F.round(normalised_entropy(F.col("text")), 6).alias("entropy"))

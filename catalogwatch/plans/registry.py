@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogwatch.session import use_utc
+from catalogwatch.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(use_utc(spark), sf_dir)
+            return fn(prepare(spark), sf_dir)
 
         run.__doc__ = fn.__doc__
         run.module = fn.__module__

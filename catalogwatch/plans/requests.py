@@ -54,7 +54,7 @@ def component_rollup(spark, d):
 )
 def latency_statistics(spark, d):
     """Mean, median and exclusive quantiles per key."""
-    return req.latency_statistics(requests(spark, d), "key", "latency", cell=25.0)
+    return req.latency_statistics(requests(spark, d), "key", "latency")
 
 
 @query(
@@ -68,7 +68,7 @@ def latency_statistics(spark, d):
 )
 def latency_by_kind(spark, d):
     """The same over few, large keys."""
-    return req.latency_statistics(requests(spark, d), "kind", "latency", cell=1.0)
+    return req.latency_statistics(requests(spark, d), "kind", "latency")
 
 
 @query(

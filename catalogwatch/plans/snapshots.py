@@ -104,7 +104,7 @@ def baseline_jobs(spark, d):
         F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"),
         F.col("o_orderstatus").alias("status"),
     )
-    out = snap.baseline_jobs(o, "domain", "us", "job_id", F.col("status") == "F", width=30 * 86400)
+    out = snap.baseline_jobs(o, "domain", "us", "job_id", F.col("status") == "F")
     return out.select("job_id", "domain", "baseline_job")
 
 
@@ -118,7 +118,7 @@ def baseline_jobs(spark, d):
 def url_history(spark, d):
     """Price history per URL across crawls."""
     c = crawls(spark, d).withColumn("us", F.unix_micros(F.col("crawl_at").cast("timestamp")))
-    out = snap.url_history(c, "us", "job_id", ("price",), width=30 * 86400)
+    out = snap.url_history(c, "us", "job_id", ("price",))
     return out.select("url", "job_id", "price", "prev_price", "price_delta", "price_changed")
 
 

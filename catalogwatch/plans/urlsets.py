@@ -273,7 +273,7 @@ def merge_proxies(spark, d):
     return us.merge_proxies(proxy_lines(spark, d))
 
 
-@query("seeded_sample")
+@query("seeded_sample", "SELECT page_id, url FROM pages ORDER BY md5('7:' || url), url LIMIT 50")
 def seeded_sample(spark, d):
     """Repeatable random sample of fifty URLs."""
     return us.seeded_sample(page_urls(spark, d), "url", seed=7, n=50)

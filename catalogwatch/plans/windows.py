@@ -257,7 +257,7 @@ def progress_watch(spark, d):
     """Advance, stall and error-run detection."""
     is_error = contains_any(F.lower("message"), (*health.ERROR_WORDS, "error"))
     out = health.progress_watch(
-        progress_events(spark, d), "run", "us", "id", "current", is_error, stall=86400, error_run=4, width=86400.0
+        progress_events(spark, d), "run", "us", "id", "current", is_error, stall=86400, error_run=4
     )
     return out.select("id", "run", "advanced", "quiet_seconds", "error_run", "stalled", "too_many_errors")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalogwatch.functions import urls as U
-from catalogwatch.functions.values import contains_any, strip
+from catalogwatch.functions.values import strip
 
 # Fixed value: the fields a product record is read with; further keys stay in the raw text.
 PRODUCT_DDL = (
@@ -153,12 +153,11 @@ def read_cached_urls(spark: SparkSession, path) -> DataFrame:
 def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Plain log lines -> time stamp, canonical proxy, burned and failed flags (proxy lines only)."""
     c = F.col(column)
-    low = F.lower(c)
     stamp = F.try_to_timestamp(F.nullif(F.regexp_extract(c, LOG_STAMP, 1), F.lit("")), F.lit("yyyy-MM-dd HH:mm:ss"))
     proxy = U.canonical_proxy(F.nullif(F.regexp_extract(c, LOG_PROXY, 1), F.lit("")))
+    failed = c.rlike("(?i)" + "|".join(FAILURE_WORDS))
     return lines.select(
-        stamp.alias("ts"), proxy.alias("proxy"), low.contains(BURN_WORD).alias("burned"),
-        contains_any(low, FAILURE_WORDS).alias("failed"),
+        stamp.alias("ts"), proxy.alias("proxy"), c.rlike("(?i)" + BURN_WORD).alias("burned"), failed.alias("failed")
     ).where(F.col("proxy").isNotNull() | F.col("ts").isNotNull())
 
 
@@ -168,13 +167,15 @@ def read_text_log(spark: SparkSession, path) -> DataFrame:
 
 def parse_event_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """JSON event lines with field aliases; lines that do not parse drop out."""
-    c = F.col(column)
-    proxy = U.canonical_proxy(F.coalesce(*[F.nullif(F.get_json_object(c, p), F.lit("")) for p in ("$.proxy", "$.proxy_url")]))
-    status = F.lower(F.coalesce(*[F.nullif(F.get_json_object(c, p), F.lit("")) for p in ("$.status", "$.event")], F.lit("")))
-    stamp = F.try_to_timestamp(F.get_json_object(c, "$.timestamp"))
-    return lines.select(stamp.alias("ts"), proxy.alias("proxy"), (status == "burned").alias("burned"), (status == "failure").alias("failed")).where(
-        F.col("proxy").isNotNull()
+    fields = "proxy string, proxy_url string, status string, event string, timestamp string"
+    rows = lines.select(F.from_json(column, fields).alias("_e"))
+    first = lambda *names: F.coalesce(*[F.nullif(F.col(f"_e.{n}"), F.lit("")) for n in names])
+    status = F.lower(F.coalesce(first("status", "event"), F.lit("")))
+    out = rows.select(
+        F.try_to_timestamp(F.col("_e.timestamp")).alias("ts"), U.canonical_proxy(first("proxy", "proxy_url")).alias("proxy"),
+        (status == "burned").alias("burned"), (status == "failure").alias("failed"),
     )
+    return out.where(F.col("proxy").isNotNull())
 
 
 def read_event_log(spark: SparkSession, path) -> DataFrame:
