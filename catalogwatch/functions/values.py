@@ -25,9 +25,28 @@ def struct_fields(item: Column, struct: T.StructType) -> Fields:
     return {f.name: (item[f.name], f.dataType) for f in struct.fields}
 
 
+# Every character that counts as white space at the ends of a text.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def in_order(t: Column, *words: str) -> Column:
+    """Do the words occur one after the other within a line? Linear, where ``a.*b.*c`` backtracks."""
+
+    def follow(line: Column) -> Column:
+        rest = line
+        for w in words[:-1]:
+            rest = F.try_element_at(F.split(rest, w, 2), F.lit(2))
+        return F.coalesce(rest.contains(words[-1]), F.lit(False))
+
+    known = t.contains(words[0])
+    for w in words[1:]:
+        known = known & t.contains(w)
+    return known & F.exists(F.split(t, "\n"), follow)
 
 
 def clean_text(c: Column) -> Column:

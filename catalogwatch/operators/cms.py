@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogwatch.functions import urls as U
+from catalogwatch.functions.values import any_of
 from catalogwatch.operators.pages import is_guard_page
 
 # Marks of shop systems, one per line as "system place pattern"; the order of the
@@ -229,14 +231,22 @@ def _by_system(marks, place: str) -> dict[str, list[str]]:
     return out
 
 
-def _hit(c: Column, pattern: str) -> Column:
-    return c.rlike("(?i)" + pattern)
+def _hit(low: Column, pattern: str) -> Column:
+    """Does the mark occur in lower-case text? Plain marks are substring tests."""
+    literal = re.sub(r"\\([./])", r"\1", pattern)
+    if not re.search(r"[\\^$*+?{}\[\]|()]", literal) and ("." not in literal or r"\." in pattern):
+        return low.contains(literal.lower())
+    return low.rlike("(?i)" + pattern)
+
+
+def _any_hit(low: Column, patterns) -> Column:
+    return any_of([_hit(low, p) for p in patterns])
 
 
 def place_score(marks, place: str, c: Column, best: bool = False) -> Column:
     """``struct(system, score)`` that one place reports: the first system with a hit, or the best one.
 
-    Patterns are literals, so each is compiled once per task and no page × pattern rows arise.
+    ``c`` is lower-case. Marks are literals of the plan: no page × pattern rows arise.
     """
     groups = _by_system(marks, place)
     spot = lambda s, v: F.struct(F.lit(s).alias("system"), v.cast("double").alias("score"))
@@ -246,7 +256,7 @@ def place_score(marks, place: str, c: Column, best: bool = False) -> Column:
             return F.lit(1.0)
         return sum((_hit(c, p).cast("int") for p in patterns), F.lit(0)) / F.lit(float(len(patterns)))
 
-    some = {s: c.rlike("(?i)" + "|".join(f"(?:{p})" for p in ps)) for s, ps in groups.items()}
+    some = {s: _any_hit(c, ps) for s, ps in groups.items()}
     if best:
         scored = F.array_compact(F.array(*[F.when(some[s], spot(s, share(ps))) for s, ps in groups.items()]))
         return F.aggregate(scored, F.lit(None).cast("struct<system:string,score:double>"),
@@ -271,8 +281,8 @@ def detect(pages: DataFrame, url: str = "url", html: str = "html", marks=None, e
         value = F.struct(F.lit(system).alias("system"), F.lit(float(score)).alias("score"))
         hint = F.when(site == domain, value) if hint is None else hint.when(site == domain, value)
     hint = F.lit(None).cast(kind) if hint is None else hint
-    out = pages.withColumn("_hint", hint)
-    for place, c in (("meta", h), ("html", h), ("url", u), ("js", h)):
+    out = pages.withColumns({"_hint": hint, "_lh": F.lower(h), "_lu": F.lower(u)})
+    for place, c in (("meta", F.col("_lh")), ("html", F.col("_lh")), ("url", F.col("_lu")), ("js", F.col("_lh"))):
         out = out.withColumn(f"_{place}", place_score(marks, place, c, best))
     guard = F.when((F.col("_hint.system") == "sixwool") & is_guard_page(h), F.struct(F.lit("sixwool").alias("system"), F.lit(GUARD_BONUS).alias("score")))
     out = out.withColumn("_guard", guard)
@@ -300,7 +310,7 @@ def detect(pages: DataFrame, url: str = "url", html: str = "html", marks=None, e
     confidence = F.coalesce(confidence, F.lit(0.0))
     return out.withColumns(
         {"confidence": confidence, "cms": F.when(confidence >= LIKELY, system)}
-    ).drop("_hint", "_meta", "_html", "_url", "_js", "_guard", "_parts", "_names", "_sums", "_lead", "_h")
+    ).drop("_lh", "_lu", "_hint", "_meta", "_html", "_url", "_js", "_guard", "_parts", "_names", "_sums", "_lead", "_h")
 
 
 def census(detected: DataFrame) -> DataFrame:
@@ -317,7 +327,7 @@ def is_confirmed(system: Column, url: Column, html: Column, marks=None) -> Colum
     out = F.when(system == "sixwool", F.when(url.contains("6wool.ru") | F.lower(html).contains("6wool"), F.lit(True)))
     for name in dict.fromkeys(m.system for m in marks):
         known = [(p, groups[p][name]) for p in groups if name in groups[p]]
-        hits = sum((_hit(url if p == "url" else html, "|".join(f"(?:{x})" for x in ps)).cast("int") for p, ps in known), F.lit(0))
+        hits = sum((_any_hit(F.lower(url if p == "url" else html), ps).cast("int") for p, ps in known), F.lit(0))
         need = 2 if len(known) >= 2 else 1
         out = out.when(system == name, hits >= need)
     return F.coalesce(out, F.lit(False))

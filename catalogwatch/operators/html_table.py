@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalogwatch.functions.values import strip
+
 ELEMENT = "struct<tag:string,attrs:map<string,string>,first:int,upto:int>"
 PARSED_DDL = (
     f"elements array<{ELEMENT}>, strings array<string>, scripts array<struct<type:string,body:string>>, "
@@ -125,7 +127,7 @@ def raw_text(e: Column) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return strip(c)
 
 
 def tight_text(e: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogwatch.functions import urls as U
-from catalogwatch.functions.values import contains_any, count_hits, ratio
+from catalogwatch.functions.values import any_of, contains_any, count_hits, in_order, ratio
 from catalogwatch.operators import html_table as H
 from catalogwatch.operators.timeline import DAY, trailing_rows
 
@@ -78,8 +80,18 @@ REQUIRED_TAGS = ("title", "h1")
 
 
 def _one_of(c: Column, patterns) -> Column:
-    """Any of the patterns, as one compiled alternation."""
-    return c.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
+    """Does any of the patterns occur? ``c`` is lower-case text.
+
+    Plain phrases are substring tests, phrases joined by ``.*`` ordered substring tests; only what
+    is left needs a regular expression.
+    """
+    plain = [p for p in patterns if re.fullmatch(r"[\w\s-]+", p)]
+    ordered = [p.split(".*") for p in patterns if ".*" in p and all(re.fullmatch(r"[\w\s-]+", w) for w in p.split(".*"))]
+    rest = [p for p in patterns if p not in plain and p.split(".*") not in ordered]
+    tests = [c.contains(p) for p in plain] + [in_order(c, *words) for words in ordered]
+    if rest:
+        tests.append(c.rlike("|".join(f"(?:{p})" for p in rest)))
+    return any_of(tests)
 
 
 # --- SEO, links, structure -------------------------------------------------------------------------
@@ -221,8 +233,9 @@ def is_product_page(parsed: bool = True) -> Column:
 def captcha_type(html: Column) -> dict[str, Column]:
     """Kind of captcha on a page, whether a site key is there, confidence (first kind wins)."""
     kind = sure = None
+    low = F.lower(html)
     for name, patterns, confidence in CAPTCHA_TYPES:
-        hit = _one_of(html, patterns)
+        hit = _one_of(low, patterns)
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
         sure = F.when(hit, confidence) if sure is None else sure.when(hit, confidence)
     key = F.when(kind == "recaptcha_v3", F.regexp_extract(html, r"(?i)render=([^&\s\"]+)", 1)).otherwise(
