@@ -109,8 +109,9 @@ def effective_price(fields: Fields) -> Column:
         lambda v: v.isNotNull() & _present(struct_fields(v, struct), VARIATION_PRICE_FIRST),
     )
     head = F.try_element_at(priced, F.lit(1))
-    found = F.coalesce(F.size(priced), F.lit(0)) > 0
-    return F.when(found, first_number(struct_fields(head, struct), *VARIATION_PRICE_FIRST)).otherwise(own)
+    return let(
+        head, lambda v: F.when(v.isNotNull(), first_number(struct_fields(v, struct), *VARIATION_PRICE_FIRST)).otherwise(own)
+    )
 
 
 def stock_of(fields: Fields) -> Column:

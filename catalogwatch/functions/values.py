@@ -116,20 +116,19 @@ def first_parsed_number(fields: Fields, *names: str) -> Column:
 def to_number(c: Column) -> Column:
     """``"1 290,50"`` -> 1290.5; anything that is not wholly a number -> null."""
     t = F.replace(F.replace(strip(c.cast("string")), F.lit(" "), F.lit("")), F.lit(","), F.lit("."))
-    return F.when(t.rlike(NUMBER), t.try_cast("double"))
+    return F.regexp_extract(t, NUMBER, 0).try_cast("double")
 
 
 def to_whole(c: Column) -> Column:
     """Number truncated towards zero."""
-    t = strip(c.cast("string"))
-    return F.when(t.rlike(NUMBER), t.try_cast("double").cast("bigint"))
+    return F.regexp_extract(strip(c.cast("string")), NUMBER, 0).try_cast("double").cast("bigint")
 
 
 def to_number_lenient(c: Column) -> Column:
     """Leading number of the text (``"12abc"`` -> 12), first comma read as a dot."""
     t = F.regexp_replace(c.cast("string"), r"\s+", "")
     t = F.regexp_replace(t, r"^([^,]*),", "$1.")
-    return F.nullif(F.regexp_extract(t, NUMBER_PREFIX, 0), F.lit("")).try_cast("double")
+    return F.regexp_extract(t, NUMBER_PREFIX, 0).try_cast("double")
 
 
 def let(c: Column, fn) -> Column:
