@@ -54,10 +54,10 @@ def products_from_json(docs: DataFrame, column: str, ddl: str = PRODUCT_DDL) ->
 def read_partial(spark: SparkSession, path, ddl: str = PRODUCT_DDL, rejects: bool = False) -> DataFrame:
     """Partial-run JSON lines; broken lines are dropped, or returned when ``rejects`` is set."""
     schema = T.StructType.fromDDL(ddl).add("_corrupt_record", "string")
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    if rejects:
-        return spark.read.text(path).where((strip(F.col("value")) != "") & F.try_parse_json("value").isNull())
-    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    lines = spark.read.text(path).where(strip(F.col("value")) != "")
+    parsed = lines.select("value", F.from_json("value", schema).alias("_p"))
+    bad = F.col("_p").isNull() | F.col("_p._corrupt_record").isNotNull()
+    return parsed.where(bad).select("value") if rejects else parsed.where(~bad).select("_p.*").drop("_corrupt_record")
 
 
 def links_from_json(docs: DataFrame, column: str, carry=()) -> DataFrame:
@@ -227,7 +227,7 @@ def read_full_export(spark: SparkSession, path, sep: str = ";", decimal_comma: b
     from catalogwatch.functions.values import to_number
     from catalogwatch.operators.catalogue import FULL_COLUMNS
 
-    names = spark.read.option("header", True).option("sep", sep).csv(path)
+    names = spark.read.option("header", True).option("sep", sep).option("escape", "\"").csv(path)
     cols = []
     for c in names.columns:
         kind = FULL_COLUMNS.get(c, "string")
