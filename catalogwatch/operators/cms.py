@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogwatch.functions import urls as U
-from catalogwatch.functions.values import any_of
+from catalogwatch.functions.values import any_of, steady_mean
 from catalogwatch.operators.pages import is_guard_page
 
 # Marks of shop systems, one per line as "system place pattern"; the order of the
@@ -316,7 +316,7 @@ def detect(pages: DataFrame, url: str = "url", html: str = "html", marks=None, e
 def census(detected: DataFrame) -> DataFrame:
     """Pages and mean confidence per system."""
     return detected.groupBy(F.coalesce("cms", F.lit("unknown")).alias("cms")).agg(
-        F.count("*").alias("pages"), F.round(F.avg("confidence"), 6).alias("avg_confidence")
+        F.count("*").alias("pages"), steady_mean(F.col("confidence"), 9).alias("avg_confidence")
     )
 
 

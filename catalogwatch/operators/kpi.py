@@ -120,7 +120,7 @@ def summary_totals(sites: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.sum("products_total_stock"), F.lit(0.0)), 2).alias("total_stock"),
         F.coalesce(F.sum("total_variations"), F.lit(0)).alias("total_variations"),
         F.nullif(F.coalesce(F.sum("products_with_variations"), F.lit(0)), F.lit(0)).alias("total_products_with_variations"),
-        F.round(F.avg("success_rate"), 4).alias("average_success_rate"),
+        steady_mean(F.col("success_rate"), 9).alias("average_success_rate"),
         F.max("updated_at").alias("generated_at"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogwatch.functions import urls as U
-from catalogwatch.functions.values import half_up, ratio
+from catalogwatch.functions.values import half_up, ratio, steady_mean
 
 # Planning figures.
 REQUESTS_PER_PROXY = 250
@@ -127,8 +127,8 @@ def pool_usage(pool: DataFrame, monthly_cost: float, max_cost: float, min_count:
         F.count_if(live).alias("active_proxies"),
         F.count_if("is_expired").alias("expired_proxies"),
         F.sum("usage_count").alias("total_usage"),
-        F.round(F.coalesce(F.avg(F.when(F.col("latency") > 0, F.col("latency"))), F.lit(0.0)), 6).alias("avg_latency"),
-        F.round(F.coalesce(F.avg(F.when(F.col("usage_count") > 0, F.col("success_rate"))), F.lit(0.0)), 6).alias("avg_success_rate"),
+        F.coalesce(steady_mean(F.when(F.col("latency") > 0, F.col("latency")), 6), F.lit(0.0)).alias("avg_latency"),
+        F.coalesce(steady_mean(F.when(F.col("usage_count") > 0, F.col("success_rate")), 9), F.lit(0.0)).alias("avg_success_rate"),
         F.round(F.sum("traffic_gb"), 4).alias("total_traffic_gb"),
         F.round(F.sum(F.coalesce(F.col("traffic_gb") * F.col("cost_per_gb"), F.lit(0.0))), 4).alias("traffic_cost"),
     )

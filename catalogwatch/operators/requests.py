@@ -234,7 +234,7 @@ def domain_totals(stats: DataFrame) -> DataFrame:
     return stats.agg(
         F.count("*").alias("tracked_domains"),
         F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped"),
-        F.round(F.coalesce(F.avg("success_rate"), F.lit(1.0)), 6).alias("average_success_rate"),
+        F.coalesce(steady_mean(F.col("success_rate"), 9), F.lit(1.0)).alias("average_success_rate"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalogwatch.functions.values import ratio
+from catalogwatch.functions.values import ratio, steady_mean
 from catalogwatch.operators.health import half_mean_latency
 from catalogwatch.operators.timeline import MINUTE
 
@@ -74,8 +74,8 @@ def store_statistics(state: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("selectors"),
         F.count_if("is_reliable").alias("reliable"),
         F.count_if("is_stale").alias("stale"),
-        F.round(F.avg("confidence_score"), 6).alias("avg_confidence"),
-        F.round(F.avg("success_rate"), 6).alias("avg_success_rate"),
+        steady_mean(F.col("confidence_score"), 9).alias("avg_confidence"),
+        steady_mean(F.col("success_rate"), 9).alias("avg_success_rate"),
     )
 
 

@@ -185,7 +185,7 @@ def site_summary(spark, d):
       CAST(sum(products_with_price) AS BIGINT) AS total_products_with_price,
       round(sum(products_total_stock), 2) AS total_stock, CAST(sum(total_variations) AS BIGINT) AS total_variations,
       CAST(nullif(sum(products_with_variations), 0) AS BIGINT) AS total_products_with_variations,
-      round(avg(success_rate), 4) AS average_success_rate, max(updated_at) AS generated_at FROM sites""",
+      round(sum(success_rate), 9)::DOUBLE / count(success_rate) AS average_success_rate, max(updated_at) AS generated_at FROM sites""",
 )
 def summary_totals(spark, d):
     """Totals over all sites."""
@@ -196,7 +196,8 @@ def summary_totals(spark, d):
     "weighted_success",
     f"""WITH {SITES} SELECT CAST(sum(products) AS BIGINT) AS total_requests,
       CAST(sum(products_with_price) AS BIGINT) AS successful_requests,
-      round(sum(success_rate * products) / sum(products), 2) AS success_rate, max(updated_at) AS updated_at FROM sites""",
+      CASE WHEN coalesce(sum(success_rate * products), 0) <> 0 THEN round(sum(success_rate * products) / sum(products), 2)
+        ELSE round(sum(products_with_price) * 100.0::DOUBLE / sum(products), 2) END AS success_rate, max(updated_at) AS updated_at FROM sites""",
 )
 def weighted_success(spark, d):
     """Success rate weighted by products."""

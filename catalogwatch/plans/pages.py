@@ -250,7 +250,7 @@ def cms_detection(spark, d):
     return C.detect(marked(spark, d)).select("page_id", "cms", "confidence")
 
 
-@query("cms_census", f"WITH {CMS_SQL} SELECT coalesce(cms, 'unknown') AS cms, count(*) AS pages, round(avg(confidence), 6) AS avg_confidence FROM cms GROUP BY 1")
+@query("cms_census", f"WITH {CMS_SQL} SELECT coalesce(cms, 'unknown') AS cms, count(*) AS pages, round(sum(confidence), 9) / count(confidence) AS avg_confidence FROM cms GROUP BY 1")
 def cms_census(spark, d):
     """Shop systems over the corpus."""
     return C.census(C.detect(marked(spark, d)))

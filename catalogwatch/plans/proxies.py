@@ -157,7 +157,7 @@ def proxy_countries(spark, d):
 @query(
     "proxy_capacity",
     f"""WITH {COUNTS_SQL}, {SITES}, u AS (SELECT CAST(sum(products) AS BIGINT) * 700 AS total_requests,
-      CAST(sum(products_with_price) AS BIGINT) AS successful_requests, round(sum(success_rate * products) / sum(products), 2) AS success_rate FROM sites),
+      CAST(sum(products_with_price) AS BIGINT) AS successful_requests, CASE WHEN coalesce(sum(success_rate * products), 0) <> 0 THEN round(sum(success_rate * products) / sum(products), 2) ELSE round(sum(products_with_price) * 100.0::DOUBLE / sum(products), 2) END AS success_rate FROM sites),
     o AS (SELECT *, greatest(healthy_proxies, CAST(ceil(total_requests / 250) AS BIGINT)) AS optimal_proxies FROM counts, u),
     x AS (SELECT *, greatest(optimal_proxies - healthy_proxies, 0) AS deficit FROM o)
     SELECT total_proxies, healthy_proxies, optimal_proxies, deficit,
@@ -211,8 +211,8 @@ def pool(spark, d):
 @query(
     "pool_usage",
     f"""WITH {POOL_SQL} SELECT count(*) AS total_proxies, count(*) FILTER (WHERE is_active AND NOT is_expired) AS active_proxies,
-      count(*) FILTER (WHERE is_expired) AS expired_proxies, CAST(sum(usage_count) AS BIGINT) AS total_usage, round(avg(latency) FILTER (WHERE latency > 0), 6) AS avg_latency,
-      round(avg(success_rate), 6) AS avg_success_rate, round(sum(traffic_gb), 4) AS total_traffic_gb, round(sum(coalesce(traffic_gb * cost_per_gb, 0)), 4) AS traffic_cost,
+      count(*) FILTER (WHERE is_expired) AS expired_proxies, CAST(sum(usage_count) AS BIGINT) AS total_usage, round(sum(latency) FILTER (WHERE latency > 0), 6) / count(*) FILTER (WHERE latency > 0) AS avg_latency,
+      round(sum(success_rate), 9) / count(success_rate) AS avg_success_rate, round(sum(traffic_gb), 4) AS total_traffic_gb, round(sum(coalesce(traffic_gb * cost_per_gb, 0)), 4) AS traffic_cost,
       200.0::DOUBLE AS budget_remaining, concat_ws(',', 'cost_near_budget', CASE WHEN count(*) FILTER (WHERE is_active AND NOT is_expired) < 500 THEN 'too_few_active' END,
         CASE WHEN avg(success_rate) < 0.8 THEN 'low_success_rate' END) AS warnings FROM pool""",
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogwatch.functions.errors import classify_error, retry_plan
+from catalogwatch.functions.values import steady_mean
 from catalogwatch.operators import requests as req
 from catalogwatch.operators import timeline as tl
 from catalogwatch.plans.bindings import REQUESTS, requests
@@ -222,7 +223,7 @@ def domain_statistics(spark, d):
 @query(
     "domain_totals",
     f"""WITH {DOMAIN_SQL} SELECT count(*) AS tracked_domains, CAST(sum(skipped) AS BIGINT) AS skipped,
-      round(avg(success_rate), 6) AS average_success_rate FROM doms""",
+      round(sum(success_rate), 9)::DOUBLE / count(success_rate) AS average_success_rate FROM doms""",
 )
 def domain_totals(spark, d):
     """Mean of domain success rates."""
@@ -244,7 +245,7 @@ def batch_performance(spark, d):
 @query(
     "recent_batch_success",
     f"""WITH {REQUESTS}, a AS (SELECT key, id // 500 AS batch, {_hits('success')} / count(*) AS rate FROM requests GROUP BY ALL)
-    SELECT key, round(avg(rate), 6) AS recent_rate, round(avg(rate), 6) < 0.8 AS shrink FROM (
+    SELECT key, round(sum(rate), 9) / count(rate) AS recent_rate, round(sum(rate), 9) / count(rate) < 0.8 AS shrink FROM (
       SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY key ORDER BY batch DESC) <= 5) GROUP BY key""",
 )
 def recent_batch_success(spark, d):
@@ -252,7 +253,7 @@ def recent_batch_success(spark, d):
     r = requests(spark, d).withColumn("batch", F.floor(F.col("id") / 500))
     per = r.groupBy("key", "batch").agg((F.count_if(F.col("success")) / F.count("*")).alias("rate"))
     last = tl.last_rows(per, "key", ["batch"], 5)
-    rate = F.round(F.avg("rate"), 6)
+    rate = steady_mean(F.col("rate"), 9)
     return last.groupBy("key").agg(rate.alias("recent_rate"), (rate < 0.8).alias("shrink"))
 
 

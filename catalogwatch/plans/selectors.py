@@ -51,7 +51,7 @@ def selector_state(spark, d):
 @query(
     "selector_statistics",
     f"""WITH {STATE_SQL} SELECT domain, field, count(*) AS selectors, count(*) FILTER (WHERE is_reliable) AS reliable, count(*) FILTER (WHERE is_stale) AS stale,
-      round(avg(confidence_score), 6) AS avg_confidence, round(avg(success_rate), 6) AS avg_success_rate FROM st GROUP BY ALL""",
+      round(sum(confidence_score), 9) / count(confidence_score) AS avg_confidence, round(sum(success_rate), 9) / count(success_rate) AS avg_success_rate FROM st GROUP BY ALL""",
 )
 def selector_statistics(spark, d):
     """Selector figures per domain and field."""
