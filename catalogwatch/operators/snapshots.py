@@ -55,8 +55,12 @@ def _paired(prev: DataFrame, curr: DataFrame, order) -> DataFrame:
     """Full outer join of the last row per URL, each side a struct."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        cols = [_side_column(df, c) for c in SIDE_COLUMNS]
-        return latest_per_url(df, order).select("url", F.struct(*cols).alias(name))
+        by = [order] if isinstance(order, (str, Column)) else list(order)
+        marks = [(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(by)]
+        # only the compared columns go through the shuffle
+        slim = df.select("url", *[_side_column(df, c) for c in SIDE_COLUMNS], *marks)
+        last = latest_per_url(slim, [f"_o{i}" for i in range(len(by))])
+        return last.select("url", F.struct(*SIDE_COLUMNS).alias(name))
 
     return side(prev, "p").join(side(curr, "c"), "url", "full_outer")
 

@@ -8,6 +8,8 @@ rows), and what came before a cell is joined back to its rows.
 The cut is by time and not by sampled ranges, so a task that is run again after an executor was
 lost sees the same cells. The default cell is a minute: a key with a third of a trillion rows of a
 month holds some eight million rows per cell. Sources with coarser time stamps pass a wider one.
+
+Rows without a key or a time belong to no timeline; they are kept, with values of their own cell.
 """
 
 from __future__ import annotations
@@ -92,7 +94,7 @@ def running(df: DataFrame, keys, us: str, tie, measures: dict, width: float = MI
     prior = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*spots, *[_carry(m, f"_t_{n}", prior).alias(f"_c_{n}") for n, m in measures.items()])
     local = cut.withColumns({f"_l_{n}": _over(m, inside) for n, m in measures.items()})
-    joined = local.join(carried, spots)
+    joined = local.join(carried, spots, "left")
     result = {n: _combine(m, F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n, m in measures.items()}
     return joined.select(*df.columns, *[c.alias(n) for n, c in result.items()])
 
@@ -119,11 +121,9 @@ def streaks(df: DataFrame, keys, us: str, tie, flags: dict[str, Column], width:
         *spots,
         *[(F.col("_p") - F.coalesce(F.max(F.col("_p") + F.col(f"_r_{n}")).over(prior), F.lit(0))).alias(f"_c_{n}") for n in flags],
     )
-    joined = cut.join(carried, spots)
-    return joined.select(
-        *df.columns,
-        *[(F.col("_i") - F.coalesce(F.col(f"_r_{n}"), -F.col(f"_c_{n}"))).cast("bigint").alias(n) for n in flags],
-    )
+    joined = cut.join(carried, spots, "left")
+    run = lambda n: F.col("_i") - F.coalesce(F.col(f"_r_{n}"), -F.col(f"_c_{n}"), F.lit(0))
+    return joined.select(*df.columns, *[run(n).cast("bigint").alias(n) for n in flags])
 
 
 def trailing_rows(df: DataFrame, keys, us: str, tie, rows: int, aggs: dict[str, Column], before: bool = False,
@@ -195,7 +195,7 @@ def decayed(df: DataFrame, keys, us: str, tie, value: str, keep: float, name: st
     total = F.sum(F.col(value) * weight)
     if start is not None:
         total = total + F.lit(start) * F.pow(F.lit(keep), F.max("_n"))
-    return num.join(counts, keys).groupBy(*keys).agg(total.alias(name), F.max("_n").alias("n"))
+    return num.join(counts, keys, "left").groupBy(*keys).agg(total.alias(name), F.max("_n").alias("n"))
 
 
 def last_rows(df: DataFrame, keys, order: list, n: int) -> DataFrame:

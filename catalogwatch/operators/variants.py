@@ -114,12 +114,17 @@ def payload_variants(payloads: DataFrame, vendor: str, payload: str, *keep: str,
         return out
 
     available = F.coalesce(raw("available") == "true", F.lit(False))
-    out = rows.select(*keep, "vendor", "pos", *[choose(f).alias(f) for f in insales], available.alias("_available"))
-    positive = F.col("stock") > 0
-    flag = F.when(F.col("vendor") == "insales", positive | F.col("_available")).otherwise(F.col("stock").isNull() | positive)
-    out = out.withColumns({"in_stock": flag, "type": F.coalesce("type", F.lit("variant"))}).drop("_available")
-    # an offer without a price is dropped for the vendor that prices every offer
-    return out.where((F.col("vendor") != "bitrix") | F.col("price").isNotNull())
+    entry = F.struct(*[choose(f).alias(f) for f in insales], available.alias("available"))
+    # an offer without a price is dropped for the vendor that prices every offer; the test sits in
+    # the generator, as a filter behind the projection would be pushed down and read the JSON again
+    kept = F.filter(F.array(entry), lambda e: (F.col("vendor") != "bitrix") | e["price"].isNotNull())
+    out = rows.select(*keep, "vendor", "pos", F.explode(kept).alias("_e"))
+    positive = F.col("_e.stock") > 0
+    flag = F.when(F.col("vendor") == "insales", positive | F.col("_e.available")).otherwise(F.col("_e.stock").isNull() | positive)
+    return out.select(
+        *keep, "vendor", "pos", "_e.variation_id", "_e.sku", F.coalesce("_e.type", F.lit("variant")).alias("type"), "_e.value", "_e.price",
+        "_e.stock", flag.alias("in_stock"),
+    )
 
 
 def prefer_sources(products: DataFrame, sources: Sequence[DataFrame], on: str) -> DataFrame:
