@@ -3,13 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from catalogwatch.llm import simhash
+from catalogwatch.llm import pieces, simhash, token_files
 from catalogwatch.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def public_tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op8_sentencepiece_codec")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op9_simhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_token_files")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = token_files.write(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
+    return token_files.read(spark, folder, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")

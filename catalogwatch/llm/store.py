@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 import uuid
+from collections.abc import Callable
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -71,3 +74,15 @@ def hash_sample(rows: DataFrame, key: str, about: int) -> DataFrame:
         return rows
     cut = int(2**63 * (2 * about / total - 1))
     return rows.where(F.xxhash64(F.col(key), F.lit("sample")) < F.lit(cut))
+
+
+def kept_in_worker(key: tuple, make: Callable):
+    """``make()`` once per key and Python process.
+
+    Functions travel to the workers with their globals, so a module's own globals start anew with each task; this state
+    stands in the process and outlives tasks where workers are reused. It holds nothing that can't be made again.
+    """
+    state = sys.modules.setdefault("catalogwatch_worker_state", types.ModuleType("catalogwatch_worker_state"))
+    if key not in (made := state.__dict__.setdefault("made", {})):
+        made[key] = make()
+    return made[key]
