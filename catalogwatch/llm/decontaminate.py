@@ -23,19 +23,44 @@ PLACE_BITS = 30
 
 def words(text: Column) -> Column:
     """Words of a text: A-Z in lower case, split at ASCII characters that are neither digits nor letters."""
-    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(low, NO_WORD), lambda w: w != "")
-
-
-def _grams(hashes: str, k: int) -> str:
-    """SQL: hashes of all runs of k words; an empty array where there are fewer."""
-    return f"if(size({hashes}) < {k}, cast(array() as array<bigint>), transform(sequence(1, size({hashes}) - {k} + 1), i -> xxhash64(slice({hashes}, i, {k}))))"
+    text = F.coalesce(text, F.lit(""))
+    # lower() changes more than A-Z, but not in a text of ASCII characters only, where it is much faster.
+    ascii_only = F.octet_length(text) == F.length(text)
+    low = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    return F.array_remove(F.split(low, NO_WORD), "")
 
 
 def _hashed(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("h", F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))
 
 
+def _paired(a: str, b: str, off: int, how: str) -> Column:
+    """Elements of ``a`` with those of ``b`` that stand ``off`` further on."""
+    n = f"greatest(0, size({b}) - {off})"
+    return F.expr(f"zip_with(slice({a}, 1, {n}), slice({b}, {1 + off}, {n}), (x, y) -> {how})")
+
+
+def _with_grams(rows: DataFrame, k: int) -> DataFrame:
+    """Column ``g{k}``: a hash of every run of k words, put together from those of shorter runs."""
+    if k == 1:
+        return rows.withColumn("g1", F.col("h"))
+    if f"g{k}" in rows.columns:
+        return rows
+    left, right = k // 2, k - k // 2
+    rows = _with_grams(_with_grams(rows, left), right)
+    turn = 7 * right % 64
+    return rows.withColumn(f"g{k}", _paired(f"g{left}", f"g{right}", left, f"shiftleft(x, {turn}) ^ shiftrightunsigned(x, {64 - turn}) ^ y"))
+
+
+def _with_minima(rows: DataFrame, run: int) -> DataFrame:
+    """Column ``least``: the least of each ``run`` neighbours in column ``g``, by doubling."""
+    rows, size = rows.withColumn("least", F.col("g")), 1
+    while size < run:
+        step = min(size, run - size)
+        rows, size = rows.withColumn("least", _paired("least", "least", step, "least(x, y)")), size + step
+    return rows
+
+
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``item_id, m, anchors, w``: the windows of each item; m is their length in words, w their hash.
 
@@ -61,20 +86,17 @@ def mark(
     exact = windows.select(F.col("item_id"), F.col("m").alias("m"), F.xxhash64("h").alias("w")).distinct()
     # What leads to a window: a k-gram of it, or the first word of a short one.
     cut = F.lit(-(1 << PLACE_BITS))
-    long = windows.where(F.col("m") == window).select(F.explode(F.expr(_grams("h", k))).alias("g"), F.lit(window).alias("m"))
+    long = _with_grams(windows.where(F.col("m") == window), k).select(F.explode(f"g{k}").alias("g"), F.lit(window).alias("m"))
     short = windows.where(F.col("m") < window).select(F.col("h")[0].alias("g"), "m")
     leads = long.union(short).select(F.col("g").bitwiseAND(cut).alias("g"), "m").distinct()
     shorts = short.agg(F.count(F.lit(1)) > 0)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = _hashed(rows, "text").select("doc_id", "row", "h", F.expr(_grams("h", k)).alias("g"))
     place = (1 << PLACE_BITS) - 1
-    rows = rows.select("doc_id", "row", "h", F.expr(f"transform(g, (x, i) -> (x & ~{place}L) | i)").alias("g"))
-    run = window - k + 1
-    kept = F.expr(
-        f"if(size(h) < {window}, cast(array() as array<bigint>), "
-        f"array_distinct(transform(sequence(1, size(g) - {run} + 1), i -> array_min(slice(g, i, {run})))))"
-    )
+    rows = _with_grams(_hashed(rows, "text").select("doc_id", "row", "h"), k)
+    rows = rows.select("doc_id", "row", "h", F.expr(f"transform(g{k}, (x, i) -> (x & ~{place}L) | i)").alias("g"))
+    kept = F.array_distinct("least")
+    rows = _with_minima(rows, window - k + 1)
     # Every word, where any item is shorter than a window.
     single = F.when(shorts.scalar(), F.expr(f"transform(h, (x, i) -> (x & ~{place}L) | i)")).otherwise(F.expr("cast(array() as array<bigint>)"))
     rows = rows.select("doc_id", "row", "h", kept.alias("kept"), single.alias("single"))

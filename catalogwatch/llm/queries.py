@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogwatch.llm import pieces, simhash, token_files
+from catalogwatch.llm import decontaminate, pieces, secrets, simhash, token_files
 from catalogwatch.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -17,6 +17,25 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    n = [F.expr(f"cast(size(filter(base, s -> s.rank = {k})) as long)").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return found.select(
+        "doc_id", *n, F.sha2(secrets.written("base"), 256).alias("base_sha256"), secrets.written("spans").alias("spans")
+    )
+
+
+@query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.col("items").cast("array<string>"))
+    return marked.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"),
+    )
+
+
 @query("op8_sentencepiece_codec")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
