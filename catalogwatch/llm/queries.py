@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogwatch.llm import chat, decontaminate, pieces, secrets, simhash, token_files
+from catalogwatch.llm import chat, decontaminate, extract, pieces, secrets, simhash, token_files
 from catalogwatch.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -45,6 +45,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.union(extra)))
 
 
+@query("op2_main_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract.extract(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op3_secret_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
