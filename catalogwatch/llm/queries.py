@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogwatch.llm import chat, decontaminate, embeddings, extract, langid, pieces, secrets, simhash, token_files
+from catalogwatch.llm import chat, decontaminate, embeddings, extract, langid, ngram, pieces, secrets, simhash, token_files
 from catalogwatch.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -74,6 +74,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+@query("op6_ngram_score")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ngram.train(docs.where(ngram.fold() != 1))
+    held_out = F.coalesce(ngram.fold() == 1, F.lit(False)).alias("held_out")
+    scored = ngram.score(docs, model)
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op7_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
