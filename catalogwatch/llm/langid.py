@@ -18,8 +18,9 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from catalogwatch.llm.store import kept_in_worker, settle
+from catalogwatch.llm.store import forget_newest, kept_in_worker, settle
 
 BLANK = "▁"
 NO_LANGUAGE = "und"
@@ -230,16 +231,13 @@ class _Scorer:
         self.model, self.number, self.scores = model, {}, np.zeros((0, len(model.languages)))
 
     def learn(self, words: set[str]) -> None:
-        fresh = list(words)
-        if len(self.number) + len(fresh) > KEPT_WORDS:
-            raise MemoryError
-        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
-        need = len(self.number)
-        if need > len(self.scores):
-            grown = np.zeros((max(need, 2 * len(self.scores)), self.scores.shape[1]))
-            grown[: need - len(fresh)] = self.scores[: need - len(fresh)]
+        fresh, have = list(words), len(self.number)
+        self.number.update(zip(fresh, range(have, have + len(fresh))))
+        if have + len(fresh) > len(self.scores):
+            grown = np.zeros((max(have + len(fresh), 2 * len(self.scores)), self.scores.shape[1]))
+            grown[:have] = self.scores[:have]
             self.scores = grown
-        self.scores[need - len(fresh) : need] = word_scores(lattice(self.model.vocabulary), fresh, self.model.p)
+        self.scores[have : have + len(fresh)] = word_scores(lattice(self.model.vocabulary), fresh, self.model.p)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         split = [text_words(t) for t in texts]
@@ -247,22 +245,14 @@ class _Scorer:
         new = {w for words, row in zip(split, rows) for w, x in zip(words, row) if x is None}
         if new:
             if len(self.number) + len(new) > KEPT_WORDS:
-                self.number = {}
-                new = {w for words in split for w in words}
-                if len(new) > KEPT_WORDS and len(texts) > 1:
+                forget_newest(self.number, KEPT_WORDS)
+                new = {w for words in split for w in words if w not in self.number}
+                if len(self.number) + len(new) > KEPT_WORDS and len(texts) > 1:
                     return [x for t in texts for x in self.predict([t])]
-            self._add(new)
+            self.learn(new)
             rows = [[self.number[w] for w in words] for words in split]
         return [self._verdict(np.array(row, np.int64)) for row in rows]
 
-    def _add(self, new: set[str]) -> None:
-        try:
-            self.learn(new)
-        except MemoryError:  # one text with more different words than are kept
-            self.number = {}
-            self.number.update(zip(new, range(len(new))))
-            self.scores = word_scores(lattice(self.model.vocabulary), list(self.number), self.model.p)
-
     def _verdict(self, row: np.ndarray) -> tuple[str, float]:
         if not len(row) or not self.model.languages:
             return NO_LANGUAGE, 0.0
@@ -271,27 +261,33 @@ class _Scorer:
         return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score``: one row per input row; only the text is looked at.
-
-    A null text, one without letters, or any text under a model without languages is ``und`` with a score of 0; else the
-    score is the likeliest language's share (all languages being as likely beforehand), equal ones go to the first in
-    order. Texts of any length are scored whole; repeated rows are kept; an empty table gives an empty table.
-    """
+def annotate(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with two more columns, named by the caller: the language and its score. See :func:`identify`."""
+    if {lang, score} & set(docs.columns):
+        raise ValueError("a column of the predictions is there already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept_in_worker(("language", model.key), lambda: _Scorer(model))
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                said = own.predict(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())],
-                    names=["doc_id", "lang_pred", "score"],
-                )
+                said = own.predict(part.column(text).to_pylist())
+                more = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, lang, score])
 
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, lang_pred, score``: one row per input row; only the text is looked at, other columns are ignored.
+
+    A null text, one without letters, or any text under a model without languages is ``und`` with a score of 0; else the
+    score is the likeliest language's share (all languages being as likely beforehand), equal ones go to the first in
+    order. Texts of any length are scored whole; repeated rows are kept; an empty table gives an empty table.
+    """
     pair = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return pair.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return annotate(pair, model).select("doc_id", "lang_pred", "score")
 
 
 def fold(doc_id: str = "doc_id") -> Column:

@@ -86,3 +86,9 @@ def kept_in_worker(key: tuple, make: Callable):
     if key not in (made := state.__dict__.setdefault("made", {})):
         made[key] = make()
     return made[key]
+
+
+def forget_newest(known: dict, most: int) -> None:
+    """Halves a full store. The oldest entries stay: a frequent key is met early, a rare one at any time."""
+    for _ in range(len(known) - most // 2):
+        known.popitem()
