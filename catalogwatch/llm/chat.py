@@ -367,7 +367,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, controls: tu
         size = 0
         for conv_id, turns in itertools.groupby(_tuples(batches), key=lambda r: r[0]):
             messages = ({"role": role, "text": text, "turn": turn} for _, turn, role, text in turns)
-            for k, (text, spans) in enumerate(parts(render({"messages": messages}))):
+            for k, (text, spans) in enumerate(parts(render({"messages": messages}), PART_CHARS)):
                 made.append((conv_id, k, text, [{"start": a, "end": b} for a, b in spans]))
                 size += len(text)
                 if size >= PART_CHARS:

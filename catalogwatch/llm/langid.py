@@ -240,6 +240,8 @@ class _Scorer:
         self.scores[have : have + len(fresh)] = word_scores(lattice(self.model.vocabulary), fresh, self.model.p)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.model.languages:
+            return [(NO_LANGUAGE, 0.0)] * len(texts)
         split = [text_words(t) for t in texts]
         rows = [list(map(self.number.get, words)) for words in split]
         new = {w for words, row in zip(split, rows) for w, x in zip(words, row) if x is None}
@@ -254,7 +256,7 @@ class _Scorer:
         return [self._verdict(np.array(row, np.int64)) for row in rows]
 
     def _verdict(self, row: np.ndarray) -> tuple[str, float]:
-        if not len(row) or not self.model.languages:
+        if not len(row):
             return NO_LANGUAGE, 0.0
         total = self.scores[row].sum(axis=0)
         best = int(total.argmax())
