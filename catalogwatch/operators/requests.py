@@ -189,26 +189,26 @@ def compliance_statistics(log: DataFrame, by, allowed: Column, delayed: Column,
     )
 
 
-def retry_statistics(log: DataFrame, by, success: Column, us: str, delay: Column) -> DataFrame:
+def retry_statistics(log: DataFrame, by, success: Column, us: str, tie: str, delay: Column) -> DataFrame:
     """Attempts, successes, current failure streak, first and last failure, delay per retry.
 
-    The current streak is the number of failures after the last success: found with two partial
-    aggregates instead of an ordered pass.
+    The current streak is the number of failures after the last success (of equal times, by ``tie``): found with two
+    partial aggregates instead of an ordered pass.
     """
     keys = [by] if isinstance(by, str) else list(by)
-    base = log.select(*keys, us, success.alias("_ok"), delay.alias("_delay"))
+    base = log.select(*keys, us, F.struct(us, tie).alias("_at"), success.alias("_ok"), delay.alias("_delay"))
     a = base.groupBy(*keys).agg(
         _hits(~F.col("_ok")).alias("attempt_count"),
         _hits(F.col("_ok")).alias("success_count"),
         F.min(F.when(~F.col("_ok"), F.col(us))).alias("first_failure"),
         F.max(F.when(~F.col("_ok"), F.col(us))).alias("last_failure"),
         F.max(F.when(F.col("_ok"), F.col(us))).alias("last_success"),
+        F.max(F.when(F.col("_ok"), F.col("_at"))).alias("_last"),
         F.round(F.sum(F.when(~F.col("_ok"), F.col("_delay"))), 2).alias("total_delay"),
     )
-    marks = a.select(*keys, F.col("last_success").alias("_last"))
-    tail = base.where(~F.col("_ok")).join(marks, keys).where(F.col("_last").isNull() | (F.col(us) > F.col("_last")))
+    tail = base.where(~F.col("_ok")).join(a.select(*keys, "_last"), keys).where(F.col("_last").isNull() | (F.col("_at") > F.col("_last")))
     streak = tail.groupBy(*keys).agg(F.count("*").alias("consecutive_failures"))
-    out = a.join(streak, keys, "left")
+    out = a.drop("_last").join(streak, keys, "left")
     run = F.coalesce("consecutive_failures", F.lit(0))
     return out.withColumns(
         {

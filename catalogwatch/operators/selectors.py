@@ -17,14 +17,13 @@ STORE_COLUMNS = ("last_used", "confidence_score", "reliability_score", "usage_co
 WIN_REASONS = ("newer", "higher_confidence", "more_reliable", "more_used")
 
 
-def end_streaks(log: DataFrame, keys: list[str], us: str, ok: str) -> DataFrame:
-    """Length of the success and failure runs that end each key's log (two partial aggregates)."""
-    last = log.groupBy(*keys).agg(
-        F.max(F.when(F.col(ok), F.col(us))).alias("_s"), F.max(F.when(~F.col(ok), F.col(us))).alias("_f")
-    )
+def end_streaks(log: DataFrame, keys: list[str], us: str, tie: str, ok: str) -> DataFrame:
+    """Length of the success and failure runs that end each key's log, equal times by ``tie`` (two partial aggregates)."""
+    at = F.struct(us, tie)
+    last = log.groupBy(*keys).agg(F.max(F.when(F.col(ok), at)).alias("_s"), F.max(F.when(~F.col(ok), at)).alias("_f"))
     tail = log.join(last, keys)
-    after_f = F.col(ok) & (F.col("_f").isNull() | (F.col(us) > F.col("_f")))
-    after_s = ~F.col(ok) & (F.col("_s").isNull() | (F.col(us) > F.col("_s")))
+    after_f = F.col(ok) & (F.col("_f").isNull() | (at > F.col("_f")))
+    after_s = ~F.col(ok) & (F.col("_s").isNull() | (at > F.col("_s")))
     return tail.groupBy(*keys).agg(
         F.count_if(after_f).alias("consecutive_successes"), F.count_if(after_s).alias("consecutive_failures")
     )
@@ -41,7 +40,7 @@ def selector_state(log: DataFrame, keys: list[str], us: str, tie: str, success:
         F.max(us).alias("last_used"),
     )
     folded = half_mean_latency(base.where(F.col(seconds) > 0), keys, us, tie, seconds, width).drop("n")
-    j = counts.join(end_streaks(base, keys, us, "_ok"), keys).join(folded, keys, "left")
+    j = counts.join(end_streaks(base, keys, us, tie, "_ok"), keys).join(folded, keys, "left")
     return with_scores(j.withColumns({"usage_count": F.col("total_attempts"), "avg_seconds": F.col("half_mean")}).drop("half_mean"), as_of_us)
 
 

@@ -57,24 +57,19 @@ def filter_products(urls: DataFrame, patterns=(), min_segments: int = 0, numeric
     return urls.where(U.looks_like_product(F.col("url"), patterns, min_segments, numeric_last))
 
 
-def merge_ordered(sources: list[DataFrame], limit: int | None = None, pos: str = "pos") -> DataFrame:
-    """Ordered union of several URL lists without repeats, capped at ``limit`` in that order.
-
-    Earlier lists come first. The cap is the operator's own (a hard size limit of the cache),
-    done as top-k per partition and a merge.
-    """
+def merge_ordered(sources: list[DataFrame], pos: str = "pos") -> DataFrame:
+    """Union of several URL lists without repeats: each URL with the first list and place that has it."""
     tagged = [s.select("url", F.lit(i).alias("source"), F.col(pos).alias("pos")) for i, s in enumerate(sources)]
     merged = tagged[0]
     for t in tagged[1:]:
         merged = merged.unionByName(t)
     merged = merged.where(F.coalesce("url", F.lit("")) != "")
     first = merged.groupBy("url").agg(F.min(F.struct("source", "pos")).alias("_o"))
-    out = first.select("url", "_o.source", "_o.pos")
-    return out.orderBy("source", "pos", "url").limit(limit) if limit is not None else out
+    return first.select("url", "_o.source", "_o.pos")
 
 
 def discover(existing: DataFrame, site_map: DataFrame, preseed: DataFrame, sitemap: DataFrame, category: DataFrame,
-             limit: int | None = None, force_category: bool = False, preseed_replaces: bool = False) -> DataFrame:
+             force_category: bool = False, preseed_replaces: bool = False) -> DataFrame:
     """Prioritised union; the category list counts only when the others found nothing (or is forced).
 
     The "found nothing" test stays in the plan as a subquery that stops at the first row.
@@ -83,7 +78,7 @@ def discover(existing: DataFrame, site_map: DataFrame, preseed: DataFrame, sitem
         others = site_map.select("url").unionByName(preseed.select("url")).unionByName(sitemap.select("url"))
         category = category.where(~others.exists())
     sources = [site_map, preseed, sitemap, category]
-    return merge_ordered(sources if preseed_replaces else [existing, *sources], limit)
+    return merge_ordered(sources if preseed_replaces else [existing, *sources])
 
 
 def pending_urls(urls: DataFrame, processed: DataFrame) -> DataFrame:
@@ -157,17 +152,22 @@ def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key))), key).limit(n)
 
 
+# Buckets whose sizes are accumulated in one task.
+BUCKETS = 4096
+
+
 def dense_index(df: DataFrame, order: list[str], bucket: Column, name: str = "index") -> DataFrame:
     """Global 0-based position without a global sort.
 
-    ``bucket`` is a coarse, order-compatible label; rows are numbered inside their bucket and the
-    bucket sizes (a small table) are accumulated.
+    ``bucket`` is a coarse, order-compatible whole number; rows are numbered inside their bucket. Bucket sizes are
+    accumulated in two levels, within blocks of ``BUCKETS`` buckets and over the blocks, so no task gets all buckets.
     """
     b = df.withColumn("_b", bucket)
-    sizes = b.groupBy("_b").agg(F.count("*").alias("_n"))
-    starts = sizes.select(
-        "_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start")
-    )
+    sizes = b.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_g", F.floor(F.col("_b") / BUCKETS))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.groupBy("_g").agg(F.sum("_n").alias("_n")).select("_g", before(Window.orderBy("_g")).alias("_block"))
+    inner = sizes.select("_b", "_g", before(Window.partitionBy("_g").orderBy("_b")).alias("_before"))
+    starts = inner.join(blocks, "_g").select("_b", (F.col("_block") + F.col("_before")).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
     out = b.withColumn("_i", inside).join(starts, "_b")
     return out.withColumn(name, F.col("_start") + F.col("_i")).drop("_b", "_i", "_start")

@@ -131,13 +131,13 @@ def kept_jobs(spark, d):
 
 @query(
     "pages_with_job",
-    "SELECT l_orderkey AS job_id, l_linenumber, o_orderstatus, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'",
+    "SELECT l_orderkey AS job_id, l_linenumber, o_orderstatus, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 )
 def pages_with_job(spark, d):
     """Pages with status and domain of their job."""
     o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "job_id")
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), "l_linenumber")
-    return J.with_job(li, o, "job_id", ["o_orderstatus", "o_custkey"]).where("o_orderstatus = 'F'")
+    return J.with_job(li, o, "job_id", ["o_orderstatus", "o_custkey"])
 
 
 @query("audit_tail", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")

@@ -78,14 +78,19 @@ def sitemap_filter(spark, d):
 @query(
     "sitemap_levels",
     """SELECT 'region-' || r_regionkey AS map, 0 AS depth FROM region UNION ALL SELECT 'nation-' || n_nationkey, 1 FROM nation
-    UNION ALL SELECT DISTINCT 'customer-' || c_custkey, 2 FROM customer""",
+    UNION ALL SELECT DISTINCT 'customer-' || c_custkey, 2 FROM customer
+    UNION ALL SELECT DISTINCT 'deep-' || (n_nationkey % 12), CAST(n_nationkey % 12 AS INTEGER) FROM nation""",
 )
 def sitemap_levels(spark, d):
     """Sitemap indexes followed to their child maps, level by level."""
     roots = table(spark, d, "region").select(F.concat(F.lit("region-"), "r_regionkey").alias("map"))
     a = table(spark, d, "nation").select(F.concat(F.lit("region-"), "n_regionkey").alias("parent"), F.concat(F.lit("nation-"), "n_nationkey").alias("child"))
     b = table(spark, d, "customer").select(F.concat(F.lit("nation-"), "c_nationkey").alias("parent"), F.concat(F.lit("customer-"), "c_custkey").alias("child"))
-    return R.expand_sitemaps(a.unionByName(b), roots)
+    # A chain of twelve maps and a link back to its start.
+    n = table(spark, d, "nation").select((F.col("n_nationkey") % 12).alias("k"))
+    deep = n.select(F.concat(F.lit("deep-"), "k").alias("parent"), F.concat(F.lit("deep-"), (F.col("k") + 1) % 12).alias("child"))
+    start = n.where("k = 0").select(F.concat(F.lit("deep-"), "k").alias("map"))
+    return R.expand_sitemaps(a.unionByName(b).unionByName(deep), roots.unionByName(start))
 
 
 @query(

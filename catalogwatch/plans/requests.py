@@ -187,7 +187,7 @@ def compliance_statistics(spark, d):
 )
 def retry_statistics(spark, d):
     """Retry state per key at the end of the log."""
-    return req.retry_statistics(requests(spark, d), "key", F.col("success"), "us", F.col("latency"))
+    return req.retry_statistics(requests(spark, d), "key", F.col("success"), "us", "id", F.col("latency"))
 
 
 @query(
@@ -271,13 +271,13 @@ def recent_errors(spark, d):
 @query(
     "error_counts",
     f"""WITH {REQUESTS}, e AS (SELECT CASE kind WHEN 'error' THEN 'NetworkError' WHEN 'click' THEN 'ParsingError' ELSE 'Other' END AS error_type
-      FROM requests WHERE k > 50)
+      FROM requests)
     SELECT error_type, count(*) AS n, error_type <> 'Other' AND count(*) >= CASE error_type WHEN 'NetworkError' THEN 10 ELSE 5 END AS alert
     FROM e GROUP BY error_type""",
 )
 def error_counts(spark, d):
     """Errors per type against their alert thresholds."""
-    r = requests(spark, d).where("k > 50")
+    r = requests(spark, d)
     kind = F.when(F.col("kind") == "error", "NetworkError").when(F.col("kind") == "click", "ParsingError").otherwise("Other")
     return req.error_counts(r, kind)
 

@@ -86,11 +86,11 @@ def stream_sessions(spark, d):
     return out.select("key", F.unix_micros("start").alias("start_us"), "requests", "successes")
 
 
-@query("stream_dedupe", f"WITH {REQUESTS} SELECT DISTINCT key, k FROM requests")
+@query("stream_dedupe", f"WITH {REQUESTS} SELECT DISTINCT key, k, CAST(1 AS BIGINT) AS times FROM requests")
 def stream_dedupe(spark, d):
-    """URLs seen, repeats dropped in the stream."""
+    """URLs seen, repeats dropped in the stream: each comes out once."""
     out = drain(W.dedupe_urls(request_stream(spark, d).select("key", "k", "ts"), "ts", ["key", "k"], "40 days"), "dedupe")
-    return out.select("key", "k").distinct()
+    return out.groupBy("key", "k").agg(F.count("*").alias("times"))
 
 
 @query(

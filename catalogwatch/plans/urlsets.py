@@ -137,12 +137,11 @@ def _lists(spark, d):
 @query(
     "merge_ordered_urls",
     f"""WITH {LISTS} SELECT url, s AS source, pos FROM (
-      SELECT url, CAST(s AS INTEGER) AS s, pos FROM lists QUALIFY row_number() OVER (PARTITION BY url ORDER BY s, pos) = 1)
-    ORDER BY s, pos, url LIMIT 100""",
+      SELECT url, CAST(s AS INTEGER) AS s, pos FROM lists QUALIFY row_number() OVER (PARTITION BY url ORDER BY s, pos) = 1)""",
 )
 def merge_ordered_urls(spark, d):
-    """Ordered union of four URL lists under a hard size limit."""
-    return us.merge_ordered(_lists(spark, d), limit=100)
+    """Ordered union of four URL lists."""
+    return us.merge_ordered(_lists(spark, d))
 
 
 @query(
@@ -157,6 +156,27 @@ def discover_urls(spark, d):
     return out
 
 
+@query(
+    "discover_branches",
+    f"""WITH {LISTS}, forced AS (SELECT 'forced' AS branch, url, CAST(s + 1 AS INTEGER) AS source, pos FROM lists
+      QUALIFY row_number() OVER (PARTITION BY url ORDER BY s, pos) = 1),
+    nothing AS (SELECT 'nothing_found' AS branch, url, CAST(CASE s WHEN 0 THEN 0 ELSE 4 END AS INTEGER) AS source, pos FROM lists WHERE s IN (0, 3)
+      QUALIFY row_number() OVER (PARTITION BY url ORDER BY s, pos) = 1),
+    replaced AS (SELECT 'replaced' AS branch, url, CAST(s - 1 AS INTEGER) AS source, pos FROM lists WHERE s > 0
+      QUALIFY row_number() OVER (PARTITION BY url ORDER BY s, pos) = 1)
+    SELECT * FROM forced UNION ALL SELECT * FROM nothing UNION ALL SELECT * FROM replaced WHERE source < 2""",
+)
+def discover_branches(spark, d):
+    """Discovery with a forced category list, with nothing else found, and with a preseed that replaces the known URLs."""
+    a, b, c, e = _lists(spark, d)
+    none = a.where("false")
+    forced = us.discover(none, a, b, c, e, force_category=True)
+    nothing = us.discover(a, none, none, none, e)
+    replaced = us.discover(a, b, c, none, e, preseed_replaces=True)
+    named = [x.select(F.lit(n).alias("branch"), "url", "source", "pos") for n, x in (("forced", forced), ("nothing_found", nothing), ("replaced", replaced))]
+    return named[0].union(named[1]).union(named[2])
+
+
 @query(
     "pending_urls",
     """WITH done AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
@@ -283,13 +303,13 @@ def seeded_sample(spark, d):
     "url_batches",
     """WITH i AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS index FROM part)
     SELECT p_partkey, index, CAST(index // 64 + 1 AS INTEGER) AS batch, 'batch-' || lpad(CAST(index // 64 + 1 AS VARCHAR), 3, '0') AS label
-    FROM i WHERE index // 64 + 1 > 2 AND index // 64 + 1 <= 27""",
+    FROM i""",
 )
 def url_batches(spark, d):
     """Numbered URLs cut into labelled batches."""
     p = table(spark, d, "part").select("p_partkey")
     indexed = us.dense_index(p, ["p_partkey"], F.floor(F.col("p_partkey") / 4096))
-    return us.assign_batches(indexed, 64, offset=2, max_batches=25)
+    return us.assign_batches(indexed, 64)
 
 
 @query(

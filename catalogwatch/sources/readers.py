@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,16 +129,17 @@ def filter_sitemap(entries: DataFrame) -> DataFrame:
     return entries.where(often | U.is_product_url(F.col("url")))
 
 
-def expand_sitemaps(edges: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:
+def expand_sitemaps(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """All maps reachable from the roots, with their depth.
 
-    One join per level; stops at the first level without new maps (site indexes are two or three deep).
+    One join per level, as many levels as there are; it stops at the first level without new maps, and maps that were met
+    before aren't new, so cycles end it too.
     """
     from catalogwatch.session import cut_lineage
 
     known = cut_lineage(roots.select(F.col("map")).distinct().withColumn("depth", F.lit(0)))
     frontier = known
-    for level in range(1, max_depth + 1):
+    for level in itertools.count(1):
         nxt = frontier.join(edges, F.col("map") == F.col("parent")).select(F.col("child").alias("map")).distinct()
         nxt = cut_lineage(nxt.join(known.select("map"), "map", "left_anti").withColumn("depth", F.lit(level)))
         if nxt.isEmpty():
