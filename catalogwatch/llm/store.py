@@ -77,15 +77,17 @@ def hash_sample(rows: DataFrame, key: str, about: int) -> DataFrame:
 
 
 def kept_in_worker(key: tuple, make: Callable):
-    """``make()`` once per key and Python process.
+    """``make()`` once per key and Python process; of each kind (the key's first part) only the last one is kept.
 
     Functions travel to the workers with their globals, so a module's own globals start anew with each task; this state
     stands in the process and outlives tasks where workers are reused. It holds nothing that can't be made again.
     """
     state = sys.modules.setdefault("catalogwatch_worker_state", types.ModuleType("catalogwatch_worker_state"))
-    if key not in (made := state.__dict__.setdefault("made", {})):
-        made[key] = make()
-    return made[key]
+    made = state.__dict__.setdefault("made", {})
+    if key[0] not in made or made[key[0]][0] != key:
+        made.pop(key[0], None)  # freed before the next one is made
+        made[key[0]] = (key, make())
+    return made[key[0]][1]
 
 
 def forget_newest(known: dict, most: int) -> None:

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from catalogwatch.llm.store import hash_sample, kept_in_worker, local_path, map_array, settle, shared_folder, write_file  # noqa: E402
+from catalogwatch.llm.store import forget_newest, hash_sample, kept_in_worker, local_path, map_array, settle, shared_folder, write_file  # noqa: E402
 
 MAGIC = b"CWIDS1\n\0"
 HEAD = "<8sI32sIIQQQ"
@@ -41,16 +41,24 @@ DOCUMENTS_PER_FILE = 8192
 DICTIONARY_BYTES = 1 << 16
 DICTIONARY_DOCUMENTS = 2000
 LEVEL = 3
-KEPT_WORDS = 700_000
+# Words, and parts of words, that a worker remembers.
+KEPT_WORDS = 900_000
+KEPT_PARTS = 900_000
 ROWS = 256
 _CUT = re.compile(r" (?=\S)")
+# Letters that are letters in every version of Unicode. A word of them and signs, and the same again on a next line: between
+# these groups a new token always starts.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0410-\u044f]+"
+_PARTS = re.compile(rf"({_LETTERS})([^\w\s']*)(?:(\n)({_LETTERS})([^\w\s']*))?")
+_PLAIN = re.compile(f" {_LETTERS}")
 
 
 class TokenCoder:
     """Ids of a text as bytes, equal to the tokenizer's own over the whole text.
 
     A byte-level tokenizer starts a new word at every blank in front of a visible character, whatever stands before, and
-    never merges across words. Texts are cut there; the library encodes each new word, and ids of known ones are kept.
+    never merges across words. Texts are cut there, and new words once more behind their letters. The library encodes
+    each part that isn't known yet; ids of known words and parts are kept.
     """
 
     def __init__(self, path: str):
@@ -59,29 +67,75 @@ class TokenCoder:
         self.by_word = state.startswith("ByteLevel") and "add_prefix_space=False" in state and "use_regex=True" in state and lib.normalizer is None
         self.width = 2 if lib.get_vocab_size() <= 1 << 16 else 4
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, f"<u{self.width}").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _library_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts; those that are a blank and letters go through the library many at a time, as one text."""
+        plain = [x for x in parts if _PLAIN.fullmatch(x)]
+        done: dict[str, bytes] = {}
+        for at in range(0, len(plain), 512):
+            some = plain[at : at + 512]
+            e = self.library.encode("".join(some), add_special_tokens=False)
+            words, ids = np.array(e.word_ids), np.array(e.ids, f"<u{self.width}").tobytes()
+            cuts = [0, *((np.flatnonzero(words[1:] != words[:-1]) + 1) * self.width).tolist(), len(ids)]
+            if len(cuts) == len(some) + 1:
+                done.update(zip(some, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
+        rest = [x for x in parts if x not in done]
+        done.update(zip(rest, self._library(rest)))
+        return done
+
+    def _learn(self, words: set[str]) -> None:
+        """Adds words (without their blank) to the known ones."""
+        known, kept = self.parts, self.words
+        cut, new = [], set()
+        match = _PARTS.fullmatch
+        for w in words:
+            m = match(w)
+            parts = (" " + w,) if m is None else (" " + m[1], *[x for x in m.groups()[1:] if x])
+            cut.append((w, parts))
+            new.update(parts)
+        fresh = list(new.difference(known))
+        if len(known) + len(fresh) > KEPT_PARTS:
+            forget_newest(known, KEPT_PARTS)
+            fresh = list(new.difference(known))
+        if fresh:
+            known.update(self._library_parts(fresh))
+        if len(kept) + len(cut) > KEPT_WORDS:
+            forget_newest(kept, KEPT_WORDS)
+        for w, parts in cut:
+            kept[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])
+
+    def _first(self, word: str) -> bytes:
+        """The first word has no blank in front of it."""
+        ids = self.parts.get(word)
+        if ids is None:
+            ids = self._library([word])[0]
+            if len(self.parts) < KEPT_PARTS:
+                self.parts[word] = ids
+        return ids
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.by_word:
             return self._library([text])[0]
-        kept = self.words
-        first, *words = text.split(" ")
-        new = set(words).difference(kept)
-        if any(not w or w[0].isspace() for w in new):  # such words are never kept
-            first, *words = _CUT.split(text)
-            new = set(words).difference(kept)
-        if len(kept) + len(new) > KEPT_WORDS:
-            kept.clear()
-            new = set(words)
+        words = text.split(" ")
+        for again in (False, True):
+            out = list(map(self.words.get, words))
+            out[0] = self._first(words[0])
+            gaps = [i for i, x in enumerate(out) if x is None]
+            new = {words[i] for i in gaps}
+            if again or not any(not w or w[0].isspace() for w in new):  # such words are never kept
+                break
+            words = _CUT.split(text)
         if new:
-            fresh = list(new)
-            kept.update(zip(fresh, self._library([f" {w}" for w in fresh])))
-        out = b"".join([*(self._library([first]) if first else ()), *[kept[w] for w in words]])
-        return out
+            self._learn(new)
+            for i in gaps:
+                out[i] = self.words[words[i]]
+        return b"".join(out)
 
 
 def coder(path: str) -> TokenCoder:
@@ -105,7 +159,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, documents: in
     sample = hash_sample(docs.select("doc_id", "text"), "doc_id", documents)
     # The order is fixed, so that a repeated task trains the same dictionary.
     one = sample.repartition(1).sortWithinPartitions("doc_id", "text").select("text")
-    return bytes(one.mapInArrow(run, "made binary").first()[0])
+    made = one.mapInArrow(run, "made binary").first()
+    return bytes(made[0]) if made else b""
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
