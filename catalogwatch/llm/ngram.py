@@ -22,15 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from catalogwatch.llm.store import kept_in_worker, map_array, settle, shared_folder, write_file
+from catalogwatch.llm.store import forget_newest, kept_in_worker, map_array, settle, shared_folder, write_file
 
 # Words of a vocabulary file; training tokens of a bigram file; numbers of a block of words.
 WORDS_PER_FILE = 1 << 20
 TOKENS_PER_FILE = 3_000_000
 BLOCK = 1 << 20
 # Tokens that are counted before they are sent on; different words counted before; words a worker remembers.
-TOKENS_AT_ONCE = 4_000_000
-WORDS_AT_ONCE = 300_000
+TOKENS_AT_ONCE = 3_000_000
+WORDS_AT_ONCE = 250_000
 KEPT_WORDS = 500_000
 ROWS = 256
 END = b""  # no word is empty
@@ -184,7 +184,7 @@ class _Numbers:
         if gaps:
             new = list({tokens[i] for i in gaps})
             if len(self.known) + len(new) > KEPT_WORDS:
-                self.known.clear()
+                forget_newest(self.known, KEPT_WORDS)
             fresh = dict(zip(new, self.vocabulary.find(new)[0].tolist()))
             self.known.update(fresh)
             for i in gaps:
@@ -352,9 +352,6 @@ class Scorer:
         self.bigrams = Segments(model.folder, model.bigrams, kinds)
         self.follows = Segments(model.folder, model.follows, {"contexts": "<i8"})
         self.split_contexts = self._split_contexts()
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.number, self.base, self.low, self.count = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
 
@@ -384,9 +381,10 @@ class Scorer:
     def learn(self, words: list[bytes]) -> None:
         numbers, counts = self.vocabulary.find(words)
         base = np.log10((counts + 0.5) / (self.vocabulary.tokens + 0.5 * (self.vocabulary.size + 1)))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.number, self.base = np.concatenate([self.number, numbers]), np.concatenate([self.base, base])
-        self.low, self.count = np.concatenate([self.low, self.lower(numbers)]), np.concatenate([self.count, counts])
+        have = len(self.known)
+        self.known.update(zip(words, range(have, have + len(words))))
+        self.number, self.base = np.concatenate([self.number[:have], numbers]), np.concatenate([self.base[:have], base])
+        self.low, self.count = np.concatenate([self.low[:have], self.lower(numbers)]), np.concatenate([self.count[:have], counts])
 
     def pairs(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of bigrams, and the spreads of their contexts (once, twice, more often)."""
@@ -421,8 +419,8 @@ class Scorer:
         new = {t for x, row in zip(tokens, rows) for t, k in zip(x, row) if k is None}
         if new:
             if len(self.known) + len(new) > KEPT_WORDS:
-                self._clear()
-                new = {t for x in tokens for t in x}
+                forget_newest(self.known, KEPT_WORDS)
+                new = {t for x in tokens for t in x if t not in self.known}
             self.learn(list(new))
             rows = [[self.known[t] for t in x] for x in tokens]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
