@@ -22,10 +22,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogwatch.llm.store import kept_in_worker
+from catalogwatch.llm.store import forget_newest, kept_in_worker
 
 BLANK = "▁"
-# Words a worker remembers, and token pairs whose test it remembers; beyond either it starts anew.
+# Words a worker remembers, and token pairs whose test it remembers; beyond either it forgets the newer half.
 KEPT_WORDS = 700_000
 KEPT_PAIRS = 1_000_000
 # Rows of an output batch.
@@ -95,7 +95,7 @@ class PieceCoder:
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
+                forget_newest(self.pairs, KEPT_PAIRS)
             known = self.pairs[a, b] = self._compatible(a, b)
         return known
 
@@ -156,7 +156,7 @@ class PieceCoder:
             ids = known.get(part)
             if ids is None:
                 if len(known) >= KEPT_WORDS:
-                    known.clear()
+                    forget_newest(known, KEPT_WORDS)
                 ids = known[part] = np.array(self.encode_word(part), self.kind).tobytes()
             out.append(ids)
         return b"".join(out)
@@ -166,19 +166,22 @@ class PieceCoder:
             return np.empty(0, self.kind)
         text = text.replace(BLANK, " ")
         words = text.split(" ")
-        new = set(words).difference(self.words)
-        if "" in new:  # blanks in a row, or at an end
-            words = [x[1:] for x in _WORDS.findall(" " + text)]
-            new = set(words).difference(self.words)
         kept = self.words
+        for again in (False, True):
+            out = list(map(kept.get, words))
+            gaps = [i for i, x in enumerate(out) if x is None]
+            new = {words[i] for i in gaps}
+            if again or "" not in new:  # never kept: a sign of blanks in a row or at an end
+                break
+            words = [x[1:] for x in _WORDS.findall(" " + text)]
         if len(kept) + len(new) > KEPT_WORDS:
-            kept.clear()
-            new = set(words)
+            forget_newest(kept, KEPT_WORDS)
         for w in new:
             kept[w] = self._packed(BLANK + w.replace(" ", BLANK))
-        out = np.frombuffer(b"".join([kept[w] for w in words]), self.kind)
-        kept.pop("", None)  # an empty word shows that the text has to be cut the other way
-        return out
+        for i in gaps:
+            out[i] = kept[words[i]]
+        kept.pop("", None)
+        return np.frombuffer(b"".join(out), self.kind)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
