@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogwatch.functions import urls as U
-from catalogwatch.functions.values import any_of, contains_any, count_hits, in_order, ratio
+from catalogwatch.functions.values import any_of, contains_any, count_hits, in_order, ratio, strip
 from catalogwatch.operators import html_table as H
 from catalogwatch.operators.timeline import DAY, trailing_rows
 
@@ -127,11 +127,11 @@ def seo_fields(parsed: DataFrame, *keep: str) -> DataFrame:
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html", *keep: str) -> DataFrame:
-    """Absolute targets of the page's links, one row each, native (no parse pass)."""
-    hrefs = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"'#>]+)"), F.lit(1))
-    rows = pages.select(*keep, F.col(url).alias("page_url"), F.posexplode(hrefs).alias("pos", "href"))
-    clean = F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))
-    return rows.withColumn("target", U.resolve_link(F.col("page_url"), clean)).where(U.scheme_of(F.col("target")).isin("http", "https"))
+    """Absolute targets of the page's links, one row each: ``a`` elements of the parsed page, fragments cut off."""
+    parsed = H.parse_pages(pages.select(*keep, F.col(url).alias("page_url"), F.col(html).alias("_html")), "_html")
+    hrefs = F.transform(F.filter(H.every("a"), lambda e: H.attr(e, "href").isNotNull()), lambda e: strip(F.substring_index(H.attr(e, "href"), "#", 1)))
+    rows = parsed.select(*keep, "page_url", F.posexplode(F.filter(hrefs, lambda h: h != "")).alias("pos", "href"))
+    return rows.withColumn("target", U.resolve_link(F.col("page_url"), F.col("href"))).where(U.scheme_of(F.col("target")).isin("http", "https"))
 
 
 def page_structure(parsed: DataFrame, *keep: str, html: str = "html") -> DataFrame:

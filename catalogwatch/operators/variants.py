@@ -10,120 +10,147 @@ from pyspark.sql import functions as F
 
 from catalogwatch.functions import goods
 from catalogwatch.functions import urls as U
-from catalogwatch.functions.values import NUMBER, clean_text, let, strip, to_number
+from catalogwatch.functions.values import NUMBER, clean_text, strip, to_number
 from catalogwatch.functions.variants import option_price, option_stock, variation_type
 from catalogwatch.operators import html_table as H
 
 # Where each vendor keeps its list of variants.
-VARIANT_PATHS = {"insales": "$.variants", "shopify": "$.variants", "bitrix": "$.OFFERS", "generic": "$.variations"}
+VARIANT_PATHS = {
+    "insales": "$.variants", "shopify": "$.variants", "bitrix": "$.OFFERS", "generic": "$.variations", "woocommerce": "$.product_variations",
+}
+# Field names of one vendor's offers, in the order in which they are looked at.
 BITRIX_PRICE_KEYS = ("PRICE", "MIN_PRICE", "BASE_PRICE", "price", "ITEM_PRICE")
+BITRIX_PRICE_LISTS = ("ITEM_PRICES", "ITEM_PRICE_DATA")
+BITRIX_PRODUCT_PRICES = ("MIN_PRICE", "PRICE", "PRICE_VALUE")
 BITRIX_PRICE_PARTS = (
     "DISCOUNT_VALUE", "DISCOUNT_PRICE", "RATIO_DISCOUNT_PRICE", "VALUE", "PRICE", "BASE_PRICE", "RATIO_PRICE", "PRICE_WITHOUT_DISCOUNT",
 )
 BITRIX_STOCK_KEYS = ("QUANTITY", "STOCK", "QUANTITY_RESERVED", "IN_STOCK", "AVAILABLE", "TOTAL_QUANTITY")
+BITRIX_PRODUCT_STOCK = ("QUANTITY", "AVAILABLE", "QUANTITY_AVAILABLE", "STOCK")
 
+MAP = "map<string,string>"
 
-# Fixed value: every field any vendor uses; nested parts stay JSON text.
-VARIANT_FIELDS = (
-    "id", "variation_id", "sku", "type", "title", "name", "label", "value", "price", "quantity", "stock", "available", "option_name",
-    "option_values", "inventory_quantity", "ID", "OFFER_ID", "SKU", "ARTNUMBER", "CODE", "XML_ID", "NAME", "PROPERTY_NAME", "CAN_BUY",
-    *(k for k in BITRIX_PRICE_KEYS if k != "price"), *BITRIX_STOCK_KEYS,
-)
+
+def _entries(doc: Column, vendor: Column) -> Column:
+    """Variants of a payload with the label of the option group they stand in; entries that are no objects are left out."""
+    groups = F.coalesce(*[F.map_values(F.try_variant_get(doc, p, "map<string,variant>")) for p in ("$.spConfig.attributes", "$.attributes")])
+
+    def options(g: Column) -> Column:
+        label = F.try_variant_get(g, "$.label", "string")
+        return F.transform(
+            F.coalesce(F.try_variant_get(g, "$.options", "array<variant>"), F.array().cast("array<variant>")),
+            lambda o: F.struct(o.alias("v"), label.alias("label")),
+        )
+
+    lists = F.when(vendor == "magento", F.flatten(F.transform(groups, options)))
+    for name, path in VARIANT_PATHS.items():
+        plain = F.try_variant_get(doc, path, "array<variant>")
+        lists = lists.when(vendor == name, F.transform(plain, lambda v: F.struct(v.alias("v"), F.lit(None).cast("string").alias("label"))))
+    return F.filter(lists, lambda e: F.schema_of_variant(e["v"]).startswith("OBJECT"))
 
 
 def _get(doc: Column, *paths: str) -> Column:
     return F.coalesce(*[F.nullif(F.get_json_object(doc, "$" + (p if p.startswith("[") else "." + p)), F.lit("")) for p in paths])
 
 
+def _first(values: Column) -> Column:
+    """The first value that isn't null."""
+    return F.try_element_at(F.filter(values, lambda x: x.isNotNull()), F.lit(1))
+
+
 def payload_variants(payloads: DataFrame, vendor: str, payload: str, *keep: str, base_price: Column | None = None) -> DataFrame:
     """Common variation rows out of vendor JSON documents.
 
-    The list is opened with the engine's JSON functions and exploded, each variant is read once
-    into a struct of texts, and each vendor is a set of expressions over that struct.
+    Fields are read from the parsed document by their exact names, and only those of the row's vendor. What a document
+    doesn't say stays null. Entries of the list that are no objects are left out, and so are unpriced offers of the vendor
+    that prices every offer. A document that isn't JSON has no rows.
     """
-    doc = F.try_parse_json(F.col(payload))
-    lists = None
-    for name, path in VARIANT_PATHS.items():
-        value = F.try_variant_get(doc, path, "array<variant>")
-        lists = F.when(F.col(vendor) == name, value) if lists is None else lists.when(F.col(vendor) == name, value)
     base = base_price if base_price is not None else F.lit(None).cast("double")
-    rows = payloads.select(*keep, F.col(vendor).alias("vendor"), base.alias("_base"), F.posexplode(lists).alias("pos", "_v"))
-    ddl = ", ".join(f"`{f}` string" for f in VARIANT_FIELDS)
-    # field names that differ only in case must stay apart
-    text = F.to_json("_v")
-    for lower in ("id", "sku", "name", "stock", "available", "price", "quantity"):
-        ddl = ddl.replace(f"`{lower.upper()}` string", f"`{lower.upper()}_` string")
-        text = F.replace(text, F.lit(f'"{lower.upper()}":'), F.lit(f'"{lower.upper()}_":'))
-    rows = rows.withColumn("_d", F.from_json(text, ddl))
+    doc = F.try_parse_json(F.col(payload))
+    rows = payloads.select(*keep, F.col(vendor).alias("vendor"), base.alias("_base"), F.posexplode(_entries(doc, F.col(vendor))).alias("pos", "_e"))
+    rows = rows.select(*keep, "vendor", "pos", "_base", F.col("_e.v").alias("_v"), F.col("_e.label").alias("_label"))
 
     def raw(*names: str) -> Column:
-        clash = {"ID", "SKU", "NAME", "STOCK", "AVAILABLE", "PRICE", "QUANTITY"}
-        return F.coalesce(*[F.nullif(F.col("_d")[n + "_" if n in clash else n], F.lit("")) for n in names])
-
-    def bitrix_price(k: str) -> Column:
-        return let(
-            raw(k),
-            lambda r: F.when(
-                r.startswith("{"), F.coalesce(*[goods.clean_price(F.get_json_object(r, "$." + p)) for p in BITRIX_PRICE_PARTS])
-            ).otherwise(goods.clean_price(r)),
-        )
-
-    def bitrix_quantity(k: str) -> Column:
-        return let(
-            raw(k),
-            lambda r: F.when(F.upper(F.trim(r)) == "Y", F.lit(1.0))
-            .when(r.rlike(NUMBER), F.greatest(F.floor(r.try_cast("double")), F.lit(0)).cast("double"))
-            .otherwise(F.greatest(goods.parse_stock(r), F.lit(0)).cast("double")),
+        return F.coalesce(*[F.nullif(F.try_variant_get("_v", f"$.{n}", "string"), F.lit("")) for n in names])
+
+    def price_texts(path: str) -> Column:
+        """What may be a price below a field: its own text, or the parts of an object."""
+        parts = F.try_variant_get("_v", path, MAP)
+        named = F.transform(F.array(*map(F.lit, BITRIX_PRICE_PARTS)), lambda k: F.try_element_at(parts, k))
+        return F.when(parts.isNotNull(), named).otherwise(F.array(F.try_variant_get("_v", path, "string")))
+
+    def listed_texts(path: str) -> Column:
+        """The same for a list of objects."""
+        rows = F.try_variant_get("_v", path, f"array<{MAP}>")
+        parts = F.flatten(F.transform(rows, lambda m: F.transform(F.array(*map(F.lit, BITRIX_PRICE_PARTS)), lambda k: F.try_element_at(m, k))))
+        return F.coalesce(parts, price_texts(path))
+
+    def quantity(text: Column) -> Column:
+        parsed = goods.parse_stock(text)
+        flag = F.upper(F.trim(text))
+        return (
+            F.when(text.isNull(), F.lit(None).cast("double")).when(flag.isin("Y", "TRUE"), F.lit(1.0)).when(flag == "FALSE", F.lit(0.0))
+            .when(text.rlike(NUMBER), F.greatest(F.floor(text.try_cast("double")), F.lit(0)).cast("double"))
+            .when(parsed.isNotNull(), F.greatest(parsed, F.lit(0)).cast("double"))
         )
 
     zero = F.lit(0.0)
-    option = raw("option_values")
-    barred = F.coalesce(F.upper(raw("CAN_BUY")).isin("N", "FALSE"), F.lit(False))
-    insales = {
-        "variation_id": raw("id"),
-        "sku": raw("sku"),
-        "type": F.coalesce(_get(option, "[0].option_name", "[0].name", "[0].option"), raw("option_name")),
-        "value": clean_text(F.coalesce(raw("title"), _get(option, "[0].title", "[0].value"))),
-        "price": F.coalesce(to_number(raw("price")), F.col("_base")),
-        "stock": F.coalesce(to_number(raw("quantity")), zero),
-    }
-    shopify = {
-        "variation_id": raw("id"), "sku": raw("sku"), "type": F.lit("variant"), "value": raw("title"),
-        "price": F.coalesce(to_number(raw("price")), zero) / 100,
-        "stock": F.coalesce(to_number(raw("inventory_quantity")), zero),
-    }
-    bitrix = {
-        "variation_id": raw("ID", "OFFER_ID"), "sku": raw("SKU", "ARTNUMBER", "CODE", "XML_ID", "ID"), "type": raw("PROPERTY_NAME"),
-        "value": clean_text(raw("NAME")),
-        "price": F.coalesce(*[bitrix_price(k) for k in BITRIX_PRICE_KEYS]),
-        "stock": F.coalesce(*[bitrix_quantity(k) for k in BITRIX_STOCK_KEYS], F.when(barred, zero)),
-    }
-    generic = {
-        "variation_id": raw("id", "variation_id"), "sku": raw("sku"), "type": raw("type"),
-        "value": raw("name", "title", "label", "value"),
-        "price": F.coalesce(to_number(raw("price")), zero),
-        "stock": F.coalesce(to_number(raw("stock", "quantity")), zero),
+    none = F.lit(None).cast("string")
+    # In the order in which they count; what comes later isn't read once a value is found.
+    prices = [
+        *[price_texts(f"$.{k}") for k in BITRIX_PRICE_KEYS], *[listed_texts(f"$.{k}") for k in BITRIX_PRICE_LISTS],
+        *[price_texts(f"$.PRODUCT.{k}") for k in BITRIX_PRODUCT_PRICES],
+    ]
+    cleaned = [_first(F.transform(texts, lambda x: F.when(x.isNotNull(), goods.clean_price(x)))) for texts in prices]
+    stocks = [quantity(F.try_variant_get("_v", f"$.{k}", "string")) for k in (*BITRIX_STOCK_KEYS, *(f"PRODUCT.{k}" for k in BITRIX_PRODUCT_STOCK))]
+    barred = F.coalesce(F.upper(raw("PRODUCT.CAN_BUY")).isin("N", "FALSE"), F.lit(False)) | F.coalesce(F.upper(raw("CAN_BUY")).isin("N", "FALSE"), F.lit(False))
+    money = [f"{k}.CURRENCY" for k in BITRIX_PRICE_KEYS] + [f"{k}[0].CURRENCY" for k in BITRIX_PRICE_LISTS] + [f"PRODUCT.{k}.CURRENCY" for k in BITRIX_PRODUCT_PRICES]
+    chosen = F.array_join(F.map_values(F.try_variant_get("_v", "$.attributes", MAP)), " ")
+    kinds = {
+        "insales": {
+            "variation_id": raw("id"), "sku": raw("sku"),
+            "type": raw("option_values[0].option_name", "option_values[0].name", "option_values[0].option", "option_name"),
+            "value": clean_text(raw("title", "option_values[0].title", "option_values[0].value")),
+            "price": F.coalesce(to_number(raw("price")), F.col("_base")), "stock": F.coalesce(to_number(raw("quantity")), zero), "currency": none,
+        },
+        "shopify": {
+            "variation_id": raw("id"), "sku": raw("sku"), "type": F.lit("variant"), "value": raw("title"),
+            "price": F.coalesce(to_number(raw("price")), zero) / 100, "stock": F.coalesce(to_number(raw("inventory_quantity")), zero), "currency": none,
+        },
+        "bitrix": {
+            "variation_id": raw("ID", "OFFER_ID"), "sku": raw("SKU", "ARTNUMBER", "CODE", "XML_ID", "ID"), "type": raw("PROPERTY_NAME"),
+            "value": clean_text(raw("NAME")),
+            "price": F.coalesce(*cleaned), "stock": F.coalesce(*stocks, F.when(barred, zero)),
+            "currency": raw(*money),
+        },
+        "generic": {
+            "variation_id": raw("id", "variation_id"), "sku": raw("sku"), "type": raw("type"), "value": raw("name", "title", "label", "value"),
+            "price": F.coalesce(to_number(raw("price")), zero), "stock": F.coalesce(to_number(raw("stock", "quantity")), zero), "currency": none,
+        },
+        "woocommerce": {
+            "variation_id": raw("variation_id"), "sku": raw("sku"), "type": F.lit("attribute"), "value": F.coalesce(chosen, F.lit("")),
+            "price": F.coalesce(to_number(raw("display_price")), zero), "stock": F.coalesce(to_number(raw("max_qty")), zero), "currency": none,
+        },
+        # Its payloads don't say what is in stock.
+        "magento": {
+            "variation_id": raw("id"), "sku": raw("sku"), "type": F.lower(F.coalesce("_label", F.lit("attribute"))), "value": F.coalesce(raw("label"), F.lit("")),
+            "price": F.coalesce(to_number(raw("price")), zero), "stock": F.lit(1.0), "currency": none,
+        },
     }
-    kinds = {"insales": insales, "shopify": shopify, "bitrix": bitrix, "generic": generic}
-
-    def choose(field: str) -> Column:
-        out = None
-        for name, cols in kinds.items():
-            hit = F.col("vendor") == name
-            out = F.when(hit, cols[field]) if out is None else out.when(hit, cols[field])
-        return out
-
-    available = F.coalesce(raw("available") == "true", F.lit(False))
-    entry = F.struct(*[choose(f).alias(f) for f in insales], available.alias("available"))
-    # an offer without a price is dropped for the vendor that prices every offer; the test sits in
-    # the generator, as a filter behind the projection would be pushed down and read the JSON again
+    entry = None
+    for name, columns in kinds.items():
+        made = F.struct(*[c.alias(n) for n, c in columns.items()])
+        entry = F.when(F.col("vendor") == name, made) if entry is None else entry.when(F.col("vendor") == name, made)
+    available = F.coalesce(F.try_variant_get("_v", "$.available", "string") == "true", F.lit(False))
+    # An offer without a price is dropped for the vendor that prices every offer; the test sits in the generator, as a
+    # filter behind the projection would be pushed down and read the JSON again.
     kept = F.filter(F.array(entry), lambda e: (F.col("vendor") != "bitrix") | e["price"].isNotNull())
-    out = rows.select(*keep, "vendor", "pos", F.explode(kept).alias("_e"))
+    out = rows.select(*keep, "vendor", "pos", available.alias("_available"), F.explode(kept).alias("_e"))
     positive = F.col("_e.stock") > 0
-    flag = F.when(F.col("vendor") == "insales", positive | F.col("_e.available")).otherwise(F.col("_e.stock").isNull() | positive)
+    flag = F.when(F.col("vendor") == "insales", positive | F.col("_available")).otherwise(F.col("_e.stock").isNull() | positive)
     return out.select(
         *keep, "vendor", "pos", "_e.variation_id", "_e.sku", F.coalesce("_e.type", F.lit("variant")).alias("type"), "_e.value", "_e.price",
-        "_e.stock", flag.alias("in_stock"),
+        "_e.stock", flag.alias("in_stock"), "_e.currency",
     )
 
 

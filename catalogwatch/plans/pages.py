@@ -55,14 +55,22 @@ def seo_fields(spark, d):
     )
 
 
+# Things that look like links and the other way round, in every fifth page.
+LINKED = """<a data-href="/no">x</a><!-- <a href="/comment">c</a> --><script>var s = '<a href="/script">s</a>';</script><A class=b HREF=/bare>b</A><a title="> x" href='/q?a=1&amp;b=2#f'>q</a><a href="#top">t</a>"""
+
+
 @query(
     "page_links",
-    f"""WITH l AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
-    SELECT page_id, root || {DECODE.format('href')} AS target, count(*) AS n FROM l GROUP BY ALL""",
+    f"""WITH l AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+    t AS (SELECT page_id, root || {DECODE.format('href')} AS target FROM l
+      UNION ALL SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || unnest(['/bare', '/q?a=1&b=2']) FROM pages WHERE page_id % 5 = 0)
+    SELECT page_id, target, count(*) AS n FROM t GROUP BY ALL""",
 )
 def page_links(spark, d):
     """Absolute link targets of every page."""
-    out = P.page_links(table(spark, d, "pages"), "url", "html", "page_id")
+    extra = F.when(F.col("page_id") % 5 == 0, F.lit(LINKED)).otherwise(F.lit(""))
+    pages = table(spark, d, "pages").select("page_id", "url", F.concat("html", extra).alias("html"))
+    out = P.page_links(pages, "url", "html", "page_id")
     return out.groupBy("page_id", "target").agg(F.count("*").alias("n"))
 
 

@@ -220,36 +220,52 @@ def option_prices(spark, d):
     )
 
 
+VENDORS = ["insales", "shopify", "bitrix", "generic", "woocommerce", "magento"]
+
+
 @query(
     "vendor_variants",
-    """WITH o AS (SELECT l_orderkey, l_linenumber, l_orderkey % 4 AS v, CAST(l_quantity AS INTEGER) AS q, l_partkey FROM lineitem)
-    SELECT l_orderkey, l_linenumber, ['insales', 'shopify', 'bitrix', 'generic'][v + 1] AS vendor, 0 AS pos, CAST(l_partkey AS VARCHAR) AS variation_id, 'first' AS value,
-      CASE v WHEN 0 THEN 1250.0 WHEN 1 THEN q WHEN 2 THEN q + 0.5 ELSE 7.5 END::DOUBLE AS price, CASE v WHEN 0 THEN q WHEN 1 THEN q WHEN 2 THEN 1 ELSE 3 END::DOUBLE AS stock,
-      CASE v WHEN 0 THEN 'Size' WHEN 1 THEN 'variant' WHEN 2 THEN 'variant' ELSE 'color' END AS type, TRUE AS in_stock FROM o
-    UNION ALL SELECT l_orderkey, l_linenumber, ['insales', 'shopify', 'bitrix', 'generic'][v + 1], 1, 'x', 'second',
-      CASE v WHEN 0 THEN 99.0 WHEN 1 THEN 0.0 ELSE 0.0 END::DOUBLE, 0.0::DOUBLE, 'variant', v = 0 FROM o WHERE v <> 2""",
+    f"""WITH o AS (SELECT l_orderkey, l_linenumber, {VENDORS}[l_orderkey % 6 + 1] AS vendor, CAST(l_quantity AS INTEGER) AS q, CAST(l_partkey AS VARCHAR) AS id FROM lineitem),
+    t (vendor, pos, id, value, price, stock, type, in_stock, currency) AS (VALUES
+      ('insales', 1, 'x', 'second', 99.0, 0.0, 'variant', TRUE, NULL), ('shopify', 1, 'x', 'second', 0.0, 0.0, 'variant', FALSE, NULL),
+      ('bitrix', 2, 'y', 'third', 500.0, 4.0, 'variant', TRUE, NULL), ('bitrix', 3, 'z', 'fourth', 70.0, 7.0, 'variant', TRUE, 'EUR'),
+      ('bitrix', 4, 'w', 'fifth', 80.0, 1.0, 'variant', TRUE, NULL), ('bitrix', 5, 'v', 'sixth', 1.0, NULL, 'variant', TRUE, NULL),
+      ('bitrix', 6, 'u', 'seventh', 2.0, 0.0, 'variant', FALSE, NULL),
+      ('generic', 1, 'x', 'second', 0.0, 0.0, 'variant', FALSE, NULL), ('woocommerce', 1, NULL, '', 0.0, 0.0, 'attribute', FALSE, NULL),
+      ('magento', 1, '2', 'blue', 0.0, 1.0, 'color', TRUE, NULL))
+    SELECT l_orderkey, l_linenumber, vendor, 0 AS pos, CASE WHEN vendor = 'magento' THEN '1' ELSE id END AS variation_id,
+      CASE vendor WHEN 'woocommerce' THEN 'red XL' WHEN 'magento' THEN 'red' ELSE 'first' END AS value,
+      CASE vendor WHEN 'insales' THEN 1250.0 WHEN 'shopify' THEN q WHEN 'bitrix' THEN q + 0.5 WHEN 'generic' THEN 7.5 WHEN 'woocommerce' THEN q + 0.25 ELSE q END::DOUBLE AS price,
+      CASE vendor WHEN 'insales' THEN q WHEN 'shopify' THEN q WHEN 'bitrix' THEN 1 WHEN 'generic' THEN 3 WHEN 'woocommerce' THEN q ELSE 1 END::DOUBLE AS stock,
+      CASE vendor WHEN 'insales' THEN 'Size' WHEN 'generic' THEN 'color' WHEN 'woocommerce' THEN 'attribute' WHEN 'magento' THEN 'color' ELSE 'variant' END AS type,
+      TRUE AS in_stock, CASE vendor WHEN 'bitrix' THEN 'RUB' END AS currency FROM o
+    UNION ALL SELECT l_orderkey, l_linenumber, vendor, pos, t.id, value, price::DOUBLE, stock::DOUBLE, type, in_stock, currency FROM o JOIN t USING (vendor)""",
 )
 def vendor_variants(spark, d):
     """Vendor payloads as common variation rows."""
     li = table(spark, d, "lineitem")
     q, part = F.col("l_quantity").cast("int"), F.col("l_partkey")
-    docs = {
-        0: F.format_string(
+    docs = [
+        F.format_string(
             '{"variants":[{"id":%d,"title":"first","price":"1250.0","quantity":%d,"available":false,"option_values":[{"option_name":"Size","title":"S"}]},{"id":"x","title":"second","price":null,"quantity":0,"available":true}]}',
             part, q),
-        1: F.format_string('{"variants":[{"id":%d,"title":"first","price":%d00,"inventory_quantity":%d},{"id":"x","title":"second"}]}', part, q, q),
-        2: F.format_string('{"OFFERS":[{"ID":"%d","NAME":" first ","MIN_PRICE":{"VALUE":"%d,5"},"QUANTITY":"Y"},{"ID":"x","NAME":"second","CAN_BUY":"N"}]}', part, q),
-        3: F.format_string('{"variations":[{"id":"%d","name":"first","type":"color","price":"7,5","stock":3},{"id":"x","label":"second"},5]}', part),
-    }
-    v = F.col("l_orderkey") % 4
-    doc = docs[3]
-    for i in (0, 1, 2):
+        F.format_string('{"variants":[{"id":%d,"title":"first","price":%d00,"inventory_quantity":%d},null,{"id":"x","title":"second"}]}', part, q, q),
+        F.format_string(
+            '{"OFFERS":[{"ID":"%d","id":"no","NAME":" first ","MIN_PRICE":{"PRICE":"%d,5","CURRENCY":"RUB"},"QUANTITY":"Y"},{"ID":"x","NAME":"second","CAN_BUY":"N"},'
+            '{"ID":"y","NAME":"third","PRICE":"500","STOCK":"4"},{"ID":"z","NAME":"fourth","ITEM_PRICES":[{"PRICE":70,"CURRENCY":"EUR"}],"PRODUCT":{"QUANTITY":7}},'
+            '{"ID":"w","NAME":"fifth","PRODUCT":{"PRICE":{"VALUE":80}},"AVAILABLE":"Y"},{"ID":"v","NAME":"sixth","PRICE":1},'
+            '{"ID":"u","NAME":"seventh","PRICE":2,"PRODUCT":{"CAN_BUY":false}},5,null]}', part, q),
+        F.format_string('{"variations":[{"id":"%d","name":"first","type":"color","price":"7,5","stock":3},{"id":"x","label":"second"},5]}', part),
+        F.format_string('{"product_variations":[{"variation_id":%d,"attributes":{"a_color":"red","b_size":"XL"},"display_price":%d.25,"max_qty":%d},{}]}', part, q, q),
+        F.format_string('{"spConfig":{"attributes":{"%d":{"label":"Color","options":[{"id":"1","label":"red","price":"%d"},{"id":"2","label":"blue"}]}}}}', part, q),
+    ]
+    v = F.col("l_orderkey") % 6
+    doc = docs[5]
+    for i in range(5):
         doc = F.when(v == i, docs[i]).otherwise(doc)
-    rows = li.select("l_orderkey", "l_linenumber", choice(v, ["insales", "shopify", "bitrix", "generic"]).alias("vendor"), doc.alias("payload"))
+    rows = li.select("l_orderkey", "l_linenumber", choice(v, VENDORS).alias("vendor"), doc.alias("payload"))
     out = O.payload_variants(rows, "vendor", "payload", "l_orderkey", "l_linenumber", base_price=F.lit(99.0))
-    return out.where(F.col("value").isNotNull()).select(
-        "l_orderkey", "l_linenumber", "vendor", "pos", "variation_id", "value", "price", "stock", "type", "in_stock"
-    )
+    return out.select("l_orderkey", "l_linenumber", "vendor", "pos", "variation_id", "value", "price", "stock", "type", "in_stock", "currency")
 
 
 @query(
