@@ -154,6 +154,32 @@ def payload_variants(payloads: DataFrame, vendor: str, payload: str, *keep: str,
     )
 
 
+# Attributes that hold a payload, and the field that a bare list stands for.
+PAYLOAD_ATTRIBUTES = {"data-product": None, "data-variants": "variants", "data-product_variations": "product_variations"}
+
+
+def embedded_payloads(parsed: DataFrame, *keep: str) -> DataFrame:
+    """``vendor, payload`` of every JSON object in scripts and data attributes of parsed pages that lists variants.
+
+    A script's object reaches from its first brace to its last. The vendor is told by the fields that are there.
+    """
+    scripts = F.transform("scripts", lambda s: F.regexp_extract(s["body"], r"(?s)(\{.*\})", 1))
+
+    def held(name: str, field: str | None) -> Column:
+        values = F.filter(F.transform("elements", lambda e: strip(H.attr(e, name))), lambda x: x.isNotNull())
+        whole = lambda x: F.when(x.startswith("["), F.concat(F.lit(f'{{"{field}":'), x, F.lit("}"))).otherwise(x)
+        return F.transform(values, whole) if field else values
+
+    rows = parsed.select(*keep, F.posexplode(F.concat(scripts, *[held(*x) for x in PAYLOAD_ATTRIBUTES.items()])).alias("place", "payload")).where(F.col("payload").startswith("{"))
+    doc = F.try_parse_json("payload")
+    vendor = F.when(F.try_variant_get(doc, "$.spConfig", "map<string,variant>").isNotNull(), "magento")
+    for name in ("bitrix", "woocommerce", "generic"):
+        vendor = vendor.when(F.try_variant_get(doc, VARIANT_PATHS[name], "array<variant>").isNotNull(), name)
+    listed = F.try_variant_get(doc, "$.variants", "array<variant>").isNotNull()
+    vendor = vendor.when(listed & F.col("payload").contains('"inventory_quantity"'), "shopify").when(listed, "insales")
+    return rows.select(*keep, "place", vendor.alias("vendor"), "payload").where(F.col("vendor").isNotNull())
+
+
 def prefer_sources(products: DataFrame, sources: Sequence[DataFrame], on: str) -> DataFrame:
     """Variation rows of the best source per product: the first listed source that has any.
 

@@ -268,6 +268,29 @@ def vendor_variants(spark, d):
     return out.select("l_orderkey", "l_linenumber", "vendor", "pos", "variation_id", "value", "price", "stock", "type", "in_stock", "currency")
 
 
+@query(
+    "embedded_variants",
+    """SELECT page_id, vendor, variation_id, value, price::DOUBLE AS price, stock::DOUBLE AS stock FROM (
+      SELECT page_id, 'bitrix' AS vendor, CAST(page_id AS VARCHAR) AS variation_id, 'n' AS value, 12.5 AS price, 4 AS stock FROM pages WHERE page_id % 7 = 0
+      UNION ALL SELECT page_id, 'insales', '1', 'S', 5, 2 FROM pages WHERE page_id % 9 = 0
+      UNION ALL SELECT page_id, 'shopify', '2', 'M', 3, page_id % 4 FROM pages WHERE page_id % 9 = 0
+      UNION ALL SELECT page_id, 'magento', '3', 'L', 8, 1 FROM pages WHERE page_id % 10 = 0)""",
+)
+def embedded_variants(spark, d):
+    """Variation rows of vendor JSON inside pages: scripts and data attributes."""
+    n, page = F.col("page_id"), F.col("page_id").cast("string")
+    parts = [
+        F.when(n % 7 == 0, F.concat(F.lit('<script>var a = 1; new Shop({"OFFERS":[{"ID":"'), page, F.lit('","NAME":"n","PRICE":"12,5","STOCK":"4"}]});</script>'))),
+        F.when(n % 9 == 0, F.concat(
+            F.lit("""<div data-variants='[{"id":1,"title":"S","price":"5","quantity":2}]'></div><i data-product="{&quot;variants&quot;:[{&quot;id&quot;:2,&quot;title&quot;:&quot;M&quot;,&quot;price&quot;:300,&quot;inventory_quantity&quot;:"""),
+            (n % 4).cast("string"), F.lit('}]}"></i><script>not {json}</script>'))),
+        F.when(n % 10 == 0, F.lit('<script type="text/x-magento-init">{"spConfig":{"attributes":{"9":{"label":"Size","options":[{"id":"3","label":"L","price":"8"}]}}}}</script>')),
+    ]
+    pages = table(spark, d, "pages").select("page_id", F.concat("html", *[F.coalesce(p, F.lit("")) for p in parts]).alias("html"))
+    found = O.embedded_payloads(H.parse_pages(pages), "page_id")
+    return O.payload_variants(found, "vendor", "payload", "page_id").select("page_id", "vendor", "variation_id", "value", "price", "stock")
+
+
 @query(
     "preferred_sources",
     f"""WITH {VARIATIONS}, s AS (SELECT *, CASE type WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS source_rank FROM variations WHERE NOT (type = 'A' AND pk % 2 = 0) AND NOT (type = 'N' AND pk % 3 = 0))
