@@ -247,3 +247,13 @@ def duration_label(seconds: Column) -> Column:
         .when(minutes == 0, F.concat(F.lit("≈"), text(hours), F.lit(" ч")))
         .otherwise(F.concat(F.lit("≈"), text(hours), F.lit(" ч "), text(minutes), F.lit(" мин")))
     )
+
+
+def numbered_pages(pages: DataFrame, job: str, *order: str, name: str = "place") -> DataFrame:
+    """Pages with their place (from 1) in the order of their job: by fetch time, or by address for a product list.
+
+    Where only the first pages are wanted, filter on the place: the engine then cuts each job before its shuffle.
+    """
+    from pyspark.sql import Window
+
+    return pages.withColumn(name, F.row_number().over(Window.partitionBy(job).orderBy(*order)))

@@ -140,6 +140,27 @@ def pages_with_job(spark, d):
     return J.with_job(li, o, "job_id", ["o_orderstatus", "o_custkey"])
 
 
+@query(
+    "ordered_pages",
+    """SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS INTEGER) AS place FROM lineitem""",
+)
+def ordered_pages(spark, d):
+    """Pages of every job in order of their fetch time."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return J.numbered_pages(li, "l_orderkey", "l_shipdate", "l_linenumber").select("l_orderkey", "l_linenumber", "place")
+
+
+@query(
+    "ordered_products",
+    """SELECT o_custkey, 'https://s.example.com/' || o_orderkey AS url,
+      CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY 'https://s.example.com/' || o_orderkey) AS INTEGER) AS place FROM orders""",
+)
+def ordered_products(spark, d):
+    """Products of every site in order of their address."""
+    o = table(spark, d, "orders").select("o_custkey", F.concat(F.lit("https://s.example.com/"), "o_orderkey").alias("url"))
+    return J.numbered_pages(o, "o_custkey", "url")
+
+
 @query("audit_tail", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def audit_tail(spark, d):
     """Last fifty audit entries."""

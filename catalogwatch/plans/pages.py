@@ -325,6 +325,20 @@ def frequent_classes(spark, d):
     return P.frequent_classes(H.parse_pages(marked(spark, d)))
 
 
+@query(
+    "page_ids",
+    """SELECT page_id, unnest(list_distinct(['box', 'k' || (page_id % 5), 'box' || CASE WHEN page_id % 2 = 0 THEN '' ELSE '2' END])) AS id FROM pages""",
+)
+def page_ids(spark, d):
+    """Distinct element ids of every page."""
+    n = F.col("page_id")
+    extra = F.concat(
+        F.lit("<p id=box>a</p><p id='k"), (n % 5).cast("string"), F.lit("'><i id=\"\"></i><b ID=\"box"), F.when(n % 2 == 0, "").otherwise("2"), F.lit("\">b</b>")
+    )
+    pages = table(spark, d, "pages").select("page_id", F.concat("html", extra).alias("html"))
+    return P.page_ids(H.parse_pages(pages), "page_id")
+
+
 @query(
     "clean_documents",
     "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1f\\x7f\\x{80}-\\x{9f}]', '', 'g'), '[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS clean FROM documents",

@@ -312,6 +312,25 @@ def url_batches(spark, d):
     return us.assign_batches(indexed, 64)
 
 
+@query(
+    "numbered_page_urls",
+    """WITH u AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN 'https://a.example.com/list/' || l_partkey WHEN 1 THEN 'http://a.example.com/x/' || l_partkey || '/?p=2'
+        WHEN 2 THEN 'https://b.example.com/' || l_partkey WHEN 3 THEN 'ftp://a.example.com/' || l_partkey ELSE 'https://a.example.com/list-' || l_partkey END AS url FROM lineitem)
+    SELECT l_orderkey, l_linenumber, url FROM u WHERE l_linenumber % 5 IN (0, 1)""",
+)
+def numbered_page_urls(spark, d):
+    """Addresses of one site whose path ends in a number."""
+    n, part = F.col("l_linenumber") % 5, F.col("l_partkey").cast("string")
+    url = (
+        F.when(n == 0, F.concat(F.lit("https://a.example.com/list/"), part))
+        .when(n == 1, F.concat(F.lit("http://a.example.com/x/"), part, F.lit("/?p=2")))
+        .when(n == 2, F.concat(F.lit("https://b.example.com/"), part)).when(n == 3, F.concat(F.lit("ftp://a.example.com/"), part))
+        .otherwise(F.concat(F.lit("https://a.example.com/list-"), part))
+    )
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", url.alias("url"))
+    return li.where(U.is_numbered_page(F.col("url"), F.lit("a.example.com")))
+
+
 @query(
     "cached_product_urls",
     f"SELECT page_id, {STRIPPED} AS url FROM pages WHERE regexp_matches({STRIPPED}, '/[0-9]+$')",
