@@ -51,7 +51,46 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("op3_secret_scan")
+def _spans_sql(pattern: str, rank: int, keep: str = "TRUE", group: int = 0) -> str:
+    """Spans of a pattern's matches from what lies between them; ``keep`` is a condition on ``gs[i]``, the match's group."""
+    q = pattern.replace("'", "''")
+    at = "CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS INTEGER)"
+    return f"""SELECT doc_id, t, {at} AS start, {rank} AS rank, {at} + CAST(length(hits[i]) AS INTEGER) AS stop, gs[i] AS g FROM (
+      SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, t, string_split_regex(t, '{q}') AS gaps,
+        regexp_extract_all(t, '{q}', 0) AS hits, regexp_extract_all(t, '{q}', {group}) AS gs FROM d)) WHERE {keep}"""
+
+
+_STATES_SQL = f"list_transform(string_split({{0}}, ''), lambda c: instr('{secrets.ALPHABET}', c))"
+_PAIRS_SQL = "list_transform(range(1, len(s) + 1), lambda i: CASE WHEN i = 1 THEN 0 ELSE s[i - 1] END * 1000 + s[i])"
+# Equal as long as the documents aren't more than the bound of the labelled samples: then all of them are samples.
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+rnd AS (SELECT id, sha256(CAST(id AS VARCHAR)) AS x, base64(unhex(sha256(CAST(id AS VARCHAR)))) AS c, CAST(CAST('0x' || substring(sha256(CAST(id AS VARCHAR)), 1, 15) AS BIGINT) AS VARCHAR) AS n
+  FROM range({secrets.RANDOM_SAMPLES}) r(id)),
+w AS (SELECT w, count(*) AS k, upper(w[1]) || lower(w[2:]) AS i, CAST(count(*) AS VARCHAR) AS n FROM (SELECT unnest(regexp_extract_all(t, '[A-Za-z]+')) AS w FROM d) GROUP BY w),
+labelled AS (
+  SELECT unnest([x, upper(x), c, translate(c, '+/=', ''), replace(translate(c, '+/', '-_'), '=', '')]) AS text, TRUE AS random, 1 AS k FROM rnd
+  UNION ALL SELECT unnest([w, upper(w), i || i, w || '_' || w, w || '-' || w, '/' || w || '/' || w || '=', w || '-' || n, w || n || '_' || w]), FALSE, k FROM w
+  UNION ALL SELECT unnest([n, CAST(CAST(DATE '2000-01-01' + CAST(id * 9 AS INTEGER) AS DATE) AS VARCHAR), regexp_replace(n, '(..)', '\\1-', 'g')]), FALSE, 1 FROM rnd),
+st AS (SELECT random, k, {_STATES_SQL.format("text")} AS s FROM labelled WHERE regexp_full_match(text, '[{secrets.TOKEN}]+')),
+pc AS (SELECT pair, sum(k) FILTER (WHERE random) AS r, sum(k) FILTER (WHERE NOT random) AS o FROM (SELECT random, k, unnest({_PAIRS_SQL}) AS pair FROM st) GROUP BY pair),
+grid AS (SELECT a * 1000 + b AS pair, a, coalesce(r, 0) + 1 AS r, coalesce(o, 0) + 1 AS o FROM range({secrets.STATES}) x(a), range({secrets.STATES}) y(b) LEFT JOIN pc ON pair = a * 1000 + b),
+cell AS (SELECT pair, CAST(round((log2(r / sum(r) OVER (PARTITION BY a)) - log2(o / sum(o) OVER (PARTITION BY a))) * 1000) AS BIGINT) AS v FROM grid),
+base AS ({_spans_sql(secrets.ASSIGN, 0, f"length(gs[i]) >= {secrets.ASSIGN_LENGTH}", 2)}
+  UNION ALL {_spans_sql(secrets.ACCESS, 1)} UNION ALL {_spans_sql(secrets.HEX, 2)}),
+run AS ({_spans_sql(f"[{secrets.TOKEN}]{{20,}}", 3)}),
+loose AS (SELECT * FROM run WHERE NOT EXISTS (FROM base WHERE base.doc_id = run.doc_id AND base.start < run.stop AND run.start < base.stop)),
+judged AS (SELECT doc_id, start, any_value(stop) AS stop, sum(v) AS total FROM (SELECT doc_id, start, stop, unnest({_PAIRS_SQL}) AS pair
+  FROM (SELECT *, {_STATES_SQL.format("g")} AS s FROM loose)) JOIN cell USING (pair) GROUP BY doc_id, start),
+spans AS (SELECT doc_id, start, rank, stop FROM base UNION ALL SELECT doc_id, start, 3, stop FROM judged WHERE total >= greatest({secrets.LEAST_TOTAL}, {secrets.LEAST_EACH} * (stop - start))),
+said AS (SELECT doc_id, rank, start, {list(secrets.KINDS)}[rank + 1] || ':' || start || ':' || stop AS s FROM spans)
+SELECT d.doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+  sha256(coalesce(string_agg(s, ',' ORDER BY start, rank) FILTER (WHERE rank < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY start, rank), '') AS spans
+FROM d LEFT JOIN said USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@query("op3_secret_scan", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     n = [F.expr(f"cast(size(filter(base, s -> s.rank = {k})) as long)").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
