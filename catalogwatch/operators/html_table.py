@@ -18,6 +18,8 @@ PARSED_DDL = (
     f"elements array<{ELEMENT}>, strings array<string>, scripts array<struct<type:string,body:string>>, "
     "text_words int, top_word int"
 )
+# Parsed pages are large, so far fewer leave at once than come in.
+ROWS = 256
 # Elements that never have content.
 VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
 
@@ -91,12 +93,14 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = _arrow_fields()
-        for batch in batches:
-            rows = [_parse(h) for h in batch.column(html).to_pylist()]
-            parsed = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *parsed], schema=pa.schema([*batch.schema, *fields])
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                rows = [_parse(h) for h in batch.column(html).to_pylist()]
+                parsed = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *parsed], schema=pa.schema([*batch.schema, *fields])
+                )
 
     schema = T.StructType(pages.schema.fields + T.StructType.fromDDL(PARSED_DDL).fields)
     return pages.mapInArrow(run, schema)

@@ -25,16 +25,10 @@ def build_session(app: str = "catalogwatch", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-# Rows handed to Python at once; pages are large, so far fewer than the engine's default.
-ARROW_ROWS = 512
-
-
 def prepare(spark: SparkSession) -> SparkSession:
-    """Zone-less timestamps in the tables are UTC; Python batches of pages stay small."""
+    """Zone-less timestamps in the tables are UTC; a session built by :func:`build_session` is so already."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
 
