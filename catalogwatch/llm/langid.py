@@ -29,7 +29,7 @@ DOCUMENTS_PER_LANGUAGE = 1000
 STEPS = 2
 UNSEEN = 0.01
 # Words a worker remembers; words that are passed forward at once; longer words are passed on their own.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 350_000
 CHUNK = 8192
 LONG = 48
 ROWS = 256
@@ -84,7 +84,7 @@ class Lattice:
 
 
 def lattice(path: str) -> Lattice:
-    return kept_in_worker(("lattice", path), lambda: Lattice(path))
+    return kept_in_worker(("lattice", path), lambda: Lattice(path), "language")
 
 
 def _forward(found: np.ndarray, starts: np.ndarray, sizes: np.ndarray, p: np.ndarray) -> np.ndarray:

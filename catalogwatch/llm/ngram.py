@@ -31,7 +31,7 @@ BLOCK = 1 << 20
 # Tokens that are counted before they are sent on; different words counted before; words a worker remembers.
 TOKENS_AT_ONCE = 3_000_000
 WORDS_AT_ONCE = 250_000
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 ROWS = 256
 END = b""  # no word is empty
 MOST = 255  # counts from here on stand in a list of their own

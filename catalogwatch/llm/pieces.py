@@ -26,8 +26,8 @@ from catalogwatch.llm.store import forget_newest, kept_in_worker
 
 BLANK = "▁"
 # Words a worker remembers, and token pairs whose test it remembers; beyond either it forgets the newer half.
-KEPT_WORDS = 700_000
-KEPT_PAIRS = 1_000_000
+KEPT_WORDS = 400_000
+KEPT_PAIRS = 500_000
 # Rows of an output batch.
 ROWS = 256
 _WORDS = re.compile(" +[^ ]*")

@@ -76,17 +76,24 @@ def hash_sample(rows: DataFrame, key: str, about: int) -> DataFrame:
     return rows.where(F.xxhash64(F.col(key), F.lit("sample")) < F.lit(cut))
 
 
-def kept_in_worker(key: tuple, make: Callable):
+def kept_in_worker(key: tuple, make: Callable, family: str | None = None):
     """``make()`` once per key and Python process; of each kind (the key's first part) only the last one is kept.
 
+    A worker serves many stages of an application, so only one family of kinds is held at a time: what an earlier
+    operator has left is freed when the next one begins. ``family`` is the kind unless it is named.
+
     Functions travel to the workers with their globals, so a module's own globals start anew with each task; this state
     stands in the process and outlives tasks where workers are reused. It holds nothing that can't be made again.
     """
-    state = sys.modules.setdefault("catalogwatch_worker_state", types.ModuleType("catalogwatch_worker_state"))
-    made = state.__dict__.setdefault("made", {})
+    state = sys.modules.setdefault("catalogwatch_worker_state", types.ModuleType("catalogwatch_worker_state")).__dict__
+    family = family or key[0]
+    if state.get("family") != family:
+        state["family"], state["made"] = family, {}
+    made = state["made"]
     if key[0] not in made or made[key[0]][0] != key:
         made.pop(key[0], None)  # freed before the next one is made
-        made[key[0]] = (key, make())
+        value = make()
+        made[key[0]] = (key, value)
     return made[key[0]][1]
 
 
