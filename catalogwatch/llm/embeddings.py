@@ -48,7 +48,9 @@ def unit_rows(vectors: pa.Array) -> np.ndarray:
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``vec_id, v, fine``; fine: neither null nor empty, all components finite, not all of them zero."""
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    kind = vectors.schema[embedding].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # floats travel as floats
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     return rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
@@ -174,7 +176,8 @@ def near_duplicates(
     classes = rows.where("fine").groupBy("v").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least_id"))
     classes = settle(classes, "classes")
     passes = passes or passes_for(classes.count(), least, window)
-    words = classes.select("rep", "v").mapInArrow(_keys(passes, BITS), "rep long, v array<double>, words array<long>")
+    kind = classes.schema["v"].dataType.simpleString()
+    words = classes.select("rep", "v").mapInArrow(_keys(passes, BITS), f"rep long, v {kind}, words array<long>")
     spread = words.select(F.posexplode("words").alias("pass", "word"), "rep", "v", F.size("v").alias("dim"))
     # Ranges of (pass, word, rep): equal words are split too, no task depends on how many rows look alike.
     ordered = spread.repartitionByRange("pass", "dim", "word", "rep").sortWithinPartitions("pass", "dim", "word", "rep")
