@@ -88,21 +88,21 @@ def train(labelled: DataFrame) -> DataFrame:
     return cells.agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("cells")).select(F.col("cells.v").alias("model"))
 
 
-def _spans(text: Column, pattern: str, rank: int, keep: str = "true") -> Column:
+def _spans(text: Column, pattern: str, rank: int, least: int = 0) -> Column:
     """Spans of all matches: code points, end exclusive. What lies between matches, and the matches, give the places.
 
-    ``keep`` is a condition on ``g`` (group 2 of the match, or the match).
+    With ``least``, matches go whose group 2 has fewer characters.
     """
     p = F.lit(pattern)
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0))
-    groups = F.regexp_extract_all(text, p, F.lit(2)) if "(" in pattern.replace("(?", "") else hits
+    groups = F.regexp_extract_all(text, p, F.lit(2)) if least else hits
     parts = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), groups.alias("g"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-        kept = F.when(F.length(x["g"]) >= ASSIGN_LENGTH, F.array(span)).otherwise(F.array().cast(SPAN)) if keep != "true" else F.array(span)
+        kept = F.when(F.length(x["g"]) >= least, F.array(span)).otherwise(F.array().cast(SPAN)) if least else F.array(span)
         return F.struct(end.alias("at"), F.concat(acc["out"], kept).alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
@@ -122,7 +122,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Dat
     full = F.coalesce("text", F.lit(""))
     found = rows.select(
         "doc_id", "text",
-        F.array_sort(F.concat(_spans(full, ASSIGN, 0, "long"), _spans(full, ACCESS, 1), _spans(full, HEX, 2))).alias("base"),
+        F.array_sort(F.concat(_spans(full, ASSIGN, 0, ASSIGN_LENGTH), _spans(full, ACCESS, 1), _spans(full, HEX, 2))).alias("base"),
         _spans(full, RUN, 3).alias("runs"),
     )
     # Runs that no base span touches, with their characters' numbers.
