@@ -1,9 +1,10 @@
 """Near-duplicate vectors by sorted projection passes.
 
 Each pass orders all vectors by a word of random hyperplane bits, so that near ones come to stand side by side, and
-compares every vector with a bounded window of its neighbours. Verified pairs of all passes are united to components.
-Windows don't show every link of a dense group; as linked vectors are in one component, the links are then counted whole
-within each component, in blocks.
+compares every vector with a bounded window of its neighbours. How many vectors share the leading bits is counted: where
+they are more than a window, they are compared whole, in blocks, so that the chance to find a pair depends on its angle
+only and not on how the vectors lie. Verified pairs of all passes are united to components. Windows don't show every link
+of a dense group; as linked vectors are in one component, the links are then counted whole within each component, in blocks.
 """
 
 from __future__ import annotations
@@ -25,17 +26,24 @@ WINDOW = 128
 SEED = 20_240_117
 # Chance, at most, that no pass brings a pair at the threshold into one window.
 MISSED = 0.02
-# Members of a component that are compared as one block.
+# Members of a component, and of a crowded prefix, that are compared as one block; rows of it that are multiplied at once.
 BLOCK = 512
+CROWD_BLOCK = 2048
+ROWS = 256
+
+
+def prefix_for(rows: int, window: int = WINDOW) -> int:
+    """Leading bits that would cut the rows down to a window if each halved them."""
+    return min(BITS, max(0, math.ceil(math.log2(max(rows, 2) / window))))
 
 
 def passes_for(rows: int, cosine: float = LEAST_COSINE, window: int = WINDOW, missed: float = MISSED) -> int:
-    """Passes that find a pair at the threshold with probability ``1 - missed``, whatever the number of rows.
+    """Passes that find a pair at the threshold with probability ``1 - missed``, whatever the number of rows and their places.
 
-    Two vectors at an angle share each bit with probability ``1 - angle / pi``; they come into one window if they share
-    the bits that cut the rows down to a window.
+    Two vectors at an angle share each bit with probability ``1 - angle / pi``, and all rows that share the leading bits
+    of :func:`prefix_for` are compared.
     """
-    together = (1 - math.acos(cosine) / math.pi) ** max(0.0, math.log2(max(rows, 2) / window))
+    together = (1 - math.acos(cosine) / math.pi) ** prefix_for(rows, window)
     return max(2, math.ceil(math.log(missed) / math.log(1 - min(together, 0.999))))
 
 
@@ -119,30 +127,16 @@ def _window_pairs(window: int, least: float):
     return run
 
 
-def _block_links(least: float):
-    """Weights of linked partners, for blocks of a component's members that stand side by side in a sorted partition."""
+def _by_block(work):
+    """``work(block, same)`` for each block of rows of one (group, i, j) that stand side by side in a sorted partition; same: i = j."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            block = pa.Table.from_batches(held).combine_chunks()
-            side, ids, weight = (block.column(c).to_numpy() for c in ("side", "rep", "weight"))
-            rows = unit_rows(block.column("v").chunk(0))
-            mine, other = (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-            if key[1] == key[2]:
-                other = mine
-            hit = rows[mine] @ rows[other].T >= least
-            sums = [(ids[mine], hit @ weight[other])]
-            if key[1] == key[2]:
-                sums = [(ids[mine], sums[0][1] - hit.diagonal() * weight[mine])]
-            else:
-                sums.append((ids[other], hit.T @ weight[mine]))
-            for i, n in sums:
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n.astype(np.int64))], names=["rep", "n"])
+            if held:
+                yield from work(pa.Table.from_batches(held).combine_chunks(), key[1] == key[2])
 
         for batch in batches:
             keys = [batch.column(c).to_numpy() for c in (0, 1, 2)]
@@ -158,6 +152,77 @@ def _block_links(least: float):
     return run
 
 
+def _block_links(least: float):
+    """Weights of linked partners, for blocks of a component's members."""
+
+    def work(block: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        side, ids, weight = (block.column(c).to_numpy() for c in ("side", "rep", "weight"))
+        rows = unit_rows(block.column("v").chunk(0))
+        mine, other = (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        if same:
+            other = mine
+        hit = rows[mine] @ rows[other].T >= least
+        sums = [(ids[mine], hit @ weight[other])]
+        if same:
+            sums = [(ids[mine], sums[0][1] - hit.diagonal() * weight[mine])]
+        else:
+            sums.append((ids[other], hit.T @ weight[mine]))
+        for i, n in sums:
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n.astype(np.int64))], names=["rep", "n"])
+
+    return _by_block(work)
+
+
+def _block_pairs(least: float):
+    """Verified pairs (u, v), u < v, of blocks of a crowded prefix, as far as they join groups."""
+
+    def work(block: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        side, ids = block.column("side").to_numpy(), block.column("rep").to_numpy()
+        rows = unit_rows(block.column("v").chunk(0))
+        mine = np.flatnonzero(side == 0)
+        other = mine if same else np.flatnonzero(side == 1)
+        group = np.arange(len(ids))  # of each row, the group that the pairs so far join it to
+        pairs: list[tuple[int, int]] = []
+        for at in range(0, len(mine), ROWS):
+            hit = rows[mine[at : at + ROWS]] @ rows[other].T >= least
+            for k in np.flatnonzero(hit.any(axis=1)).tolist():
+                a, linked = mine[at + k], other[hit[k]]
+                groups, first = np.unique(group[linked], return_index=True)
+                fresh = groups != group[a]
+                if fresh.any():
+                    pairs += [(ids[a], ids[b]) for b in linked[first[fresh]]]
+                    group[np.isin(group, groups[fresh])] = group[a]
+        if pairs:
+            x, y = np.array(pairs, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
+
+    return _by_block(work)
+
+
+def _dealt(members: DataFrame, *keep: str) -> DataFrame:
+    """Rows of ``members`` (group, blocks, rep …) once for each pair of blocks (i, j) of their group they take part in."""
+    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # A member meets every block of its group once: as the first side of (own, later), as the second of (earlier, own).
+    meets = F.expr("transform(sequence(0, blocks - 1), b -> struct(least(b, block) as i, greatest(b, block) as j, if(b < block, 1, 0) as side))")
+    met = members.select("group", "rep", *keep, F.explode(meets).alias("m")).select("group", "m.i", "m.j", "m.side", "rep", *keep)
+    return met.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+
+
+def _crowds(spread: DataFrame, classes: DataFrame, window: int) -> DataFrame:
+    """``group, pass, dim, prefix, members`` of the prefixes that more rows share than a window holds, from their counts.
+
+    Where comparing these whole would take more comparisons than all rows of a length, which then are one group of pass 0.
+    """
+    counts = spread.groupBy("pass", "dim", "prefix").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > window)
+    counts = settle(counts, "vector-prefixes")
+    work = F.sum(F.col("members").cast("double") * F.col("members"))
+    lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("rows"))
+    dear = counts.groupBy("dim").agg(work.alias("work")).join(lengths, "dim").where(F.col("work") > F.col("rows").cast("double") * F.col("rows"))
+    whole = dear.select(F.lit(-1).alias("pass"), "dim", F.lit(0).cast("long").alias("prefix"), F.col("rows").alias("members"))
+    parts = counts.join(dear.select("dim"), "dim", "left_anti").select("pass", "dim", "prefix", "members")
+    return settle(parts.union(whole).withColumn("group", F.monotonically_increasing_id()), "vector-crowds")
+
+
 def near_duplicates(
     vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = LEAST_COSINE, window: int = WINDOW,
     passes: int | None = None,
@@ -175,23 +240,30 @@ def near_duplicates(
     rows = settle(rows, "vectors")
     classes = rows.where("fine").groupBy("v").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least_id"))
     classes = settle(classes, "classes")
-    passes = passes or passes_for(classes.count(), least, window)
+    total = classes.count()
+    passes, prefix = passes or passes_for(total, least, window), prefix_for(total, window)
     kind = classes.schema["v"].dataType.simpleString()
-    words = classes.select("rep", "v").mapInArrow(_keys(passes, BITS), f"rep long, v {kind}, words array<long>")
+    words = settle(classes.select("rep", "v").mapInArrow(_keys(passes, BITS), f"rep long, v {kind}, words array<long>"), "vector-words")
     spread = words.select(F.posexplode("words").alias("pass", "word"), "rep", "v", F.size("v").alias("dim"))
-    # Ranges of (pass, word, rep): equal words are split too, no task depends on how many rows look alike.
-    ordered = spread.repartitionByRange("pass", "dim", "word", "rep").sortWithinPartitions("pass", "dim", "word", "rep")
-    pairs = ordered.select("pass", "word", "rep", "v").mapInArrow(_window_pairs(window, least), "u long, v long").distinct()
+    spread = spread.withColumn("prefix", F.shiftright("word", BITS - prefix))
+    crowds = _crowds(spread, classes, window)
+    # Ranges of (pass, prefix), and within crowded ones of (word, rep): what a window holds isn't cut, and equal words are
+    # split, so no task depends on how many rows look alike.
+    crowded = spread.join(crowds.where("pass >= 0").select("pass", "dim", "prefix", "group", "members"), ["pass", "dim", "prefix"], "left")
+    within = [F.when(F.col("group").isNotNull(), F.col(c)) for c in ("word", "rep")]
+    ordered = crowded.repartitionByRange("pass", "dim", "prefix", *within).sortWithinPartitions("pass", "dim", "word", "rep")
+    near = ordered.select("pass", "word", "rep", "v").mapInArrow(_window_pairs(window, least), "u long, v long")
+    blocks = F.ceil(F.col("members") / CROWD_BLOCK).cast("int").alias("blocks")
+    every = words.withColumn("dim", F.size("v")).join(crowds.where("pass < 0").select("dim", "group", "members"), "dim")
+    dense = crowded.where(F.col("group").isNotNull()).select("group", blocks, "rep", "v").union(every.select("group", blocks, "rep", "v"))
+    whole = _dealt(dense, "v").mapInArrow(_block_pairs(least), "u long, v long")
+    pairs = near.union(whole).distinct()
     joined = settle(components(pairs, "vectors").select(F.col("node").alias("rep"), "component"), "vector-components")
 
     sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("c"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     members = joined.join(sizes.select("component", blocks.alias("blocks")), "component").join(classes, "rep")
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # A member meets every block of its component once: as the first side of (own, later), as the second of (earlier, own).
-    meets = F.expr("transform(sequence(0, blocks - 1), b -> struct(least(b, block) as i, greatest(b, block) as j, if(b < block, 1, 0) as side))")
-    met = members.select("component", "rep", "weight", "v", F.explode(meets).alias("m")).select("component", "m.i", "m.j", "m.side", "rep", "weight", "v")
-    dealt = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    dealt = _dealt(members.withColumnRenamed("component", "group"), "weight", "v")
     counted = dealt.mapInArrow(_block_links(least), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
 
     smallest = joined.join(classes.select("rep", "least_id"), "rep").groupBy("component").agg(F.min("least_id").alias("component_id"))

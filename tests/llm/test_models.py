@@ -200,6 +200,34 @@ def test_embeddings_against_brute_force(spark):
     assert same >= 0.99 * len(ids)
 
 
+@pytest.mark.parametrize("rows, kept_whole", [(12_000, False), (6_000, True)])
+def test_embeddings_in_a_crowded_cone(spark, rows, kept_whole):
+    """A third of the rows (or all) has a common direction, related but below the threshold, with pairs just above it."""
+    rng = np.random.default_rng(11)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    cone, dim, planted = rows if kept_whole else rows // 3, 64, 400
+    x = unit(rng.standard_normal((rows, dim)))
+    x[:cone] = unit(unit(rng.standard_normal(dim)) * 1.6 + unit(rng.standard_normal((cone, dim))))
+    side = rng.standard_normal((planted, dim))
+    side = unit(side - (side * x[:planted]).sum(axis=1, keepdims=True) * x[:planted])
+    x[planted : 2 * planted] = 0.905 * x[:planted] + math.sqrt(1 - 0.905**2) * side
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
+    y = unit(x.astype(np.float64))
+    near = y @ y.T >= 0.9
+    np.fill_diagonal(near, False)
+    a, b = np.nonzero(np.triu(near))
+    assert len(a) >= planted
+    joined = sum(got[i]["component_id"] == got[j]["component_id"] for i, j in zip(a.tolist(), b.tolist()))
+    assert joined >= 0.98 * len(a)
+    assert sum(got[i]["n_links"] for i in range(rows)) >= 0.98 * near.sum()
+    assert all(got[i]["n_links"] <= n for i, n in enumerate(near.sum(axis=1).tolist()))
+
+
 def test_embeddings_that_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(5, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [0.99, 0.01]), (7, None), (8, []), (9, [0.0, 0.0]), (10, [nan, 1.0]), (11, [None, 1.0]), (None, [0.0, 1.0]), (12, [0.0, 2.0]), (13, [inf, 1.0]), (14, [1.0, 0.0, 0.0])]
