@@ -2,7 +2,8 @@
 
 The pages of a host are merged by the style paths of their elements (tag and class from the root down). Of each path the
 tree knows how its presentation (the sequence of child elements) and its content (the text below) are spread over the
-host's pages; the importance of a node is the entropy of both, so what all pages share has none. Elements whose kind alone
+host's pages; the importance of a node is the entropy of both, so what all pages share has none. Copies of a page are one
+page: they say nothing about what different pages share. Elements whose kind alone
 says that they aren't content (menus, adverts, forms …) have an importance of zero, the article's own flow has full
 importance. Branches of low importance are taken off each page and the blocks that are left are its text.
 """
@@ -156,11 +157,45 @@ def _line(pieces: list[str]) -> str:
     return " ".join(entities.unescape("".join(pieces)).split())
 
 
+def _own(nodes: list[Node], flow: list[tuple[int, str | None]], low: frozenset[str]) -> set[str]:
+    """Those of the ``low`` paths that hold most of the page's own article; all of them if the rest would still take most of it.
+
+    Boxes around an article are only looked at where the article is most of what the page says.
+    """
+    noise = [False] * len(nodes)
+    for i, x in enumerate(nodes[1:], 1):
+        noise[i] = noise[x.parent] or x.noise
+    page = 0
+    pieces: list[tuple[int, set[str], set[str]]] = []  # size, low paths within the article, and around it
+    for i, text in flow:
+        if not text or noise[i] or not (size := sum(map(len, text.split()))):
+            continue
+        page += size
+        if nodes[i].article:
+            within, around = set(), set()
+            while i > 0:
+                x = nodes[i]
+                if x.path in low and x.tag not in FLOW:
+                    (within if x.article else around).add(x.path)
+                i = x.parent
+            pieces.append((size, within, around))
+    total = sum(size for size, _, _ in pieces)
+    taken = [(size, within | around if 2 * total > page else within) for size, within, around in pieces]
+    held: dict[str, int] = {}
+    for size, paths in taken:
+        for path in paths:
+            held[path] = held.get(path, 0) + size
+    own = {path for path, size in held.items() if 2 * size > total}
+    return set(held) if 2 * sum(size for size, paths in taken if paths - own) > total else own
+
+
 def main_text(html: str | None, low: frozenset[str] = frozenset()) -> str:
     """Blocks of the article (else of the main element, else of the body) without noise and branches of ``low`` paths."""
     if not html:
         return ""
     nodes, flow = parse(html)
+    if low:
+        low = low - _own(nodes, flow, low)
     gone = [False] * len(nodes)
     for i, x in enumerate(nodes[1:], 1):
         gone[i] = gone[x.parent] or x.noise or (x.path in low and x.tag not in FLOW)
@@ -203,21 +238,22 @@ def _host(url: str):
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``host, path, pages, importance`` of every style path that isn't judged by its kind.
 
-    Features are counted by (host, path, feature) first, so a host with most of all pages is spread over its features and
-    only counts meet under the host.
+    Equal pages of a host count once. Features are counted by (host, path, feature) first, so a host with most of all pages
+    is spread over its features and only counts meet under the host.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts = batch.column(0).to_pylist()
-            rows = [(h, *x) for h, page in zip(hosts, batch.column(1)) for x in style_features(page.as_py())]
-            columns = list(zip(*rows)) or [(), (), (), ()]
+            hosts, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = [(h, m, *x) for h, m, page in zip(hosts, marks, batch.column(2)) for x in style_features(page.as_py())]
+            columns = list(zip(*rows)) or [(), (), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))],
-                names=["host", "path", "shape", "content"],
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))],
+                names=["host", "page", "path", "shape", "content"],
             )
 
-    found = pages.select(_host(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, path string, shape long, content long")
+    rows = pages.select(_host(url).alias("host"), F.xxhash64(html).alias("page"), F.col(html).alias("html"))
+    found = rows.mapInArrow(run, "host string, page long, path string, shape long, content long").distinct()
     features = found.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("shape").alias("feature")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("feature")))).alias("x"))
     counts = features.groupBy("host", "path", "x.kind", "x.feature").agg(F.count(F.lit(1)).alias("c"))
     spread = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("s"))
@@ -229,8 +265,8 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id, url, text``: one row per input row, other columns ignored.
 
-    A null or empty page, and one that is all noise, has the empty text; repeated rows are kept (and count as pages of
-    their host); a null url is a host of its own; a null page_id is kept. An empty table gives an empty table.
+    A null or empty page, and one that is all noise, has the empty text; repeated rows are kept (and count as one page
+    of their host); a null url is a host of its own; a null page_id is kept. An empty table gives an empty table.
     """
     tree = style_tree(pages, url, html)
     low = tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))

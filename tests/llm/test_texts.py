@@ -163,3 +163,39 @@ def test_style_tree_takes_off_what_all_pages_share(spark):
     got = sorted(((r["page_id"] if r["page_id"] is not None else -1, r["text"]) for r in extract.extract(df).collect()))
     assert got == [(-1, ""), *((i, f"Text {i} of page") for i in range(20)), (100, ""), (101, "All rights"), (101, "All rights")]
     assert extract.extract(df.limit(0)).count() == 0
+
+
+def _copy(k, wrap="<article>{}</article>"):
+    body = "<div class=body><p>A story of its own.</p><div class=legal>All rights</div><p>And its end.</p></div>"
+    return f"<body><div class=count>{k}</div>{wrap.format(body)}</body>"
+
+
+def _parted(k):
+    body = "".join(f"<section class=s{i}><p>Part {i} of the story.</p></section>" for i in range(3))
+    return f"<body><div class=count>{k}</div><article>{body}</article></body>"
+
+
+def test_copies_of_a_page_keep_their_article(spark):
+    whole = "A story of its own.\nAll rights\nAnd its end."
+    hosts = {
+        "equal": [_copy(0)] * 9,
+        "mostly": [_copy(0)] * 40 + [f"<body><article><div class=body><p>Other {i}</p></div></article></body>" for i in range(4)],
+        "wrapped": [_copy(0, "<main><div class=wrap>{}</div></main>")] * 9,
+        # Copies that differ outside of the article: what most of it is in stays.
+        "counted": [_copy(i) for i in range(9)],
+        "boxed": [_copy(i, "<div class=box><article>{}</article></div>") for i in range(9)],
+        "parted": [_parted(i) for i in range(9)],
+        # A shared box that holds an article, beside a page's own longer text, still goes.
+        "teaser": [f"<body><div class=latest><article>Read this</article></div><div class=story>Story {i} of this page, which is longer.</div></body>" for i in range(9)],
+    }
+    rows = [(f"http://{h}/", page) for h, pages in hosts.items() for page in pages]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {}
+    for r in sorted(extract.extract(df).collect()):
+        got.setdefault(r["url"][7:-1], []).append(r["text"])
+    assert got["equal"] == [whole] * 9
+    assert got["mostly"] == [whole] * 40 + [f"Other {i}" for i in range(4)]
+    assert got["wrapped"] == [whole] * 9
+    assert got["counted"] == got["boxed"] == ["A story of its own.\nAnd its end."] * 9
+    assert got["parted"] == ["\n".join(f"Part {i} of the story." for i in range(3))] * 9
+    assert got["teaser"] == [f"Story {i} of this page, which is longer." for i in range(9)]
