@@ -161,9 +161,9 @@ PAYLOAD_ATTRIBUTES = {"data-product": None, "data-variants": "variants", "data-p
 def embedded_payloads(parsed: DataFrame, *keep: str) -> DataFrame:
     """``vendor, payload`` of every JSON object in scripts and data attributes of parsed pages that lists variants.
 
-    A script's object reaches from its first brace to its last. The vendor is told by the fields that are there.
+    A script may hold several, anywhere in its code. The vendor is told by the fields that are there.
     """
-    scripts = F.transform("scripts", lambda s: F.regexp_extract(s["body"], r"(?s)(\{.*\})", 1))
+    scripts = F.flatten(F.transform("scripts", lambda s: s["listings"]))
 
     def held(name: str, field: str | None) -> Column:
         values = F.filter(F.transform("elements", lambda e: strip(H.attr(e, name))), lambda x: x.isNotNull())

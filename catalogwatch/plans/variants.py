@@ -279,12 +279,14 @@ def vendor_variants(spark, d):
 def embedded_variants(spark, d):
     """Variation rows of vendor JSON inside pages: scripts and data attributes."""
     n, page = F.col("page_id"), F.col("page_id").cast("string")
+    # Several objects in one script, in code and followed by other calls.
+    shop = F.when(n % 7 == 0, F.concat(F.lit('var a = {}; if (a) { new Shop({"OFFERS":[{"ID":"'), page, F.lit('","NAME":"n","PRICE":"12,5","STOCK":"4"}]}); } BX.message({"a":"}"});')))
+    init = F.when(n % 10 == 0, F.lit('init({"form":{"spConfig":{"attributes":{"9":{"label":"Size","options":[{"id":"3","label":"L","price":"8"}]}}}}});'))
     parts = [
-        F.when(n % 7 == 0, F.concat(F.lit('<script>var a = 1; new Shop({"OFFERS":[{"ID":"'), page, F.lit('","NAME":"n","PRICE":"12,5","STOCK":"4"}]});</script>'))),
+        F.concat(F.lit("<script>"), F.coalesce(shop, F.lit("")), F.coalesce(init, F.lit("")), F.lit("</script>")),
         F.when(n % 9 == 0, F.concat(
             F.lit("""<div data-variants='[{"id":1,"title":"S","price":"5","quantity":2}]'></div><i data-product="{&quot;variants&quot;:[{&quot;id&quot;:2,&quot;title&quot;:&quot;M&quot;,&quot;price&quot;:300,&quot;inventory_quantity&quot;:"""),
             (n % 4).cast("string"), F.lit('}]}"></i><script>not {json}</script>'))),
-        F.when(n % 10 == 0, F.lit('<script type="text/x-magento-init">{"spConfig":{"attributes":{"9":{"label":"Size","options":[{"id":"3","label":"L","price":"8"}]}}}}</script>')),
     ]
     pages = table(spark, d, "pages").select("page_id", F.concat("html", *[F.coalesce(p, F.lit("")) for p in parts]).alias("html"))
     found = O.embedded_payloads(H.parse_pages(pages), "page_id")

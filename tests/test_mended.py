@@ -8,6 +8,27 @@ from catalogwatch.operators.urlsets import dense_index
 from catalogwatch.sources.readers import expand_sitemaps
 
 
+def test_every_object_of_a_script(spark):
+    """Two objects in one script, code and calls around them, an object within another one, one that doesn't end."""
+    from catalogwatch.operators import html_table as H
+    from catalogwatch.operators import variants as O
+
+    offers = lambda i: '{"OFFERS":[{"ID":"%d","PRICE":"1.50","NAME":"a}</b>"}]}' % i
+    pages = [
+        (1, f"<script>new JCCatalogElement({offers(1)}); BX.message({{'a': 1}});</script>"),
+        (2, f"<script>var a = {{}}; if (a) {{ x({offers(2)}); y({offers(3)}) }}</script>"),
+        (3, '<script>f({"form":{"n":1.50,"spConfig":{"attributes":{}}},"b":{}})</script>'),
+        (4, f'<script>{{"variants":[ {offers(4)} </script><script>{{"OFFERS":1,"x":"variants"}}</script>'),
+        (5, '<script>{"variants":[{"id":5,"variants":[]}]}</script>'),
+    ]
+    df = spark.createDataFrame(pages, "page_id int, html string")
+    got = sorted((r["page_id"], r["vendor"], r["payload"]) for r in O.embedded_payloads(H.parse_pages(df), "page_id").collect())
+    assert got == [
+        (1, "bitrix", offers(1)), (2, "bitrix", offers(2)), (2, "bitrix", offers(3)), (3, "magento", '{"n":1.50,"spConfig":{"attributes":{}}}'),
+        (4, "bitrix", offers(4)), (5, "insales", '{"variants":[{"id":5,"variants":[]}]}'),
+    ]
+
+
 def test_streaks_at_equal_times(spark):
     rows = [("a", 5, 1, True), ("a", 5, 2, False), ("a", 5, 3, False), ("b", 5, 1, False), ("b", 5, 2, True), ("c", 1, 1, False)]
     log = spark.createDataFrame(rows, "key string, us long, id long, ok boolean")
