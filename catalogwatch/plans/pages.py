@@ -29,14 +29,26 @@ EXTRA = (
     (29, "<script src=\"//cdn.shopify.com/s\">Shopify.shop</script>"),
     (31, "<span itemprop=\"price\">10</span>"),
 )
-MARKED = "marked AS (SELECT page_id, url, html" + "".join(
-    f" || CASE WHEN page_id % {n} = 0 THEN '{t}' ELSE '' END" for n, t in EXTRA
-) + " AS html FROM pages)"
+# Further shop systems, for what is read per system.
+SYSTEMS = (
+    (37, "<meta name=\"generator\" content=\"Joomla! 3.9\"><div class=\"mod-x\"><img src=\"/components/com_cart/a.png\"></div>"),
+    (41, "<script src=\"/bitrix/modules/sale/a.js\">BX.message({})</script><p>bitrix 20.5</p>"),
+    (43, "<a href=\"index.php?route=product/p\">OpenCart</a><i>opencart 3.0</i><img src=\"/vqmod/vqcache/mod1/x.png\">"),
+)
+
+
+def marked_sql(extra):
+    return "marked AS (SELECT page_id, url, html" + "".join(
+        f" || CASE WHEN page_id % {n} = 0 THEN '{t}' ELSE '' END" for n, t in extra
+    ) + " AS html FROM pages)"
+
+
+MARKED = marked_sql(EXTRA)
 
 
-def marked(spark, d):
+def marked(spark, d, extra=EXTRA):
     html = F.col("html")
-    for n, t in EXTRA:
+    for n, t in extra:
         html = F.concat(html, F.when(F.col("page_id") % n == 0, F.lit(t)).otherwise(F.lit("")))
     return table(spark, d, "pages").select("page_id", "url", html.alias("html"))
 
@@ -269,15 +281,45 @@ def cms_census(spark, d):
     """SELECT page_id, 'wordpress' AS cms, TRUE AS confirmed, '6.1' AS version, 'shop-x' AS plugins FROM pages WHERE page_id % 23 = 0""",
 )
 def cms_details(spark, d):
-    """Confirmation, version and plug-ins of pages of one system."""
-    m = marked(spark, d).where("page_id % 23 = 0").withColumn("cms", F.lit("wordpress"))
+    """Confirmation, version and plug-ins of the pages that are found to be of one system."""
+    found = _details(C.detect(marked(spark, d)))
+    # The test sits in a generator: a filter would be pushed down and the detection's columns be put into each other.
+    return found.select(F.inline(F.filter(F.array(F.struct("*")), lambda x: x["cms"] == "wordpress")))
+
+
+def _details(detected):
     h, s = F.col("html"), F.col("cms")
-    return m.select(
+    return detected.select(
         "page_id", "cms", C.is_confirmed(s, F.col("url"), h).alias("confirmed"), C.version_of(s, h).alias("version"),
         F.array_join(C.plugins_of(s, h), ",").alias("plugins"),
     )
 
 
+def _details_sql():
+    """Columns of :func:`_details` over the table ``cms``."""
+    groups = {p: C._by_system(C.default_marks(), p) for p in ("meta", "html", "url", "version", "plugin")}
+    sql = lambda p: "'" + p.replace("'", "''") + "'"
+    confirmed = ["WHEN 'sixwool' THEN contains(url, '6wool.ru') OR contains(lower(html), '6wool')"]
+    for name in dict.fromkeys(m.system for m in C.default_marks()):
+        known = [(p, groups[p][name]) for p in ("meta", "html", "url") if name in groups[p]]
+        hits = [f"regexp_matches({'url' if p == 'url' else 'html'}, {sql('|'.join(f'(?:{x})' for x in ps))}, 'i')::INT" for p, ps in known]
+        confirmed.append(f"WHEN '{name}' THEN {' + '.join(hits)} >= {min(2, len(known))}")
+    first = lambda p: f"nullif(regexp_extract(html, {sql(p)}, 1, 'i'), '')"
+    every = lambda p: f"regexp_extract_all(html, {sql(p)}, 1, 'i')"
+    version = [f"WHEN '{n}' THEN coalesce({', '.join(map(first, ps))})" for n, ps in groups["version"].items()]
+    plugins = [
+        f"WHEN '{n}' THEN array_to_string(list_sort(list_distinct(flatten([{', '.join(map(every, ps))}]))), ',')" for n, ps in groups["plugin"].items()
+    ]
+    return f"""page_id, cms, CASE cms {' '.join(confirmed)} ELSE FALSE END AS confirmed, CASE cms {' '.join(version)} END AS version,
+      CASE cms {' '.join(plugins)} ELSE '' END AS plugins"""
+
+
+@query("cms_page_details", f"WITH {CMS_SQL.replace(MARKED, marked_sql(EXTRA + SYSTEMS))} SELECT {_details_sql()} FROM cms")
+def cms_page_details(spark, d):
+    """Shop system, confirmation, version and plug-ins of every page."""
+    return _details(C.detect(marked(spark, d, EXTRA + SYSTEMS)))
+
+
 @query(
     "duplicate_documents",
     "SELECT sha256(text) AS mark, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",

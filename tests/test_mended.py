@@ -29,6 +29,17 @@ def test_every_object_of_a_script(spark):
     ]
 
 
+def test_details_of_pages_of_every_system(spark, tmp_path):
+    """Pages are told their system by detection, whatever their number is."""
+    from catalogwatch.plans import pages as Q
+
+    html = [(1, Q.EXTRA[4][1]), (2, "<p>none</p>"), *((3 + i, t) for i, (_, t) in enumerate(Q.SYSTEMS))]
+    spark.createDataFrame([(i, "http://a.example/", t) for i, t in html], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in Q.cms_details(spark, str(tmp_path)).collect()] == [(1, "wordpress", True, "6.1", "shop-x")]
+    got = {r["page_id"]: tuple(r)[1:4] for r in Q.cms_page_details(spark, str(tmp_path)).collect()}
+    assert got == {1: ("wordpress", True, "6.1"), 2: (None, False, None), 3: ("joomla", True, "3.9"), 4: ("bitrix", True, "20.5"), 5: ("opencart", True, "3.0")}
+
+
 def test_streaks_at_equal_times(spark):
     rows = [("a", 5, 1, True), ("a", 5, 2, False), ("a", 5, 3, False), ("b", 5, 1, False), ("b", 5, 2, True), ("c", 1, 1, False)]
     log = spark.createDataFrame(rows, "key string, us long, id long, ok boolean")
