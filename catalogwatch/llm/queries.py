@@ -1,11 +1,11 @@
-"""The queries of the ten operators, each over its whole table with production parameters."""
+"""The queries of the numbered operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogwatch.llm import chat, decontaminate, embeddings, extract, langid, ngram, pieces, secrets, simhash, token_files
+from catalogwatch.llm import centroids, chat, decontaminate, embeddings, extract, langid, ngram, pieces, repeats, secrets, simhash, token_files, turns
 from catalogwatch.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -171,3 +171,106 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = token_files.write(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
     return token_files.read(spark, folder, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def _nearest_sql(k: int) -> str:
+    """Every vector with its nearest centroid of round ``k``; number and distance are packed, so that ties go to the smaller number."""
+    return f"""a{k} AS MATERIALIZED (SELECT e.row, any_value(e.v) AS v, CAST(min(list_sum(list_transform(range(1, {centroids.DIMENSIONS + 1}), lambda i: (e.v[i] - c.v[i]) * (e.v[i] - c.v[i]))) * {centroids.CENTROIDS} + c.k) AS BIGINT) AS best
+  FROM e, c{k} c GROUP BY e.row)"""
+
+
+def _moved_sql(k: int) -> str:
+    """The centroids after round ``k``: exact floors of the means, the old one where a cluster is empty."""
+    return f"""c{k + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (
+  SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+    SELECT best % {centroids.CENTROIDS} AS k, i, sum(x) AS s, count(*) AS n FROM (SELECT best, unnest(v) AS x, unnest(range(1, {centroids.DIMENSIONS + 1})) AS i FROM a{k}) GROUP BY 1, 2)
+  GROUP BY k) m USING (k))"""
+
+
+OP11_SQL = f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.DIMENSIONS}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SALT}' || vec_id) NULLS LAST, v) - 1 AS k, v FROM e QUALIFY k < {centroids.CENTROIDS}),
+{", ".join(f"{_nearest_sql(k)}, {_moved_sql(k)}" for k in range(centroids.ROUNDS))},
+{_nearest_sql(centroids.ROUNDS)},
+r AS (SELECT vec_id, best % {centroids.CENTROIDS} AS k, best // {centroids.CENTROIDS} AS distance FROM a{centroids.ROUNDS} JOIN e USING (row))
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM r JOIN c{centroids.ROUNDS} c USING (k)
+"""
+
+
+@query("op11_centroid_clusters", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+@query("op12_suffix_array_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, ids = repeats.clean_texts(table(spark, sf_dir, "documents"))
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    told = done.select(
+        "k1", "k2", "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+    return ids.join(told, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+_FAR = 10**9
+
+
+def _edit(state: str, cost: str, letter: str, out: str | None = None) -> str:
+    said = f"{state}.o" if out is None else f"coalesce({state}.o || chr(10), '') || {out}"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'o': {said}}}"
+
+
+def _least(*ways: str) -> str:
+    """Least cost, then least letters."""
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _stays(state: str, initial: str, name: str | None) -> list[str]:
+    """Keep, and reroling where that can give ``initial``."""
+    own = f"CASE WHEN left(role, 1) = '{initial}' AND NOT gone THEN 0 ELSE {_FAR} END + cut"
+    ways = [_edit(state, own, "K", "role || ':' || text")]
+    if name:
+        ways.append(_edit(state, f"CASE WHEN gone THEN {_FAR} ELSE {turns.REROLE} END + cut", "R", f"'{name}:' || text"))
+    return ways
+
+
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+OP13_SQL = f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+kinds AS (SELECT *, {_CRC_SQL} % {turns.DAMAGE_OF} AS kind FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = {turns.REROLED} THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = {turns.EMPTIED} THEN '' WHEN kind = {turns.UNMARKED} THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = {turns.REPEATED} THEN 2 ELSE 1 END)) AS again FROM kinds WHERE kind <> {turns.DROPPED}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i FROM damaged),
+seen AS (SELECT *, NOT regexp_matches(text, '[^{turns.WHITE}]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again_said,
+    NOT regexp_matches(text, '[.!?][{turns.WHITE}]*\\z') AS unfinished, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM placed),
+marked AS MATERIALIZED (SELECT *, blank OR again_said AS gone, CASE WHEN unfinished THEN {turns.TRUNCATED} ELSE 0 END AS cut FROM seen),
+facts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE NOT blank AND again_said) AS duplicate, count(*) FILTER (WHERE NOT gone AND unfinished) AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('{"', '".join(turns.PAIRS)}')) AS illegal FROM marked GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 'o': CAST(NULL AS VARCHAR)}} AS s0, {{'c': CAST({_FAR} AS BIGINT), 'a': '', 'o': CAST(NULL AS VARCHAR)}} AS s1,
+    {{'c': CAST({_FAR} AS BIGINT), 'a': '', 'o': CAST(NULL AS VARCHAR)}} AS s2, {{'c': CAST({_FAR} AS BIGINT), 'a': '', 'o': CAST(NULL AS VARCHAR)}} AS s3 FROM facts
+  UNION ALL
+  SELECT conv_id, i, {_edit("s0", str(turns.DELETE), "D")}, {_least(_edit("s1", str(turns.DELETE), "D"), *_stays("s0", "s", None))},
+    {_least(_edit("s2", str(turns.DELETE), "D"), *_stays("s0", "u", "user"), *_stays("s1", "u", "user"), *_stays("x3", "u", "user"))},
+    {_least(_edit("s3", str(turns.DELETE), "D"), *_stays("x2", "a", "assistant"))}
+  FROM (SELECT m.*, s0, s1, s2, s3, {_least("s2", *(_edit(s, str(turns.INSERT), "I", "'user:'") for s in ("s0", "s1", "s3")))} AS x2,
+      {_least("s3", _edit("s2", str(turns.INSERT), "I", "'assistant:'"))} AS x3
+    FROM dp JOIN marked m ON m.conv_id IS NOT DISTINCT FROM dp.conv_id AND m.i = dp.i + 1)),
+ends AS (SELECT dp.conv_id, {_least("s0", "s3", _edit("s2", str(turns.INSERT), "I", "'assistant:'"), f"{{'c': s1.c + {2 * turns.INSERT}, 'a': s1.a || 'II', 'o': s1.o || chr(10) || 'user:' || chr(10) || 'assistant:'}}")} AS e
+  FROM dp JOIN facts f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.n = dp.i)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(e.c, 0) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(e.o, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op13_conversation_repair", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damage(table(spark, sf_dir, "conversations")), present="present")
