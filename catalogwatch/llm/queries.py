@@ -207,12 +207,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op12_suffix_array_dedup")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done, ids = repeats.clean_texts(table(spark, sf_dir, "documents"))
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
-    told = done.select(
-        "k1", "k2", "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    return done.select(
+        "doc_id", "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
-    return ids.join(told, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 _FAR = 10**9

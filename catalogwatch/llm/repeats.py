@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
@@ -144,6 +145,25 @@ def _blocks(lengths: np.ndarray, span: int) -> Iterator[tuple[int, int, int, int
         yield at, len(lengths), 0, size
 
 
+# Texts travel compressed, one frame each.
+_PACKED = "k1 long, k2 long, z binary"
+LEVEL = 1
+
+
+def _packed(rows: DataFrame, *keep: str) -> DataFrame:
+    """``rows(k1, k2, text)`` with the text compressed: ``k1, k2, z`` and what is to be kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            z = pa.array([pack.compress(x.as_buffer()) for x in batch.column("text")], pa.binary())
+            columns = [batch.column("k1"), batch.column("k2"), z, *(batch.column(c) for c in keep)]
+            yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "z", *keep])
+
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select("k1", "k2", "text", *keep).mapInArrow(run, _PACKED + kinds)
+
+
 _SCAN = "k1 long, k2 long, c1 long, c2 long, h long, start long, lo int, hi int, n long, stop long"
 
 
@@ -155,10 +175,9 @@ def _scan(texts: DataFrame, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(3)
+            column = batch.column(2)
             lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = [np.asarray(batch.column(k)) for k in (0, 1)]
-            copies = np.asarray(batch.column(2))
             for a, b, skip, size in _blocks(lengths, span):
                 if b - a == 1:
                     whole, ends = memoryview(column[a].as_buffer())[skip : skip + size], np.array([size])
@@ -166,18 +185,16 @@ def _scan(texts: DataFrame, span: int) -> DataFrame:
                     whole, ends = memoryview(b"".join([x.as_buffer() for x in column[a:b]])), np.cumsum(lengths[a:b])
                 runs = Runs(np.frombuffer(whole, np.uint8), ends, span)
                 if len(runs.first):
-                    yield _contexts(whole, runs, ends, skip, span, [k[a:b] for k in keys], copies[a:b])
+                    yield _contexts(whole, runs, ends, skip, span, [k[a:b] for k in keys])
 
     names = [x.split()[0] for x in _SCAN.split(", ")]
 
-    def _contexts(view, runs: Runs, ends, skip: int, span: int, keys, copies) -> pa.RecordBatch:
+    def _contexts(view, runs: Runs, ends, skip: int, span: int, keys) -> pa.RecordBatch:
         digests = b"".join([xxh3_128_digest(view[s : e + span]) for s, e in zip(runs.first.tolist(), runs.last.tolist())])
         pairs = np.frombuffer(digests, "<i8").reshape(-1, 2)
         _, first, inverse = np.unique(np.frombuffer(digests, [("a", "<i8"), ("b", "<i8")]), return_index=True, return_inverse=True)
-        held = copies[runs.text]
-        n = np.zeros(len(first), np.int64)
-        np.add.at(n, inverse, held)
-        often = np.bincount(inverse)[inverse] > 1
+        n = np.bincount(inverse)
+        often = n[inverse] > 1
         begins = np.concatenate(([0], ends[:-1])) - skip
         base = begins[runs.text]
         # A gap between texts, so that runs of two texts don't merge.
@@ -419,15 +436,16 @@ def _by_string(contexts: DataFrame, span: int) -> DataFrame:
 
 
 def _contexts_with_bytes(wanted: DataFrame, texts: DataFrame, span: int) -> DataFrame:
-    """Contexts cut out of their texts; each text is read once for all its contexts."""
+    """Contexts cut out of their texts; each text is read once for all its contexts, whatever number of copies it has."""
     facts = F.collect_list(F.struct("c1", "c2", "h", "n", "start", "lo", "hi")).alias("facts")
     own = wanted.groupBy("k1", "k2").agg(facts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("bytes", pa.binary())])
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for text, facts in zip(batch.column(0), batch.column(1)):
-                view = memoryview(text.as_buffer())
+            for z, facts in zip(batch.column(0), batch.column(1)):
+                view = memoryview(unpack.decompress(z.as_buffer()))
                 facts = facts.as_py()
                 for at in range(0, len(facts), 4096):
                     some = facts[at : at + 4096]
@@ -435,7 +453,8 @@ def _contexts_with_bytes(wanted: DataFrame, texts: DataFrame, span: int) -> Data
                     cut = [bytes(view[f["start"] : f["start"] + f["hi"] - f["lo"] + span]) for f in some]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.binary())], schema=schema)
 
-    return texts.join(own, ["k1", "k2"]).select("text", "facts").mapInArrow(run, _CONTEXTS)
+    one = _packed(texts).groupBy("k1", "k2").agg(F.first("z").alias("z"))
+    return one.join(own, ["k1", "k2"]).select("z", "facts").mapInArrow(run, _CONTEXTS)
 
 
 def _bytes(text: str) -> Column:
@@ -449,82 +468,75 @@ def _keys() -> list[Column]:
 def repeated_spans(
     docs: DataFrame, text: str = "text", span: int = SPAN, contexts_of_anchor: int = CONTEXTS_OF_ANCHOR,
     batch_bytes: int = BATCH_BYTES, family_bytes: int = FAMILY_BYTES,
-) -> tuple[DataFrame, DataFrame]:
-    """The different texts ``k1, k2, text (bytes), n``, and the bytes to remove of those that stand once: ``k1, k2, spans``.
+) -> DataFrame:
+    """``k1, k2, spans``: what to remove of each text that loses anything, by the two hashes of its bytes.
 
-    ``spans`` are disjoint ``array<struct<start, stop>>`` in order. Texts that stand more than once are repeated as a whole if
-    they have ``span`` bytes. Digests of 128 bits stand for equal texts, contexts and counted strings.
+    ``spans`` are ``array<struct<start, stop>>`` in order, which may overlap. Digests of 128 bits stand for equal texts, contexts
+    and counted strings; whether an anchor has several contexts is told by 64 of them.
     """
     if span < 1:
         raise ValueError("a span has at least one byte")
-    named = docs.select(_bytes(text).alias("text")).select(*_keys(), "text")
-    texts = settle(named.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")), "repeat-texts")
-    scan = settle(_scan(texts.where(F.octet_length("text") >= span).select("k1", "k2", "n", "text"), span), "repeat-scan")
+    texts = docs.select(_bytes(text).alias("text")).where(F.octet_length("text") >= span).select(*_keys(), "text")
+    scan = settle(_scan(texts, span), "repeat-scan")
     places_, known = scan.where("c1 IS NOT NULL"), scan.where("c1 IS NULL").select("k1", "k2", "start", "stop")
 
+    several = (F.min("c1") != F.max("c1")).alias("several")
+    anchors = places_.groupBy("h").agg(several, F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).where("n > 1")
+    met = settle(places_.join(anchors.select("h", "several", "rows"), "h"), "repeat-met")
+    # An anchor that always has the same context: all its strings are repeated wherever it stands.
+    whole = met.where("NOT several").select("k1", "k2", "start", (F.col("start") + F.col("hi") - F.col("lo") + span).alias("stop"))
+
+    mixed = met.where("several")
     # What identifies a context fixes its anchor and length; any one place serves to read its bytes.
     one = [F.first(c).alias(c) for c in ("k1", "k2", "start")]
-    contexts = settle(places_.groupBy("c1", "c2", "h", "lo", "hi").agg(F.sum("n").alias("n"), *one), "repeat-contexts")
-    several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
-    wanted = contexts.join(several, "h").withColumn("crowded", F.col("different") > contexts_of_anchor)
-    quiet, crowded = (
-        settle(_contexts_with_bytes(wanted.where(F.col("crowded") == v), texts, span), f"repeat-{name}") for v, name in ((False, "quiet"), (True, "crowded"))
+    facts = [F.sum("n").alias("n"), F.max("rows").alias("rows"), *one]
+    contexts = settle(mixed.groupBy("c1", "c2", "h", "lo", "hi").agg(*facts), "repeat-contexts")
+    bodies = settle(_contexts_with_bytes(contexts, texts, span), "repeat-bodies")
+    crowds = contexts.where(F.col("rows") > contexts_of_anchor).select("h").distinct()
+    found = _through_family(bodies.join(crowds, "h", "left_anti"), span, batch_bytes, family_bytes).union(
+        _by_string(bodies.join(crowds, "h", "left_semi"), span)
     )
-    found = _through_family(quiet, span, batch_bytes, family_bytes).union(_by_string(crowded, span))
-    whole = contexts.where("n > 1").select("c1", "c2", "lo", "hi")
-    lost = found.union(whole).groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
+    lost = found.union(contexts.where("n > 1").select("c1", "c2", "lo", "hi")).groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
     at = F.col("start") + F.col("hi")  # the anchor's place
-    spots = places_.select("k1", "k2", "c1", "c2", at.alias("at")).join(lost, ["c1", "c2"]).select("k1", "k2", "at", F.explode("cut").alias("x"))
+    spots = mixed.select("k1", "k2", "c1", "c2", at.alias("at")).join(lost, ["c1", "c2"]).select("k1", "k2", "at", F.explode("cut").alias("x"))
     spots = spots.select("k1", "k2", (F.col("at") - F.col("x.hi")).alias("start"), (F.col("at") - F.col("x.lo") + span).alias("stop"))
-    spans = spots.union(known).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    return texts, spans
+    return whole.union(spots).union(known).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
-def clean_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, **sizes: int) -> tuple[DataFrame, DataFrame]:
-    """``k1, k2, n_bytes, removed, kept`` of the different texts, and ``doc_id, k1, k2`` of every row.
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, **sizes: int) -> DataFrame:
+    """``doc_id, n_bytes, removed array<struct<start, stop>>, kept binary`` of every row.
 
-    Apart, so that a digest of what is kept can be taken before the two are joined.
+    Removed is each byte covered by a string of ``span`` bytes that also starts anywhere else, in the same text too; overlaps
+    count, matches never cross documents, and strings are judged on the input. Removed runs are maximal. A null or empty text, and
+    one shorter than ``span``, loses nothing; rows that repeat a text are documents of their own and lose it all. A null doc_id
+    keeps its row. An empty table gives an empty table; other columns, whatever their names, are ignored.
     """
-    texts, spans = repeated_spans(docs, text, span, **sizes)
+    spans = repeated_spans(docs, text, span, **sizes)
+    rows = _packed(docs.select(F.col(doc_id).alias("doc_id"), _bytes(text).alias("text")).select("doc_id", *_keys(), "text"), "doc_id")
     runs = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
+    def made(ids: pa.Array, done: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([r[k] for r in done], kind) for k, kind in enumerate((pa.int64(), runs, pa.binary()))]
+        return pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n_bytes", "removed", "kept"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows, size = [], 0
-            for k1, k2, n, whole, own in zip(*(batch.column(c) for c in ("k1", "k2", "n", "text", "spans"))):
-                whole = whole.as_py()
-                if n.as_py() > 1 and len(whole) >= span:
-                    starts, stops = np.array([0]), np.array([len(whole)])
-                else:
-                    both = np.array([(x["start"], x["stop"]) for x in own.as_py() or ()], np.int64).reshape(-1, 2)
-                    starts, stops = merged(both[:, 0], both[:, 1])
+            done, size, first = [], 0, 0
+            for k, (z, own) in enumerate(zip(batch.column("z"), batch.column("spans"))):
+                whole = unpack.decompress(z.as_buffer())
+                both = np.array([(x["start"], x["stop"]) for x in own.as_py() or ()], np.int64).reshape(-1, 2)
+                starts, stops = merged(both[:, 0], both[:, 1])
                 edges = [0, *np.stack((starts, stops), 1).ravel().tolist(), len(whole)]
                 kept = b"".join([whole[a:b] for a, b in zip(edges[::2], edges[1::2])])
-                rows.append((k1.as_py(), k2.as_py(), len(whole), [{"start": a, "stop": b} for a, b in zip(starts.tolist(), stops.tolist())], kept))
+                done.append((len(whole), [{"start": a, "stop": b} for a, b in zip(starts.tolist(), stops.tolist())], kept))
                 size += len(kept)
                 if size >= BLOCK:
-                    yield made(rows)
-                    rows, size = [], 0
-            if rows:
-                yield made(rows)
-
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), runs, pa.binary()))]
-        return pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "n_bytes", "removed", "kept"])
-
-    schema = "k1 long, k2 long, n_bytes long, removed array<struct<start:bigint,stop:bigint>>, kept binary"
-    done = texts.join(spans, ["k1", "k2"], "left").select("k1", "k2", "n", "text", "spans").mapInArrow(run, schema)
-    ids = docs.select(F.col(doc_id).alias("doc_id"), _bytes(text).alias("text"))
-    return done, ids.select("doc_id", *_keys())
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, **sizes: int) -> DataFrame:
-    """``doc_id, n_bytes, removed array<struct<start, stop>>, kept binary`` of every row.
-
-    Removed is each byte covered by a string of ``span`` bytes that also starts anywhere else, in the same text too; overlaps
-    count, matches never cross documents, and strings are judged on the input. Removed runs are maximal. A null or empty text, and
-    one shorter than ``span``, loses nothing; rows that repeat a text are documents of their own and lose it all. A null doc_id
-    keeps its row. An empty table gives an empty table; other columns, whatever their names, are ignored.
-    """
-    done, ids = clean_texts(docs, doc_id, text, span, **sizes)
-    return ids.join(done, ["k1", "k2"]).select("doc_id", "n_bytes", "removed", "kept")
+                    yield made(batch.column("doc_id").slice(first, k + 1 - first), done)
+                    done, size, first = [], 0, k + 1
+            if done:
+                yield made(batch.column("doc_id").slice(first), done)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    joined = rows.join(spans, ["k1", "k2"], "left").select("doc_id", "z", "spans")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, removed array<struct<start:bigint,stop:bigint>>, kept binary")
