@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalogwatch.functions.values import strip
+from catalogwatch.operators import literals
 
 ELEMENT = "struct<tag:string,attrs:map<string,string>,first:int,upto:int>"
 PARSED_DDL = (
@@ -24,9 +23,8 @@ PARSED_DDL = (
 ROWS = 256
 # Elements that never have content.
 VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
-# Fields that list variants, with the kind of their values.
-LISTS = {"OFFERS": list, "product_variations": list, "variations": list, "variants": list, "spConfig": dict}
-_LIST = re.compile(f'"(?:{"|".join(LISTS)})"')
+# Attributes that hold a payload.
+PAYLOADS = frozenset(("data-product", "data-variants", "data-product_variations"))
 
 
 class _Elements(HTMLParser):
@@ -41,7 +39,7 @@ class _Elements(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         at = len(self.strings)
-        self.elements.append([tag, [(k, v or "") for k, v in dict(attrs).items()], at, at])
+        self.elements.append([tag, [(k, literals.to_json(v) if v and k in PAYLOADS else v or "") for k, v in dict(attrs).items()], at, at])
         if tag not in VOID:
             self.open.append(len(self.elements) - 1)
 
@@ -70,30 +68,6 @@ class _Elements(HTMLParser):
             self.elements[i][3] = len(self.strings)
 
 
-def listings(script: str) -> list[str]:
-    """JSON objects of a script, as written, that list variants themselves: the outer one of two that stand in each other."""
-    found = []
-    marks = [m.start() for m in _LIST.finditer(script)]
-    if not marks:
-        return found
-    decode = json.JSONDecoder(parse_float=str, parse_int=str).raw_decode
-    at, mark = 0, 0
-    while mark < len(marks) and (at := script.find("{", at, marks[-1])) >= 0:
-        while mark < len(marks) and marks[mark] < at:
-            mark += 1
-        try:
-            value, end = decode(script, at)
-        except (ValueError, RecursionError):  # a block of code, or its end is missing
-            at += 1
-            continue
-        if any(isinstance(value.get(name), kind) for name, kind in LISTS.items()):
-            found.append(script[at:end])
-            at = end
-        else:
-            at = end if marks[mark] >= end else at + 1
-    return found
-
-
 def _parse(html: str | None):
     p = _Elements()
     p.feed(html or "")
@@ -101,7 +75,7 @@ def _parse(html: str | None):
     words = "".join(s.strip() for s in p.strings).lower().split()
     top = max(Counter(words).values(), default=0)
     elements = [{"tag": t, "attrs": a, "first": i, "upto": j} for t, a, i, j in p.elements]
-    scripts = [{"type": t, "body": b, "listings": listings(b)} for t, b in p.scripts]
+    scripts = [{"type": t, "body": b, "listings": literals.listings(b)} for t, b in p.scripts]
     return elements, p.strings, scripts, len(words), top
 
 

@@ -98,6 +98,20 @@ def snapshot_diff(prev: DataFrame, curr: DataFrame, order, include_unchanged: bo
     )
 
 
+def changes(pairs: DataFrame, normalise: bool = False) -> DataFrame:
+    """Added and modified rows of ``known, prev_…, curr_…`` pairs, with the changed fields; other columns are kept."""
+    def side(name: str) -> Column:
+        have = [f"{name}_{c}" for c in SIDE_COLUMNS]
+        return F.struct(*[(F.col(h) if h in pairs.columns else F.lit(None).cast("string")).alias(c) for h, c in zip(have, SIDE_COLUMNS)])
+
+    kind, changed = _kind(normalise)
+    own = [c for c in pairs.columns if c != "known" and not c.startswith(("prev_", "curr_"))]
+    d = pairs.select(*own, F.when(F.col("known"), side("prev")).alias("p"), side("curr").alias("c")).withColumns({"change_type": kind, "_f": changed})
+    fields = F.when(F.col("change_type") == "ADDED", "added").otherwise(F.array_join("_f", ";"))
+    values = [F.col(f"{s}.{f}").alias(f"{f}_{n}") for f in ("price", "availability", "title") for s, n in (("p", "prev"), ("c", "curr"))]
+    return d.where(F.col("change_type") != "UNCHANGED").select(*own, "change_type", fields.alias("fields_changed"), *values)
+
+
 def wide_diff(prev: DataFrame, curr: DataFrame, order, normalise: bool = False) -> DataFrame:
     """Every URL with price and stock deltas, unchanged ones included."""
     kind, changed = _kind(normalise)

@@ -18,6 +18,7 @@ MODULES = (
     "variants",
     "selectors",
     "streams",
+    "late",
     "landed",
 )
 

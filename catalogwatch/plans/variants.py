@@ -274,10 +274,14 @@ def vendor_variants(spark, d):
       SELECT page_id, 'bitrix' AS vendor, CAST(page_id AS VARCHAR) AS variation_id, 'n' AS value, 12.5 AS price, 4 AS stock FROM pages WHERE page_id % 7 = 0
       UNION ALL SELECT page_id, 'insales', '1', 'S', 5, 2 FROM pages WHERE page_id % 9 = 0
       UNION ALL SELECT page_id, 'shopify', '2', 'M', 3, page_id % 4 FROM pages WHERE page_id % 9 = 0
-      UNION ALL SELECT page_id, 'magento', '3', 'L', 8, 1 FROM pages WHERE page_id % 10 = 0)""",
+      UNION ALL SELECT page_id, 'magento', '3', 'L', 8, 1 FROM pages WHERE page_id % 10 = 0
+      UNION ALL SELECT page_id, 'bitrix', page_id || '-1', 'it''s я', 7.5, 3 FROM pages WHERE page_id % 3 = 0
+      UNION ALL SELECT page_id, 'bitrix', page_id || '-2', 'two', 8, page_id % 5 FROM pages WHERE page_id % 3 = 0
+      UNION ALL SELECT page_id, 'insales', '5', 'A', 9, 2 FROM pages WHERE page_id % 4 = 0
+      UNION ALL SELECT page_id, 'insales', '6', 'B', 4, page_id % 6 FROM pages WHERE page_id % 4 = 0)""",
 )
 def embedded_variants(spark, d):
-    """Variation rows of vendor JSON inside pages: scripts and data attributes."""
+    """Variation rows of vendor data inside pages: JSON and object literals in scripts and data attributes."""
     n, page = F.col("page_id"), F.col("page_id").cast("string")
     # Several objects in one script, in code and followed by other calls.
     shop = F.when(n % 7 == 0, F.concat(F.lit('var a = {}; if (a) { new Shop({"OFFERS":[{"ID":"'), page, F.lit('","NAME":"n","PRICE":"12,5","STOCK":"4"}]}); } BX.message({"a":"}"});')))
@@ -287,6 +291,14 @@ def embedded_variants(spark, d):
         F.when(n % 9 == 0, F.concat(
             F.lit("""<div data-variants='[{"id":1,"title":"S","price":"5","quantity":2}]'></div><i data-product="{&quot;variants&quot;:[{&quot;id&quot;:2,&quot;title&quot;:&quot;M&quot;,&quot;price&quot;:300,&quot;inventory_quantity&quot;:"""),
             (n % 4).cast("string"), F.lit('}]}"></i><script>not {json}</script>'))),
+        # What shops write more often than JSON: single quotes, bare names, trailing commas, escapes, functions beside the data.
+        F.when(n % 3 == 0, F.concat(
+            F.lit(r"""<script>/* {'OFFERS': [ */ var ok = /['{]/.test(s); new JCCatalogElement({'CONFIG': {USE: !0, 'T': "it's"}, OFFERS: [{'ID': '"""), page,
+            F.lit(r"""-1', NAME: 'it\'s \u044f', "PRICE": '7,5', STOCK: 3,}, {ID: '"""), page, F.lit("""-2', 'NAME': `two`, PRICE: 8.0, STOCK: """), (n % 5).cast("string"),
+            F.lit("""},], 'READY': function () { return {}; }, }); BX.ready(function () { x = 'a{b'; });</script>"""))),
+        F.when(n % 4 == 0, F.concat(
+            F.lit("""<script>window.p = {get: function (a) { return a < 1 ? {} : [a]; }, variants: [{id: 5, title: 'A', price: '9', quantity: 0x2}]}</script><b data-product="{variants:[{id:6,title:'B',price:4,quantity:"""),
+            (n % 6).cast("string"), F.lit(""",},],}"></b>"""))),
     ]
     pages = table(spark, d, "pages").select("page_id", F.concat("html", *[F.coalesce(p, F.lit("")) for p in parts]).alias("html"))
     found = O.embedded_payloads(H.parse_pages(pages), "page_id")

@@ -1,4 +1,4 @@
-"""Sinks. Every write is a plain Spark write, so a lost executor only repeats its own tasks."""
+"""Sinks. Every write is a plain Spark write, so a lost executor only repeats its own tasks. Upserts and payloads: ``versions``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalogwatch.functions.values import first_text, fields_of
-from catalogwatch.operators.catalogue import keep_last
 
 
 def with_decimal_comma(df: DataFrame) -> DataFrame:
@@ -29,13 +28,6 @@ def write_csv(df: DataFrame, path: str, sep: str = ";", decimal_comma: bool = Tr
     ).csv(path)
 
 
-def write_payload(products: DataFrame, root: str, run: str) -> None:
-    """Product payload under ``run=…`` and mirrored under ``latest``."""
-    target = f"{root}/run={run}"
-    products.write.mode("overwrite").json(target)
-    products.sparkSession.read.schema(products.schema).json(target).write.mode("overwrite").json(f"{root}/latest")
-
-
 def manifest_rows(parts: dict[str, DataFrame], generated_at: Column) -> DataFrame:
     """One row per written table: name, row count, time."""
     out = None
@@ -57,23 +49,6 @@ def append_history(products: DataFrame, path: str) -> None:
     ).partitionBy("site_domain", "crawl_date").parquet(path)
 
 
-def upsert(new: DataFrame, path: str, key: str, order, staging: str) -> None:
-    """Newest row per key of the stored and the new rows replaces the stored table.
-
-    The result is written next to the table first: a table must not be overwritten while it is read.
-    """
-    spark = new.sparkSession
-    try:
-        old = spark.read.parquet(path)
-        merged = keep_last(old.unionByName(new, allowMissingColumns=True), key, order)
-    except Exception as err:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(err):
-            raise
-        merged = keep_last(new, key, order)
-    merged.write.mode("overwrite").parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").parquet(path)
-
-
 PAGE_DEFAULTS = {"bytes_in": 0, "retry_count": 0}
 PAGE_COLUMNS = (
     "job_id", "url", "final_url", "http_status", "title", "h1", "content_hash", "bytes_in", "data_full", "data_seo",

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from catalogwatch.session import ensure_checkpoint_dir
 
@@ -27,6 +28,20 @@ def read_landed(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(pattern)
 
 
+def write_parts(rows: DataFrame, at: Column, cuts: Sequence[Column], path: str, files: int = 2) -> None:
+    """Lands ``rows`` in parts, one after another, cut by time of arrival. Each part has ``files`` files at most."""
+    bounds = [None, *cuts, None]
+    for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        part = rows if low is None else rows.where(at >= low)
+        part = part if high is None else part.where(at < high)
+        part.repartition(files).write.parquet(f"{path}/{k:04d}")
+
+
+def read_parts(spark: SparkSession, path: str, schema: StructType, files: int = 2) -> DataFrame:
+    """Stream over parts that :func:`write_parts` landed: as many files a micro-batch as a part has."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
+
+
 def use_state_store(spark: SparkSession) -> None:
     """Keep operator state on disk next to the tasks, with change logs in the checkpoint folder."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from catalogwatch.functions.values import ratio
 from catalogwatch.operators.snapshots import latest_per_url, snapshot_diff, upsert_snapshots
+from catalogwatch.streaming.machines import MICROS
+from catalogwatch.streaming.ordered import MovingBaseline, run_ordered
 
 
 def progress_rollup(events: DataFrame, run) -> DataFrame:
@@ -78,6 +80,25 @@ def snapshot_keeper(base: str, diff_out: str, order):
     return keep
 
 
+def moving_alerts(
+    events: DataFrame, ts: str, scope: str, length: int, slide: int, late: str, back: int, errors: Column, limited: Column,
+    max_error_share: float, factor: float,
+) -> DataFrame:
+    """Sliding windows with too many errors, or with ``factor`` times the mean rate-limit answers of the ``back`` windows before.
+
+    Two stateful operators in one query: the windows, and per scope the counts of the last ones. Lengths are in seconds.
+    """
+    counts = events.withWatermark(ts, late).groupBy(F.window(ts, f"{length} seconds", f"{slide} seconds"), scope).agg(
+        F.count("*").alias("n"), F.count_if(errors).alias("errors"), F.count_if(limited).alias("limited")
+    )
+    # A window's time is its last microsecond: it falls into the cell that ends with the window.
+    end = F.unix_micros("window.end")
+    closed = counts.select(F.window_time("window").alias("ts"), end.alias("id"), (end - 1).alias("us"), scope, "n", "errors", "limited")
+    rules = {"back_us": back * slide * MICROS, "max_error_share": max_error_share, "factor": factor}
+    out = run_ordered(closed, MovingBaseline, scope, None, slide, **rules)
+    return out.select(scope, F.timestamp_micros(F.col("id") - length * MICROS).alias("start"), "n", "baseline", "alerts")
+
+
 # Error share and rate-limit growth that raise an alert.
 MAX_ERROR_SHARE, SPIKE_FACTOR = 0.05, 3
 

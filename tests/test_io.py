@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalogwatch.operators.catalogue import full_rows
 from catalogwatch.sources import readers as R
 from catalogwatch.sources import writers as K
+from catalogwatch.sources.versions import VersionedTable, publish_payload, read_payload
 
 PRODUCTS = [
     {"url": "https://a.ru/p/1", "name": "One", "price": "1 290,50", "stock": 3, "variations": [{"variation_id": "v", "price": "5", "in_stock": True}]},
@@ -76,17 +77,17 @@ def test_csv_round_trip(spark, tmp_path):
 def test_tables(spark, tmp_path):
     a = spark.createDataFrame([("u", 1, "x"), ("v", 1, "y")], "url string, at int, s string")
     b = spark.createDataFrame([("u", 2, "z")], "url string, at int, s string")
-    path, stage = str(tmp_path / "snap"), str(tmp_path / "stage")
-    K.upsert(a, path, "url", "at", stage)
-    K.upsert(b, path, "url", "at", stage)
-    assert {(r["url"], r["s"]) for r in R.read_table(spark, path).collect()} == {("u", "z"), ("v", "y")}
+    snapshots = VersionedTable(spark, str(tmp_path / "snap"), "url", 4)
+    snapshots.upsert(a, "at")
+    snapshots.upsert(b, "at")
+    assert {(r["url"], r["s"]) for r in snapshots.read().collect()} == {("u", "z"), ("v", "y")}
     p = spark.createDataFrame([("u", "a.ru", "2025-01-01T00:00:00Z", "2025-01-01")], "url string, site_domain string, fetched_at string, scraped_at string")
     K.append_history(p, str(tmp_path / "hist"))
     K.append_history(p, str(tmp_path / "hist"))
     h = spark.read.parquet(str(tmp_path / "hist"))
     assert h.count() == 2 and h.where("site_domain = 'a.ru' AND crawl_date = DATE'2025-01-01'").count() == 2
-    K.write_payload(p, str(tmp_path / "pay"), "7")
-    assert spark.read.json(str(tmp_path / "pay" / "latest")).count() == 1
+    publish_payload(p, str(tmp_path / "pay"), "7")
+    assert read_payload(spark, str(tmp_path / "pay")).collect() == p.collect()
     K.append_manifest({"full": a, "seo": b}, str(tmp_path / "man"), F.lit("t"))
     assert {(r["name"], r["rows"]) for r in spark.read.parquet(str(tmp_path / "man")).collect()} == {("full", 2), ("seo", 1)}
     K.write_url_cache(spark.createDataFrame([("https://a.ru/1/",), ("https://a.ru/x",)], "url string"), str(tmp_path / "cache"))
