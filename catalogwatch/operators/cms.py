@@ -249,6 +249,8 @@ def place_score(marks, place: str, c: Column, best: bool = False) -> Column:
     ``c`` is lower-case. Marks are literals of the plan: no page × pattern rows arise.
     """
     groups = _by_system(marks, place)
+    if not groups:
+        return F.lit(None).cast("struct<system:string,score:double>")
     spot = lambda s, v: F.struct(F.lit(s).alias("system"), v.cast("double").alias("score"))
 
     def share(patterns) -> Column:
@@ -305,7 +307,8 @@ def detect(pages: DataFrame, url: str = "url", html: str = "html", marks=None, e
     sure = F.col("_lead.score") >= SURE
     system = F.when(take_hint, F.col("_hint.system")).otherwise(F.col("_lead.system"))
     top = F.when(take_hint & ~sure, F.col("_h.score")).otherwise(F.col("_lead.score"))
-    confidence = F.least(top, F.lit(1.0))
+    # The least of nothing and one would be one.
+    confidence = F.when(top.isNotNull(), F.least(top, F.lit(1.0)))
     confidence = F.when(take_hint, F.greatest(confidence, F.col("_hint.score"))).otherwise(confidence)
     confidence = F.coalesce(confidence, F.lit(0.0))
     return out.withColumns(

@@ -20,6 +20,7 @@ MODULES = (
     "streams",
     "late",
     "landed",
+    "files",
 )
 
 

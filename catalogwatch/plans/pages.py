@@ -261,7 +261,7 @@ CMS_SQL = f"""{MARKED}, places AS (SELECT page_id, [{_cms_place('meta', 'html')}
 flat AS (SELECT page_id, unnest(l) AS x, unnest(range(1, 5)) AS i FROM places),
 sums AS (SELECT page_id, x.s AS s, round(sum(x.v), 9) AS v, min(i) AS i FROM flat WHERE x IS NOT NULL GROUP BY ALL),
 best AS (SELECT * FROM sums QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY v DESC, i) = 1),
-cms AS (SELECT m.page_id, m.html, m.url, coalesce(least(v, 1.0), 0.0)::DOUBLE AS confidence, CASE WHEN least(v, 1.0) >= 0.3 THEN s END AS cms FROM marked m LEFT JOIN best USING (page_id))"""
+cms AS (SELECT m.page_id, m.html, m.url, CASE WHEN v IS NULL THEN 0.0 ELSE least(v, 1.0) END::DOUBLE AS confidence, CASE WHEN least(v, 1.0) >= 0.3 THEN s END AS cms FROM marked m LEFT JOIN best USING (page_id))"""
 
 
 @query("cms_detection", f"WITH {CMS_SQL} SELECT page_id, cms, confidence FROM cms")

@@ -214,7 +214,7 @@ def _done(spark, d):
     "merge_products",
     """WITH RECURSIVE n AS (
       SELECT o_orderkey AS pos, 'u' || o_custkey AS url, 'u' || (o_custkey + 1) AS ourl FROM orders WHERE o_orderstatus <> 'P'),
-    e AS (SELECT o_orderkey AS pos, 'u' || o_custkey AS url, 'v' || o_orderkey AS ourl FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 3 = 0),
+    e AS (SELECT o_orderkey AS pos, CASE WHEN o_custkey % 3 = 0 THEN 'u' || o_custkey ELSE 'w' || o_orderkey END AS url, 'v' || o_orderkey AS ourl FROM orders WHERE o_orderstatus = 'P'),
     seen AS (SELECT url FROM e UNION SELECT ourl FROM e),
     free AS (SELECT o.* FROM n o WHERE url NOT IN (SELECT url FROM seen) AND ourl NOT IN (SELECT url FROM seen)),
     -- customers form chains u(k) - u(k+1): the earliest row of a customer is its only candidate
@@ -237,9 +237,9 @@ def merge_products(spark, d):
     new = o.where("o_orderstatus <> 'P'").select(
         F.col("o_orderkey").alias("pos"), key("u", F.col("o_custkey")).alias("url"), key("u", F.col("o_custkey") + 1).alias("original_url")
     )
-    old = o.where("o_orderstatus = 'P' AND o_custkey % 3 = 0").select(
-        F.col("o_orderkey").alias("pos"), key("u", F.col("o_custkey")).alias("url"), key("v", F.col("o_orderkey")).alias("original_url")
-    )
+    # Existing rows share an address with new ones for a third of the customers; the others stand alone.
+    held = F.when(F.col("o_custkey") % 3 == 0, key("u", F.col("o_custkey"))).otherwise(key("w", F.col("o_orderkey")))
+    old = o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("pos"), held.alias("url"), key("v", F.col("o_orderkey")).alias("original_url"))
     return us.merge_products(old, new)
 
 

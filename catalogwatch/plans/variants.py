@@ -307,15 +307,15 @@ def embedded_variants(spark, d):
 
 @query(
     "preferred_sources",
-    f"""WITH {VARIATIONS}, s AS (SELECT *, CASE type WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS source_rank FROM variations WHERE NOT (type = 'A' AND pk % 2 = 0) AND NOT (type = 'N' AND pk % 3 = 0))
+    f"""WITH {VARIATIONS}, s AS (SELECT *, CASE WHEN type = 'A' AND pk % 2 <> 0 THEN 0 WHEN type = 'N' AND pk % 3 <> 0 THEN 1 ELSE 2 END AS source_rank FROM variations)
     SELECT pk, variation_id, CAST(source_rank AS INTEGER) AS source_rank FROM s QUALIFY source_rank = min(source_rank) OVER (PARTITION BY pk)""",
 )
 def preferred_sources(spark, d):
     """Variations of the best source per product."""
     v = variations(spark, d)
-    api = v.where("type = 'A' AND pk % 2 <> 0")
-    payload = v.where("type = 'N' AND pk % 3 <> 0")
-    page = v.where("type = 'R'")
+    # Each row comes from one of the three sources.
+    source = F.when((F.col("type") == "A") & (F.col("pk") % 2 != 0), 0).when((F.col("type") == "N") & (F.col("pk") % 3 != 0), 1).otherwise(2)
+    api, payload, page = (v.where(source == k) for k in range(3))
     return O.prefer_sources(products(spark, d), [api, payload, page], "pk").select("pk", "variation_id", "source_rank")
 
 
