@@ -32,6 +32,8 @@ UNSEEN = 0.01
 KEPT_WORDS = 350_000
 CHUNK = 8192
 LONG = 48
+# A word's sum below this is computed again in a way that can't underflow.
+FAINT = 1e-200
 ROWS = 256
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -128,10 +130,31 @@ def word_scores(grid: Lattice, words: list[str], p: np.ndarray) -> np.ndarray:
     for at in range(few, len(order), CHUNK):
         part = order[at : at + CHUNK]
         found, starts, sizes = grid.matches([words[k] for k in part])
-        out[part] = np.log(_forward(found, starts, sizes, p)[np.arange(len(part)), sizes])
+        sums = _forward(found, starts, sizes, p)[np.arange(len(part)), sizes]
+        faint = np.flatnonzero((sums < FAINT).any(axis=1))
+        sums[faint] = 1
+        out[part] = np.log(sums)
+        for k in faint.tolist():
+            out[part[k]] = _long_word(found[starts[k] : starts[k] + sizes[k]], p)
     return out
 
 
+def _faint_counts(found: np.ndarray, weight: np.ndarray, p: np.ndarray, total: np.ndarray) -> None:
+    """Adds the expected pieces of one word, in logarithms."""
+    n = len(found)
+    with np.errstate(divide="ignore"):
+        logs = np.log(p)
+    steps = [(t, t + length + 1, piece) for t in range(n) for length, piece in enumerate(found[t].tolist()) if piece < len(p) - 1]
+    forward, backward = (np.full((n + 1, p.shape[1]), -np.inf) for _ in "ab")
+    forward[0] = backward[n] = 0
+    for a, b, piece in steps:
+        forward[b] = np.logaddexp(forward[b], forward[a] + logs[piece])
+    for a, b, piece in reversed(steps):
+        backward[a] = np.logaddexp(backward[a], backward[b] + logs[piece])
+    for a, b, piece in steps:
+        total[piece] += weight * np.exp(forward[a] + logs[piece] + backward[b] - forward[n])
+
+
 def expected_counts(grid: Lattice, words: list[str], weights: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Expected numbers of each piece by (piece, language) in words that occur ``weights[word, language]`` times."""
     total = np.zeros(p.shape)
@@ -141,7 +164,13 @@ def expected_counts(grid: Lattice, words: list[str], weights: np.ndarray, p: np.
         found, starts, sizes = grid.matches([words[k] for k in part])
         alpha = _forward(found, starts, sizes, p)
         rows = np.arange(len(part))
+        # Of these words the plain sums say nothing, and of the others what underflows is too little to count.
+        faint = np.flatnonzero((alpha[rows, sizes] < FAINT).any(axis=1))
+        for k in faint.tolist():
+            _faint_counts(found[starts[k] : starts[k] + sizes[k]], weights[part[k]], p, total)
+        alpha[faint, sizes[faint]] = 1
         share = weights[part] / alpha[rows, sizes]
+        share[faint] = 0
         beta = np.zeros_like(alpha)
         beta[rows, sizes] = 1
         for t in range(int(sizes[0]), 0, -1):
@@ -171,7 +200,7 @@ def _probabilities(counts: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, vocabulary: str, per_language: int = DOCUMENTS_PER_LANGUAGE, steps: int = STEPS) -> Model:
     """A model from ``labelled(key, text, lang)``; rows of null language or text are left out.
 
-    The sample is bounded: about ``per_language`` documents of each language, chosen by a hash of the key. Only numbers of
+    Words of more than ``LONG`` letters don't take part. The sample is bounded: about ``per_language`` documents of each language, chosen by a hash of the key. Only numbers of
     documents by language and the model itself (pieces times languages) come to the driver.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND key IS NOT NULL")

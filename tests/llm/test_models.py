@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from decimal import Decimal
 
 import numpy as np
 import public_tokenizers
@@ -109,6 +110,46 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(langid._long_word(grid.matches(["ungheit"])[0], p), langid.word_scores(grid, ["ungheit"], p))
 
 
+def test_words_that_underflow():
+    """Long words of letters without pieces, against exact decimals."""
+    grid = langid.Lattice(PIECES)
+    seen = np.random.default_rng(1).random((grid.none + 1, 2)) * [1e3, 1e9]
+    seen[grid.unknown] = 0
+    p = langid._probabilities(seen)
+    words = [*("\ua000" * n for n in (1, 30, 40, 46, 47, 48)), "the" + "\ua001" * 44, "q" * 47, "the"]
+    weights = np.arange(2.0, 2 + 2 * len(words)).reshape(-1, 2)
+    counts = np.zeros(p.shape)
+    exact = []
+    for w, weight in zip(words, weights):
+        found = grid.matches([w])[0]
+        steps = [(t, t + n + 1, k) for t in range(len(found)) for n, k in enumerate(found[t].tolist()) if k != grid.none]
+        scores = []
+        for lang in range(2):
+            there, back = [Decimal(0)] * (len(found) + 1), [Decimal(0)] * (len(found) + 1)
+            there[0] = back[-1] = Decimal(1)
+            share = {k: Decimal(float(p[k, lang])) for _, _, k in steps}
+            for a, b, k in steps:
+                there[b] += there[a] * share[k]
+            for a, b, k in reversed(steps):
+                back[a] += back[b] * share[k]
+            for a, b, k in steps:
+                counts[k, lang] += float(there[a] * share[k] * back[b] / there[-1]) * weight[lang]
+            scores.append(float(there[-1].ln()))
+        exact.append(scores)
+    assert min(min(x) for x in exact) < -800
+    assert np.allclose(langid.word_scores(grid, words, p), exact)
+    assert np.allclose(langid.expected_counts(grid, words, weights, p), counts)
+
+
+def test_scores_of_unknown_letters(spark):
+    rows = [(i, f"{w} {w}s", lang) for i, (w, lang) in enumerate([("the cat", "en"), ("der hund", "de"), ("\ua000" * 47, "de")] * 5)]
+    model = langid.train(spark.createDataFrame(rows, "key long, text string, lang string"), PIECES)
+    assert np.isfinite(model.p).all()
+    asked = spark.createDataFrame([(n, ch * n) for n in range(30, 61, 3) for ch in ("\ua000", "\u4dc0", "ж")], "doc_id long, text string")
+    got = langid.identify(asked.where("text IS NOT NULL"), model).collect()
+    assert len(got) == 33 and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     said = langid.annotate(docs, langid.train_on(docs, PIECES)).where(langid.fold() == 0).collect()
