@@ -16,12 +16,18 @@ from catalogwatch.llm.registry import table
 from catalogwatch.llm.store import settle
 
 PIECES = "piece_bpe_32k.model"
-# A language that holds less than this share of the likelihood isn't told from the others.
-LEAST_LANGUAGE_SCORE = 0.5
+
+
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters (null texts too) and those whose language can't be told; the rest is unchanged.
+    """Drops documents whose language can't be told: those without letters, null texts too. The rest is unchanged.
 
     The model learns from the labelled documents outside fold 0; without any label nothing can be told apart, and only
     documents without letters go.
@@ -29,8 +35,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train_on(docs, public_tokenizers.path(PIECES))
     if not model.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    told = langid.annotate(docs, model, lang="_said", score="_share")
-    return told.where((F.col("_said") != langid.NO_LANGUAGE) & (F.col("_share") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    said = _fresh(docs, "said")
+    told = langid.annotate(docs, model, lang=said, score=_fresh(docs, "said_score"))
+    return told.where(F.col(said) != langid.NO_LANGUAGE).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +47,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     named = docs.where("doc_id IS NOT NULL")
     stay = simhash.near_duplicates(named).where("doc_id = component_id").select("doc_id").distinct()
-    kept = named.join(stay, "doc_id", "left_semi")
-    one = kept.withColumn("_nth", F.expr("row_number() over (partition by doc_id order by xxhash64(text), text)")).where("_nth = 1")
+    kept = named.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    nth = _fresh(docs, "nth")
+    one = kept.withColumn(nth, F.expr("row_number() over (partition by doc_id order by xxhash64(text), text)")).where(F.col(nth) == 1)
     return one.select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
@@ -52,8 +60,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """
     keyed = docs.select(F.xxhash64("text", F.lit("text")).alias("key"), "text")
     marked = decontaminate.mark(keyed, table(spark, sf_dir, "benchmark"), doc_id="key")
-    dirty = marked.where(decontaminate.contaminated()).select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", F.xxhash64("text", F.lit("text"))).join(dirty, "_key", "left_anti").select(*docs.columns)
+    key = _fresh(docs, "key")
+    dirty = marked.where(decontaminate.contaminated()).select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64("text", F.lit("text"))).join(dirty, key, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
