@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from catalogwatch.functions.values import strip
 from catalogwatch.operators import literals
+from catalogwatch.session import spread
 
 ELEMENT = "struct<tag:string,attrs:map<string,string>,first:int,upto:int>"
 PARSED_DDL = (
@@ -92,7 +93,7 @@ def _arrow_fields() -> list[pa.Field]:
 
 
 def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One pass over the page text in Arrow batches; no shuffle, any number of users downstream."""
+    """One pass over the page text in Arrow batches; any number of users downstream. Nothing moves unless cores would be idle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = _arrow_fields()
@@ -106,7 +107,7 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
                 )
 
     schema = T.StructType(pages.schema.fields + T.StructType.fromDDL(PARSED_DDL).fields)
-    return pages.mapInArrow(run, schema)
+    return spread(pages).mapInArrow(run, schema)
 
 
 # --- column helpers over a parsed page ------------------------------------------------------------

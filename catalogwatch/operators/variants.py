@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -31,22 +32,21 @@ BITRIX_PRODUCT_STOCK = ("QUANTITY", "AVAILABLE", "QUANTITY_AVAILABLE", "STOCK")
 MAP = "map<string,string>"
 
 
-def _entries(doc: Column, vendor: Column) -> Column:
-    """Variants of a payload with the label of the option group they stand in; entries that are no objects are left out."""
-    groups = F.coalesce(*[F.map_values(F.try_variant_get(doc, p, "map<string,variant>")) for p in ("$.spConfig.attributes", "$.attributes")])
+def _entries(payload: Column, vendor: Column) -> Column:
+    """Variants of a payload as JSON texts, with the label of the option group they stand in; entries that are no objects are left out."""
+    inner = F.from_json(payload, "spConfig struct<attributes:map<string,string>>, attributes map<string,string>")
+    groups = F.map_values(F.coalesce(inner["spConfig"]["attributes"], inner["attributes"]))
 
-    def options(g: Column) -> Column:
-        label = F.try_variant_get(g, "$.label", "string")
-        return F.transform(
-            F.coalesce(F.try_variant_get(g, "$.options", "array<variant>"), F.array().cast("array<variant>")),
-            lambda o: F.struct(o.alias("v"), label.alias("label")),
-        )
+    def options(text: Column) -> Column:
+        group = F.from_json(text, "label string, options array<string>")
+        return F.transform(F.coalesce(group["options"], F.array().cast("array<string>")), lambda o: F.struct(o.alias("v"), group["label"].alias("label")))
 
     lists = F.when(vendor == "magento", F.flatten(F.transform(groups, options)))
+    none = F.lit(None).cast("string").alias("label")
     for name, path in VARIANT_PATHS.items():
-        plain = F.try_variant_get(doc, path, "array<variant>")
-        lists = lists.when(vendor == name, F.transform(plain, lambda v: F.struct(v.alias("v"), F.lit(None).cast("string").alias("label"))))
-    return F.filter(lists, lambda e: F.schema_of_variant(e["v"]).startswith("OBJECT"))
+        plain = F.from_json(payload, f"`{path[2:]}` array<string>")[path[2:]]
+        lists = lists.when(vendor == name, F.transform(plain, lambda v: F.struct(v.alias("v"), none)))
+    return F.filter(lists, lambda e: e["v"].startswith("{"))
 
 
 def _get(doc: Column, *paths: str) -> Column:
@@ -66,24 +66,46 @@ def payload_variants(payloads: DataFrame, vendor: str, payload: str, *keep: str,
     that prices every offer. A document that isn't JSON has no rows.
     """
     base = base_price if base_price is not None else F.lit(None).cast("double")
-    doc = F.try_parse_json(F.col(payload))
-    rows = payloads.select(*keep, F.col(vendor).alias("vendor"), base.alias("_base"), F.posexplode(_entries(doc, F.col(vendor))).alias("pos", "_e"))
-    rows = rows.select(*keep, "vendor", "pos", "_base", F.col("_e.v").alias("_v"), F.col("_e.label").alias("_label"))
+    entries = F.posexplode(_entries(F.col(payload), F.col(vendor))).alias("pos", "_e")
+    rows = payloads.select(*keep, F.col(vendor).alias("vendor"), base.alias("_base"), entries)
+    # An entry is read once into the texts of its fields, and so is the product within it: a field that isn't there costs a look
+    # at the names, and only what is an object itself is read on.
+    rows = rows.select(*keep, "vendor", "pos", "_base", F.from_json("_e.v", MAP).alias("_m"), F.col("_e.label").alias("_label"))
+    rows = rows.select("*", F.from_json(F.try_element_at("_m", F.lit("PRODUCT")), MAP).alias("_p"))
+
+    def inner(text: Column, kind: str) -> Column:
+        return F.when(text.startswith("[" if kind.startswith("array") else "{"), F.from_json(text, kind))
+
+    def field(name: str) -> Column:
+        """A field's text by its path: names, and ``[0]`` for the first of a list."""
+        fields, name = ("_p", name[8:]) if name.startswith("PRODUCT.") else ("_m", name)
+        first, listed, more = re.fullmatch(r"(\w+)(\[0\])?(?:\.(\w+))?", name).groups()
+        value = F.try_element_at(fields, F.lit(first))
+        if listed:
+            value = F.try_element_at(inner(value, "array<string>"), F.lit(1))
+        return F.try_element_at(inner(value, MAP), F.lit(more)) if more else value
 
     def raw(*names: str) -> Column:
-        return F.coalesce(*[F.nullif(F.try_variant_get("_v", f"$.{n}", "string"), F.lit("")) for n in names])
+        """The first of the fields that says anything."""
+        return F.try_element_at(F.filter(F.array(*map(field, names)), lambda x: x != ""), F.lit(1))
+
+    empty = F.array().cast("array<string>")
+
+    def parts_of(text: Column) -> Column:
+        """Prices among the fields of an object, read once."""
+        return F.flatten(F.transform(F.array(F.from_json(text, MAP)), lambda m: F.array(*[F.try_element_at(m, F.lit(k)) for k in BITRIX_PRICE_PARTS])))
 
-    def price_texts(path: str) -> Column:
-        """What may be a price below a field: its own text, or the parts of an object."""
-        parts = F.try_variant_get("_v", path, MAP)
-        named = F.transform(F.array(*map(F.lit, BITRIX_PRICE_PARTS)), lambda k: F.try_element_at(parts, k))
-        return F.when(parts.isNotNull(), named).otherwise(F.array(F.try_variant_get("_v", path, "string")))
+    def price_texts(name: str, listed: bool = False) -> Column:
+        """What may be a price below a field: its own text, the parts of an object, or those of a list's objects."""
+        value = field(name)
+        texts = F.when(value.isNull(), empty).when(value.startswith("{"), parts_of(value))
+        if listed:
+            texts = texts.when(value.startswith("["), F.flatten(F.transform(F.from_json(value, "array<string>"), parts_of)))
+        return texts.otherwise(F.array(value))
 
-    def listed_texts(path: str) -> Column:
-        """The same for a list of objects."""
-        rows = F.try_variant_get("_v", path, f"array<{MAP}>")
-        parts = F.flatten(F.transform(rows, lambda m: F.transform(F.array(*map(F.lit, BITRIX_PRICE_PARTS)), lambda k: F.try_element_at(m, k))))
-        return F.coalesce(parts, price_texts(path))
+    def first_of(texts: Column, read) -> Column:
+        """What is read from the first text that can be read."""
+        return _first(F.transform(F.filter(texts, lambda x: x.isNotNull()), read))
 
     def quantity(text: Column) -> Column:
         parsed = goods.parse_stock(text)
@@ -96,16 +118,14 @@ def payload_variants(payloads: DataFrame, vendor: str, payload: str, *keep: str,
 
     zero = F.lit(0.0)
     none = F.lit(None).cast("string")
-    # In the order in which they count; what comes later isn't read once a value is found.
+    # In the order in which they count.
     prices = [
-        *[price_texts(f"$.{k}") for k in BITRIX_PRICE_KEYS], *[listed_texts(f"$.{k}") for k in BITRIX_PRICE_LISTS],
-        *[price_texts(f"$.PRODUCT.{k}") for k in BITRIX_PRODUCT_PRICES],
+        *map(price_texts, BITRIX_PRICE_KEYS), *[price_texts(k, True) for k in BITRIX_PRICE_LISTS], *[price_texts(f"PRODUCT.{k}") for k in BITRIX_PRODUCT_PRICES],
     ]
-    cleaned = [_first(F.transform(texts, lambda x: F.when(x.isNotNull(), goods.clean_price(x)))) for texts in prices]
-    stocks = [quantity(F.try_variant_get("_v", f"$.{k}", "string")) for k in (*BITRIX_STOCK_KEYS, *(f"PRODUCT.{k}" for k in BITRIX_PRODUCT_STOCK))]
+    stocks = [field(k) for k in (*BITRIX_STOCK_KEYS, *(f"PRODUCT.{k}" for k in BITRIX_PRODUCT_STOCK))]
     barred = F.coalesce(F.upper(raw("PRODUCT.CAN_BUY")).isin("N", "FALSE"), F.lit(False)) | F.coalesce(F.upper(raw("CAN_BUY")).isin("N", "FALSE"), F.lit(False))
     money = [f"{k}.CURRENCY" for k in BITRIX_PRICE_KEYS] + [f"{k}[0].CURRENCY" for k in BITRIX_PRICE_LISTS] + [f"PRODUCT.{k}.CURRENCY" for k in BITRIX_PRODUCT_PRICES]
-    chosen = F.array_join(F.map_values(F.try_variant_get("_v", "$.attributes", MAP)), " ")
+    chosen = F.array_join(F.map_values(inner(field("attributes"), MAP)), " ")
     kinds = {
         "insales": {
             "variation_id": raw("id"), "sku": raw("sku"),
@@ -120,7 +140,8 @@ def payload_variants(payloads: DataFrame, vendor: str, payload: str, *keep: str,
         "bitrix": {
             "variation_id": raw("ID", "OFFER_ID"), "sku": raw("SKU", "ARTNUMBER", "CODE", "XML_ID", "ID"), "type": raw("PROPERTY_NAME"),
             "value": clean_text(raw("NAME")),
-            "price": F.coalesce(*cleaned), "stock": F.coalesce(*stocks, F.when(barred, zero)),
+            "price": first_of(F.flatten(F.array(*prices)), goods.clean_price),
+            "stock": F.coalesce(first_of(F.array(*stocks), quantity), F.when(barred, zero)),
             "currency": raw(*money),
         },
         "generic": {
@@ -141,7 +162,7 @@ def payload_variants(payloads: DataFrame, vendor: str, payload: str, *keep: str,
     for name, columns in kinds.items():
         made = F.struct(*[c.alias(n) for n, c in columns.items()])
         entry = F.when(F.col("vendor") == name, made) if entry is None else entry.when(F.col("vendor") == name, made)
-    available = F.coalesce(F.try_variant_get("_v", "$.available", "string") == "true", F.lit(False))
+    available = F.coalesce(field("available") == "true", F.lit(False))
     # An offer without a price is dropped for the vendor that prices every offer; the test sits in the generator, as a
     # filter behind the projection would be pushed down and read the JSON again.
     kept = F.filter(F.array(entry), lambda e: (F.col("vendor") != "bitrix") | e["price"].isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogwatch.plans.registry import table
+from catalogwatch.session import spread
 
 # --- catalogue -------------------------------------------------------------------------------
 
@@ -57,7 +58,7 @@ def variations(spark: SparkSession, d: str) -> DataFrame:
 
 def offers(spark: SparkSession, d: str) -> DataFrame:
     """Every order line as one nested product record with its variations in the row."""
-    v = table(spark, d, "lineitem")
+    v = spread(table(spark, d, "lineitem"))
     key = F.concat_ws("-", "l_orderkey", "l_linenumber")
     text_price = F.replace(F.col("l_extendedprice").cast("string"), F.lit("."), F.lit(","))
 

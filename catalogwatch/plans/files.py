@@ -95,6 +95,30 @@ def sitemap_entries(spark, d):
     return R.filter_sitemap(R.read_sitemap(spark, f"{path}/*")).select("url", "changefreq")
 
 
+@query(
+    "large_exports",
+    """SELECT l_orderkey, l_linenumber, 'He said "' || l_returnflag || '": [{\\' AS name, l_extendedprice AS price, l_linestatus AS v_id FROM lineitem""",
+)
+def large_exports(spark, d):
+    """Exports of one document each, whose product lists are read in ranges of 64 thousand bytes."""
+    li = table(spark, d, "lineitem")
+    item = F.to_json(F.struct(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("url"), F.concat(F.lit('He said "'), "l_returnflag", F.lit('": [{\\')).alias("name"),
+        F.col("l_extendedprice").alias("price"), F.array(F.struct(F.col("l_linestatus").alias("variation_id"))).alias("variations"),
+    ))
+    # A document holds two thousand orders at most; beside the products it has lists that are none.
+    docs = li.groupBy(F.expr("l_orderkey div 2000").alias("part")).agg(F.array_join(F.collect_list(item), ", ").alias("items"))
+    text = F.concat(F.lit('{"before": [[1], {"products": [2]}], "products": [null, '), "items", F.lit(', 5], "after": {"x": [{"url": "no"}, 3]}}'))
+    path = f"{work_folder(spark, 'exports')}/parts"
+    docs.select("part", text.alias("value")).repartition("part").write.partitionBy("part").text(path)
+    rows = R.read_large_products(spark, f"{path}/*", chunk_bytes=1 << 16)
+    key = F.split("url", "-")
+    return rows.select(
+        key[0].cast("long").alias("l_orderkey"), key[1].cast("int").alias("l_linenumber"), "name", F.col("price").cast("double").alias("price"),
+        F.col("variations")[0]["variation_id"].alias("v_id"),
+    )
+
+
 @query(
     "full_export_rows",
     f"""WITH {FULL} SELECT url, title, price, stock, stock_value, availability, variation_id, variation_price, variation_in_stock FROM full_rows""",

@@ -10,6 +10,7 @@ from catalogwatch.operators import cms as C
 from catalogwatch.operators import html_table as H
 from catalogwatch.operators import pages as P
 from catalogwatch.plans.registry import query, table
+from catalogwatch.session import spread
 
 DECODE = "replace(replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp', '&')"
 NO_SCRIPT = "regexp_replace(html, '<!DOCTYPE[^>]*>|<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'gs')"
@@ -50,7 +51,7 @@ def marked(spark, d, extra=EXTRA):
     html = F.col("html")
     for n, t in extra:
         html = F.concat(html, F.when(F.col("page_id") % n == 0, F.lit(t)).otherwise(F.lit("")))
-    return table(spark, d, "pages").select("page_id", "url", html.alias("html"))
+    return spread(table(spark, d, "pages")).select("page_id", "url", html.alias("html"))
 
 
 @query(
@@ -351,7 +352,7 @@ def _runs(c):
 )
 def version_similarity(spark, d):
     """Similarity of each document to a version of itself that lost its digits."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     older = docs.withColumn("text", F.regexp_replace("text", r"[0-9]+", ""))
     return P.version_similarity(older, docs, "doc_id", "text")
 

@@ -11,6 +11,7 @@ from catalogwatch.operators import html_table as H
 from catalogwatch.operators import variants as O
 from catalogwatch.plans.bindings import PRODUCTS, VARIATIONS, products, variations
 from catalogwatch.plans.registry import query, table
+from catalogwatch.session import spread
 
 
 def choice(n, options):
@@ -243,7 +244,7 @@ VENDORS = ["insales", "shopify", "bitrix", "generic", "woocommerce", "magento"]
 )
 def vendor_variants(spark, d):
     """Vendor payloads as common variation rows."""
-    li = table(spark, d, "lineitem")
+    li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey"))
     q, part = F.col("l_quantity").cast("int"), F.col("l_partkey")
     docs = [
         F.format_string(

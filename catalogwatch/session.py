@@ -47,6 +47,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out over the cores where there are fewer partitions than cores: a file of one row group is one task.
+
+    For heavy work on each row. A table of many files stays as it is, and nothing moves.
+    """
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalogwatch.functions import urls as U
 from catalogwatch.functions.values import strip
+from catalogwatch.sources.json_arrays import CHUNK_BYTES, json_elements
 
 # Fixed value: the fields a product record is read with; further keys stay in the raw text.
 PRODUCT_DDL = (
@@ -35,13 +34,28 @@ TRACEBACK = r"Traceback \(most recent call last\)"
 def read_products(spark: SparkSession, path, ddl: str = PRODUCT_DDL) -> DataFrame:
     """Export files: an object with ``products`` or a bare list; entries that are not objects drop out.
 
-    A file is one JSON document, so a file is the smallest unit read by a task; large exports are
-    landed as JSON lines (``read_partial``) instead.
+    A file is read whole by one task; for large exports there is :func:`read_large_products`.
     """
     raw = spark.read.text(path, wholetext=True)
     return products_from_json(raw, "value", ddl)
 
 
+def read_large_products(spark: SparkSession, path, ddl: str = PRODUCT_DDL, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The same of exports of any size: a file is read by as many tasks as it has ranges. ``at`` orders the rows of a file.
+
+    Other than above, a document that breaks off gives the products before the break.
+    """
+    rows = json_elements(spark, path, "products", chunk_bytes).where(F.col("value").startswith("{"))
+    read = rows.select("path", "at", F.from_json("value", ddl).alias("_p"), F.try_parse_json("value").isNotNull().alias("_ok"))
+    return read.where("_ok").select("path", "at", "_p.*")
+
+
+def read_large_url_map(spark: SparkSession, path, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``path, at, url`` of URL maps of any size."""
+    rows = json_elements(spark, path, "links", chunk_bytes)
+    return rows.select("path", "at", _entry_url(F.try_parse_json("value")).alias("url")).where(F.col("url").isNotNull())
+
+
 def products_from_json(docs: DataFrame, column: str, ddl: str = PRODUCT_DDL) -> DataFrame:
     """Product rows out of JSON documents held in a text column."""
     doc = F.try_parse_json(F.col(column))
@@ -129,24 +143,42 @@ def filter_sitemap(entries: DataFrame) -> DataFrame:
     return entries.where(often | U.is_product_url(F.col("url")))
 
 
-def expand_sitemaps(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """All maps reachable from the roots, with their depth.
+# Steps of doubled length may be this many times as many as there are edges; beyond, their length stays.
+STEP_GROWTH = 4
+
 
-    One join per level, as many levels as there are; it stops at the first level without new maps, and maps that were met
-    before aren't new, so cycles end it too.
+def expand_sitemaps(edges: DataFrame, roots: DataFrame, growth: int = STEP_GROWTH) -> DataFrame:
+    """All maps reachable from the roots, with their least depth: ``map, depth``.
+
+    Once all maps nearer than some length are known, steps of that length reach all maps nearer than twice of it, and two such
+    steps make one of the double length. So a chain of d levels takes some log d rounds instead of d. Where maps have many parents,
+    longer steps become too many; then their length stays, and rounds go on with it. It ends at the first round that finds nothing
+    new. Cycles, loops and repeated edges change nothing; rows with a null are left out.
     """
     from catalogwatch.session import cut_lineage
 
-    known = cut_lineage(roots.select(F.col("map")).distinct().withColumn("depth", F.lit(0)))
-    frontier = known
-    for level in itertools.count(1):
-        nxt = frontier.join(edges, F.col("map") == F.col("parent")).select(F.col("child").alias("map")).distinct()
-        nxt = cut_lineage(nxt.join(known.select("map"), "map", "left_anti").withColumn("depth", F.lit(level)))
-        if nxt.isEmpty():
+    step = cut_lineage(
+        edges.select(F.col("parent").alias("a"), F.col("child").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
+    )
+    most, length, grows = growth * step.count(), 1, True
+    reached = cut_lineage(roots.select("map").where("map IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
+    known = None
+    while True:
+        more = reached.join(step, F.col("map") == F.col("a")).select(F.col("b").alias("map"), (F.col("depth") + length).alias("depth"))
+        reached = cut_lineage(reached.unionByName(more).groupBy("map").agg(F.min("depth").alias("depth")))
+        now = tuple(reached.agg(F.count("*"), F.sum("depth")).first())
+        if now == known:
             break
-        known = known.unionByName(nxt)
-        frontier = nxt
-    return known
+        known = now
+        if grows:
+            # How many longer steps there will be at most, from the numbers of steps into and out of each map.
+            into, out_of = (step.groupBy(F.col(c).alias("m")).agg(F.count("*").alias(f"n_{c}")) for c in ("b", "a"))
+            grows = (into.join(out_of, "m").agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0] or 0) <= most
+        if grows:
+            pairs = step.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+            step = cut_lineage(pairs.where("a <> b").distinct())
+            length *= 2
+    return reached.select("map", F.col("depth").cast("int").alias("depth"))
 
 
 def read_cached_urls(spark: SparkSession, path) -> DataFrame:

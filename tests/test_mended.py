@@ -1,5 +1,8 @@
 """Cases in which rows used to be lost or misread."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from catalogwatch.operators import requests as req
@@ -55,6 +58,40 @@ def test_sitemap_chain_of_any_length(spark):
     assert got == {f"m{i}": i for i in range(11)}
 
 
+def _depths(edges, roots):
+    depth, frontier = {r: 0 for r in roots}, list(roots)
+    while frontier:
+        found = []
+        for a, b in edges:
+            if a in frontier and b not in depth:
+                found.append(b)
+                depth[b] = depth[a] + 1
+        frontier = found
+    return depth
+
+
+@pytest.mark.parametrize("growth", [0, 4])
+def test_sitemap_depths_of_any_graph(spark, growth):
+    rng = random.Random(growth)
+    for n, m in ((8, 12), (30, 40), (25, 120)):
+        edges = [(f"m{rng.randrange(n)}", f"m{rng.randrange(n)}") for _ in range(m)] + [(f"c{i}", f"c{(i + 1) % 9}") for i in range(9)] + [("m1", None), (None, "m2")]
+        roots = ["m0", "m1", "c4", "alone"]
+        df = spark.createDataFrame(edges * 2, "parent string, child string")
+        got = expand_sitemaps(df, spark.createDataFrame([(r,) for r in [*roots, None]], "map string"), growth).collect()
+        assert {r["map"]: r["depth"] for r in got} == _depths([e for e in edges if None not in e], roots) and len(got) == len({r["map"] for r in got})
+
+
+def test_sitemap_chain_of_a_thousand(spark):
+    jobs = spark.sparkContext.statusTracker()
+    before = len(jobs.getJobIdsForGroup(None))
+    edges = spark.range(1000).selectExpr("concat('m', id) AS parent", "concat('m', id + 1) AS child")
+    got = expand_sitemaps(edges, spark.createDataFrame([("m0",)], "map string"))
+    assert got.where("map = concat('m', depth)").count() == 1001 == got.count()
+    assert len(jobs.getJobIdsForGroup(None)) - before < 250
+    empty = spark.createDataFrame([], "parent string, child string")
+    assert [tuple(r) for r in expand_sitemaps(empty, spark.createDataFrame([("m0",)], "map string")).collect()] == [("m0", 0)]
+
+
 def test_positions_over_many_buckets(spark):
     df = spark.range(20_000).select((F.col("id") * 7).alias("k"))
     got = dense_index(df, ["k"], F.floor(F.col("k") / 10)).where(F.col("index") != F.col("k") / 7)
