@@ -46,10 +46,12 @@ KEPT_WORDS = 900_000
 KEPT_PARTS = 900_000
 ROWS = 256
 _CUT = re.compile(r" (?=\S)")
+_ODD = re.compile(r" (?:\s|\Z)")  # a blank that is no cut
 # Letters that are letters in every version of Unicode. A word of them and signs, and the same again on a next line: between
 # these groups a new token always starts.
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0410-\u044f]+"
 _PARTS = re.compile(rf"({_LETTERS})([^\w\s']*)(?:(\n)({_LETTERS})([^\w\s']*))?")
+_BLANK = "\u0120"  # how a byte-level vocabulary writes a blank
 _PLAIN = re.compile(f" {_LETTERS}")
 
 
@@ -66,6 +68,9 @@ class TokenCoder:
         state = str(lib.pre_tokenizer)
         self.by_word = state.startswith("ByteLevel") and "add_prefix_space=False" in state and "use_regex=True" in state and lib.normalizer is None
         self.width = 2 if lib.get_vocab_size() <= 1 << 16 else 4
+        # Tokens that begin with a blank: in a line of words, each in front of a blank, these are the words' first ones.
+        self.begins = np.zeros(lib.get_vocab_size(), bool)
+        self.begins[[i for token, i in lib.get_vocab().items() if token.startswith(_BLANK)]] = True
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -78,10 +83,10 @@ class TokenCoder:
         done: dict[str, bytes] = {}
         for at in range(0, len(plain), 512):
             some = plain[at : at + 512]
-            e = self.library.encode("".join(some), add_special_tokens=False)
-            words, ids = np.array(e.word_ids), np.array(e.ids, f"<u{self.width}").tobytes()
-            cuts = [0, *((np.flatnonzero(words[1:] != words[:-1]) + 1) * self.width).tolist(), len(ids)]
-            if len(cuts) == len(some) + 1:
+            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            cuts = [*(np.flatnonzero(self.begins[ids]) * self.width).tolist(), len(ids) * self.width]
+            ids = ids.tobytes()
+            if len(cuts) == len(some) + 1 and not cuts[0]:
                 done.update(zip(some, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
         rest = [x for x in parts if x not in done]
         done.update(zip(rest, self._library(rest)))
@@ -90,9 +95,12 @@ class TokenCoder:
     def _learn(self, words: set[str]) -> None:
         """Adds words (without their blank) to the known ones."""
         known, kept = self.parts, self.words
-        cut, new = [], set()
+        # Words of letters alone have nothing to cut.
+        whole = [w for w in words if w.isalpha()]
+        parts_of_whole = [" " + w for w in whole]
+        cut, new = [], set(parts_of_whole)
         match = _PARTS.fullmatch
-        for w in words:
+        for w in words.difference(whole):
             m = match(w)
             parts = (" " + w,) if m is None else (" " + m[1], *[x for x in m.groups()[1:] if x])
             cut.append((w, parts))
@@ -103,8 +111,9 @@ class TokenCoder:
             fresh = list(new.difference(known))
         if fresh:
             known.update(self._library_parts(fresh))
-        if len(kept) + len(cut) > KEPT_WORDS:
+        if len(kept) + len(words) > KEPT_WORDS:
             forget_newest(kept, KEPT_WORDS)
+        kept.update(zip(whole, map(known.__getitem__, parts_of_whole)))
         for w, parts in cut:
             kept[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])
 
@@ -122,17 +131,12 @@ class TokenCoder:
             return b""
         if not self.by_word:
             return self._library([text])[0]
-        words = text.split(" ")
-        for again in (False, True):
-            out = list(map(self.words.get, words))
-            out[0] = self._first(words[0])
+        words = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+        out = list(map(self.words.get, words))
+        out[0] = self._first(words[0])
+        if None in out:
             gaps = [i for i, x in enumerate(out) if x is None]
-            new = {words[i] for i in gaps}
-            if again or not any(not w or w[0].isspace() for w in new):  # such words are never kept
-                break
-            words = _CUT.split(text)
-        if new:
-            self._learn(new)
+            self._learn({words[i] for i in gaps})
             for i in gaps:
                 out[i] = self.words[words[i]]
         return b"".join(out)
