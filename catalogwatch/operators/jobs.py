@@ -217,9 +217,9 @@ def presets(spark, rows: dict[str, tuple[int, int]] | None = None) -> DataFrame:
 def duration_estimate(sites: DataFrame, preset: DataFrame, site: str, urls: str) -> DataFrame:
     """Seconds a run will take, from URL count and rate, else from the preset, with a label code.
 
-    The preset table holds a handful of rows; it is joined, so a site list of any size stays distributed.
+    The presets are joined as the engine sees fit: a caller's table may be of any size.
     """
-    j = sites.join(F.broadcast(preset.withColumnRenamed("site", site)), site, "left")
+    j = sites.join(preset.withColumnRenamed("site", site), site, "left")
     known = F.col("minutes").isNotNull()
     usual = F.coalesce("usual_urls", F.lit(DEFAULT_URLS))
     explicit = F.when(F.col(urls) > 0, F.floor(F.col(urls) + 0.5))
@@ -249,11 +249,22 @@ def duration_label(seconds: Column) -> Column:
     )
 
 
-def numbered_pages(pages: DataFrame, job: str, *order: str, name: str = "place") -> DataFrame:
+def numbered_pages(pages: DataFrame, job: str, *order: str, name: str = "place", cell: Column | None = None) -> DataFrame:
     """Pages with their place (from 1) in the order of their job: by fetch time, or by address for a product list.
 
-    Where only the first pages are wanted, filter on the place: the engine then cuts each job before its shuffle.
+    Where only the first pages are wanted, filter on the place: the engine then cuts each job before its shuffle. ``cell`` cuts the
+    order of a job into stretches, so that a job of very many pages isn't one task: it never falls along the order (a day of
+    the fetch time, the beginning of the address). Stretches are counted, and a page's place is that in its stretch behind all
+    stretches before.
     """
     from pyspark.sql import Window
 
-    return pages.withColumn(name, F.row_number().over(Window.partitionBy(job).orderBy(*order)))
+    if cell is None:
+        return pages.withColumn(name, F.row_number().over(Window.partitionBy(job).orderBy(*order)))
+    cut = pages.withColumn("_cell", cell)
+    counts = cut.groupBy(F.col(job).alias("_job"), F.col("_cell").alias("_at")).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("_job").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_job", "_at", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(job, "_cell").orderBy(*order))
+    met = cut.withColumn("_own", own).join(before, F.col(job).eqNullSafe(F.col("_job")) & F.col("_cell").eqNullSafe(F.col("_at")))
+    return met.select(*pages.columns, (F.col("_before") + F.col("_own")).alias(name))

@@ -147,7 +147,9 @@ def pages_with_job(spark, d):
 def ordered_pages(spark, d):
     """Pages of every job in order of their fetch time."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
-    return J.numbered_pages(li, "l_orderkey", "l_shipdate", "l_linenumber").select("l_orderkey", "l_linenumber", "place")
+    month = F.date_trunc("month", F.col("l_shipdate").cast("timestamp"))
+    out = J.numbered_pages(li, "l_orderkey", "l_shipdate", "l_linenumber", cell=month)
+    return out.select("l_orderkey", "l_linenumber", F.col("place").cast("int").alias("place"))
 
 
 @query(
@@ -158,7 +160,8 @@ def ordered_pages(spark, d):
 def ordered_products(spark, d):
     """Products of every site in order of their address."""
     o = table(spark, d, "orders").select("o_custkey", F.concat(F.lit("https://s.example.com/"), "o_orderkey").alias("url"))
-    return J.numbered_pages(o, "o_custkey", "url")
+    out = J.numbered_pages(o, "o_custkey", "url", cell=F.substring("url", 1, 27))
+    return out.withColumn("place", F.col("place").cast("int"))
 
 
 @query("audit_tail", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")

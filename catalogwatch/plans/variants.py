@@ -180,7 +180,8 @@ def variation_order(spark, d):
     rows = table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", kind.alias("type"), value.alias("value"), k[0].alias("k1"), k[1].alias("k2"), k[2].alias("k3"), k[3].alias("k4")
     )
-    return rows.orderBy("l_orderkey", "k1", "k2", "k3", "k4").drop("k2")
+    # The order matters within a product only.
+    return rows.repartition("l_orderkey").sortWithinPartitions("l_orderkey", "k1", "k2", "k3", "k4").drop("k2")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalogwatch.operators import requests as req
 from catalogwatch.operators import selectors
+from catalogwatch.operators.jobs import numbered_pages
 from catalogwatch.operators.urlsets import dense_index
 from catalogwatch.sources.readers import expand_sitemaps
 
@@ -96,3 +97,14 @@ def test_positions_over_many_buckets(spark):
     df = spark.range(20_000).select((F.col("id") * 7).alias("k"))
     got = dense_index(df, ["k"], F.floor(F.col("k") / 10)).where(F.col("index") != F.col("k") / 7)
     assert got.count() == 0
+
+
+def test_places_in_cells_equal_places_without(spark):
+    """One job holds most rows; null times and jobs, ties in the first key."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 8 + ["b", None]), None if rng.random() < 0.1 else rng.randrange(40), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "job string, at int, id int")
+    plain = numbered_pages(df, "job", "at", "id")
+    for cell in (F.floor(F.col("at") / 7), F.col("at"), F.lit(1)):
+        cut = numbered_pages(df, "job", "at", "id", cell=cell)
+        assert sorted(map(tuple, cut.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
