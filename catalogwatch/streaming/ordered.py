@@ -1,13 +1,16 @@
 """State machines over events that arrive in any order within the watermark's delay.
 
-Rows of a key wait in time cells of its state. A cell has a timer at its end; when the watermark passes it, Spark calls
-back, the cell's rows are put in order of time and id, and the machine steps through them. What a task holds is one cell of one
-key, however many rows a micro-batch brings. A machine may name a moment at which it speaks by itself (a deadline), and one at
-which its state can be forgotten; both are event-time timers, set anew whenever the state changes.
+Rows of a key wait in its state, in runs sorted by time and id. The key has a timer at the end of the first time cell that it
+waits for; when the watermark passes it, Spark calls back, and the machine steps through the merged runs up to the watermark's
+cell. Runs are read in chunks, so a task holds a chunk of each run of one key, and of what a micro-batch brings for a key no more
+than one run. A machine may name a moment at which it speaks by itself (a deadline), and one at which its state can be
+forgotten; the timer is set for these too.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections import namedtuple
 from collections.abc import Iterator
 
@@ -15,13 +18,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegralType, StringType, StructField, StructType
 
 from catalogwatch.streaming.machines import OUTPUT, Machine
 
-# Rows of one entry of a cell, and of one frame that goes out.
+# Rows of one entry of a run, of a run that is sorted at once, and of one frame that goes out.
 CHUNK = 1000
+RUN_ROWS = 20_000
 OUT_ROWS = 5000
+# What is known of a run: its number, its first chunk, its rows, and the time of the first one.
+RUN, CHUNK_AT, N, US = range(4)
 
 
 class Timed(Machine):
@@ -167,87 +173,145 @@ OUTPUT.update({
 })
 
 
+def plain_rows(frame: pd.DataFrame, fields: StructType) -> Iterator[tuple]:
+    """Rows of a frame as tuples in the order of ``fields``, with None for missing values and whole numbers where they are such."""
+    columns = []
+    for field in fields:
+        values = [None if x is pd.NaT or type(x) is float and x != x else x for x in frame[field.name].tolist()]
+        if isinstance(field.dataType, IntegralType):
+            values = [None if x is None else int(x) for x in values]
+        columns.append(values)
+    return zip(*columns)
+
+
 class Ordered(StatefulProcessor):
-    """Steps a machine through the rows of a key in order of (us, id)."""
+    """Steps a machine through the rows of a key in order of (us, id).
+
+    A key has one timer: the end of the first cell that it waits for, whether a row lies there or a moment of the machine. When it
+    fires, everything up to the watermark's cell is released at once, so a key costs a few calls per micro-batch however many
+    cells its rows lie in.
+    """
 
     def __init__(self, machine: Machine, keys: list[str], fields: StructType, cell_ms: int) -> None:
         self.machine, self.keys, self.fields, self.cell_ms = machine, keys, fields, cell_ms
         self.cell_us = cell_ms * 1000
         self.names = fields.fieldNames()
         self.columns = [*keys, "id", "us", *machine.columns]
+        us, id = self.names.index("us"), self.names.index("id")
+        self.order = lambda row: (row[us], row[id] is not None, row[id])
+        self.time = lambda row: row[us]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         rows = StructType([StructField("rows", ArrayType(self.fields))])
         self.state = handle.getValueState("state", self.machine.state_schema)
-        self.moments = handle.getValueState("moments", "deadline_ms bigint, forget_ms bigint, last_us bigint")
-        self.chunks = handle.getMapState("chunks", "cell bigint", "n bigint")
-        self.rows = handle.getMapState("rows", "cell bigint, chunk bigint", rows)
+        runs = "array<struct<run:bigint,chunk:bigint,n:bigint,us:bigint>>"
+        self.waiting = handle.getValueState("waiting", f"timer_ms bigint, last_us bigint, runs {runs}")
+        self.rows = handle.getMapState("rows", "run bigint, chunk bigint", rows)
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        timer, last, runs = self._waiting()
+        fresh: list[tuple] = []
         for frame in rows:
-            cells = frame["us"] // self.cell_us
-            plain = frame[self.names].astype(object).where(frame[self.names].notna(), None)
-            for cell, part in plain.groupby(cells, sort=False):
-                known = self.chunks.getValue((int(cell),))
-                n = int(known[0]) if known else 0
-                if not n:
-                    self.handle.registerTimer((int(cell) + 1) * self.cell_ms)
-                values = list(part.itertuples(index=False, name=None))
-                for at in range(0, len(values), CHUNK):
-                    self.rows.updateValue((int(cell), n), (values[at : at + CHUNK],))
-                    n += 1
-                self.chunks.updateValue((int(cell),), (n,))
+            fresh.extend(plain_rows(frame, self.fields))
+            while len(fresh) >= RUN_ROWS:
+                self._add(runs, fresh[:RUN_ROWS])
+                fresh = fresh[RUN_ROWS:]
+        if fresh:
+            self._add(runs, fresh)
+        self._wait(timer, timer, last, runs)
         return iter(())
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         state, names = self._load(), list(initialState.columns)
         Row = namedtuple("Row", names)
-        for values in initialState.astype(object).where(initialState.notna(), None).itertuples(index=False, name=None):
+        for values in plain_rows(initialState, StructType([self.fields[n] if n in self.names else StructField(n, StringType()) for n in names])):
             state = self.machine.known(state, Row(*values))
         if state is not None:
             self.state.update(state)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        machine, at = self.machine, expiredTimerInfo.getExpiryTimeInMs()
-        cell = at // self.cell_ms - 1
-        state, out = self._load(), []
-        before = tuple(self.moments.get()) if self.moments.exists() else (None, None, None)
-        last = before[2]
-        known = self.chunks.getValue((cell,))
-        if known:
-            Row = namedtuple("Row", self.names)
-            rows = [Row(*r) for k in range(int(known[0])) for r in self.rows.getValue((cell, k))[0]]
-            rows.sort(key=lambda r: (r.us, r.id))
-            for row in rows:
-                state = self._lapse(key, state, last, row.us, out)
-                state, values = machine.step(machine.start() if state is None else state, row)
-                last = row.us
-                if values is not None:
-                    out.append((*key, row.id, row.us, *values))
-                if len(out) >= OUT_ROWS:
-                    yield pd.DataFrame(out, columns=self.columns)
-                    out = []
-            for k in range(int(known[0])):
-                self.rows.removeKey((cell, k))
-            self.chunks.removeKey((cell,))
-        # Time has come as far as this cell's end, or, if no row waits, as far as the watermark's cell.
-        passed = timerValues.getCurrentWatermarkInMs() // self.cell_ms * self.cell_ms
-        waiting = any(at < t <= passed and (t not in before[:2] or self._waits(t)) for t in self.handle.listTimers())
-        state = self._lapse(key, state, last, (at if waiting else max(at, passed)) * 1000, out)
-        self._store(state, before, last, at)
+        machine, state, out = self.machine, self._load(), []
+        timer, last, runs = self._waiting()
+        # The watermark's cell begins here: what lies before it is complete.
+        edge = timerValues.getCurrentWatermarkInMs() // self.cell_ms * self.cell_us
+        Row = namedtuple("Row", self.names)
+        for values in heapq.merge(*(self._due(run, edge) for run in runs), key=self.order):
+            row = Row(*values)
+            state = self._lapse(key, state, last, row.us, out)
+            state, values = machine.step(machine.start() if state is None else state, row)
+            last = row.us
+            if values is not None:
+                out.append((*key, row.id, row.us, *values))
+            if len(out) >= OUT_ROWS:
+                yield pd.DataFrame(out, columns=self.columns)
+                out = []
+        state = self._lapse(key, state, last, edge, out)
+        moments: tuple = ()
+        if state is None:
+            self.state.clear()
+            last = None
+        else:
+            self.state.update(state)
+            moments = tuple((m // self.cell_us + 1) * self.cell_ms for m in self._moments(state, last) if m is not None)
+        self._wait(None, min(moments, default=None), last, [run for run in runs if run[N]])
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
-    def _waits(self, ms: int) -> bool:
-        """Does a cell that ends then have rows?"""
-        return self.chunks.containsKey((ms // self.cell_ms - 1,))
-
     def _load(self) -> tuple | None:
-        return tuple(self.state.get()) if self.state.exists() else None
+        state = self.state.get()
+        return None if state is None else tuple(state)
+
+    def _waiting(self) -> tuple[int | None, int | None, list[list]]:
+        """The key's timer, the time of its last row, and its runs of rows."""
+        known = self.waiting.get()
+        return (None, None, []) if known is None else (known[0], known[1], [list(run) for run in known[2]])
+
+    def _wait(self, timer: int | None, moment: int | None, last: int | None, runs: list[list]) -> None:
+        """Sets the key's only timer to the first cell's end that has rows, or to the machine's ``moment`` before it."""
+        ends = [(run[US] // self.cell_us + 1) * self.cell_ms for run in runs]
+        due = min([*ends, *([] if moment is None else [moment])], default=None)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if due is None and last is None:
+            self.waiting.clear()
+        else:
+            self.waiting.update((due, last, [tuple(run) for run in runs]))
+
+    def _add(self, runs: list[list], rows: list[tuple]) -> None:
+        """Keeps rows as a sorted run, together with the youngest runs as long as these are no larger or all fit in one chunk.
+
+        So runs are few, and a row is written again a logarithmic number of times.
+        """
+        rows.sort(key=self.order)
+        while runs and (runs[-1][N] + len(rows) <= CHUNK or runs[-1][N] <= len(rows) <= RUN_ROWS - runs[-1][N]):
+            rows = list(heapq.merge(self._due(runs.pop(), None), rows, key=self.order))
+        run = max((r[RUN] for r in runs), default=-1) + 1
+        for at in range(0, len(rows), CHUNK):
+            self.rows.updateValue((run, at // CHUNK), (rows[at : at + CHUNK],))
+        runs.append([run, 0, len(rows), self.time(rows[0])])
+
+    def _due(self, run: list, edge: int | None) -> Iterator[tuple]:
+        """Takes the rows before ``edge`` out of a run, chunk by chunk; all rows without one."""
+        while run[N]:
+            at = (run[RUN], run[CHUNK_AT])
+            rows = [tuple(row) for row in self.rows.getValue(at)[0]]
+            n = len(rows) if edge is None else bisect.bisect_left(rows, edge, key=self.time)
+            yield from rows[:n]
+            run[N] -= n
+            if n < len(rows):
+                run[US] = self.time(rows[n])
+                if n:
+                    self.rows.updateValue(at, (rows[n:],))
+                return
+            self.rows.removeKey(at)
+            run[CHUNK_AT] += 1
 
     def _moments(self, state: tuple, last: int | None) -> tuple[int | None, int | None]:
         """When the machine speaks by itself, and when its state goes: its own moment, or a key idle for too long."""
@@ -270,24 +334,6 @@ class Ordered(StatefulProcessor):
                 break
         return state
 
-    def _store(self, state: tuple | None, before: tuple, last: int | None, now_ms: int) -> None:
-        """Keeps the state and sets its two timers anew, at the ends of the cells in which their moments lie."""
-        after: tuple = (None, None)
-        if state is None:
-            self.state.clear()
-        else:
-            self.state.update(state)
-            after = tuple(None if m is None else (m // self.cell_us + 1) * self.cell_ms for m in self._moments(state, last))
-        for ms in set(before[:2]) - set(after) - {None, now_ms}:
-            if not self._waits(ms):
-                self.handle.deleteTimer(ms)
-        for ms in set(after) - set(before[:2]) - {None}:
-            self.handle.registerTimer(ms)
-        if state is None:
-            self.moments.clear()
-        else:
-            self.moments.update((*after, last))
-
 
 def run_ordered(
     events: DataFrame, machine: type[Machine], keys: str | list[str], late: str | None, cell_seconds: float = 1.0, ts: str = "ts",

@@ -1,9 +1,12 @@
 """Machines over late events: any order and any cut into micro-batches within the watermark's delay give the same rows."""
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from catalogwatch.operators import snapshots as snap
 from catalogwatch.streaming import machines as M
@@ -206,3 +209,99 @@ def test_changes_against_a_table_held_as_state(spark, tmp_path):
     out = drain(O.run_ordered(s, O.Changes, "url", "100 seconds", 10, initial=old, fields=fields), "t")
     got = sorted((r["url"], r["id"], r["change_type"], r["fields_changed"], r["price_prev"], r["price_curr"]) for r in snap.changes(out).collect())
     assert got == [("new", 11, "ADDED", "added", None, 9.0), ("u", 10, "MODIFIED", "price", 1.0, 2.0)]
+
+
+class Kept:
+    """Values and maps of one key in memory; counts the calls."""
+
+    def __init__(self, owner):
+        self.owner, self.value, self.entries = owner, None, {}
+
+    def get(self):
+        self.owner.calls += 1
+        return self.value
+
+    def exists(self):
+        return self.get() is not None
+
+    def update(self, value):
+        self.owner.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.update(None)
+
+    def getValue(self, at):
+        self.owner.calls += 1
+        return self.entries.get(at)
+
+    def updateValue(self, at, value):
+        self.owner.calls += 1
+        self.entries[at] = value
+
+    def containsKey(self, at):
+        return self.getValue(at) is not None
+
+    def removeKey(self, at):
+        self.owner.calls += 1
+        del self.entries[at]
+
+
+class OneKey:
+    """A handle of one key without Spark."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getValueState(self, *_):
+        return Kept(self)
+
+    getMapState = getValueState
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.discard(ms)
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(sorted(self.timers))
+
+
+def released(batches):
+    """Rows of one key, batch by batch with the watermark (s) that comes after, through the processor; ids, calls and the handle."""
+    fields = StructType.fromDDL("id long, us long, success boolean")
+    handle, out = OneKey(), []
+    processor = O.Ordered(M.Circuit("key", ("us", "id"), threshold=2, timeout_us=60 * US), ["key"], fields, 1000)
+    processor.init(handle)
+    for rows, mark in batches:
+        if rows:
+            processor.handleInputRows(("k",), iter([pd.DataFrame(rows, columns=fields.names)]), None)
+        while handle.timers and min(handle.timers) <= mark * 1000:
+            at = min(handle.timers)
+            times, moment = SimpleNamespace(getCurrentWatermarkInMs=lambda: mark * 1000), SimpleNamespace(getExpiryTimeInMs=lambda: at)
+            for frame in processor.handleExpiredTimer(("k",), times, moment):
+                out.extend(frame["id"].tolist())
+            handle.timers.discard(at)
+    return out, handle
+
+
+def test_calls_of_a_key_do_not_grow_with_its_cells(spark):
+    rows = [(i, i * US, True) for i in range(300)]
+    out, handle = released([(rows, 0), ([(300, 900 * US, True)], 600)])
+    assert out == list(range(300))
+    assert len(handle.timers) == 1 and handle.calls < 40
+
+
+def test_runs_of_a_key_are_merged_in_order(spark, monkeypatch):
+    monkeypatch.setattr(O, "CHUNK", 4)
+    monkeypatch.setattr(O, "RUN_ROWS", 32)
+    rng = random.Random(3)
+    ids = iter(range(10**6))
+    batches = [([(next(ids), rng.randint(mark, mark + 150) * US, True) for _ in range(rng.choice([0, 1, 3, 50, 90]))], mark) for mark in range(0, 1500, 7)]
+    out, handle = released([*batches, ([], 2000)])
+    rows = sorted((us, i) for part, _ in batches for i, us, _ in part)
+    assert out == [i for _, i in rows] and len(out) > 1000 and not handle.timers
