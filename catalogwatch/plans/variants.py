@@ -51,7 +51,7 @@ def parsed_prices(spark, d):
 def parsed_stocks(spark, d):
     """Quantities from stock text, in the default and in the strict reading."""
     t = choice(F.col("l_orderkey") + F.col("l_linenumber"), list(STOCK_TEXTS))
-    return table(spark, d, "lineitem").select(
+    return spread(table(spark, d, "lineitem")).select(
         "l_orderkey", "l_linenumber", goods.parse_stock(t).alias("stock"), goods.parse_stock(t, strict=True).alias("strict_stock")
     )
 
@@ -217,7 +217,10 @@ def option_prices(spark, d):
         .otherwise(F.create_map(F.lit("value"), q))
     )
     text = F.when(n == 4, F.lit("size L, 70 ₽")).when(n == 5, F.lit("0")).otherwise(F.lit("plain"))
-    return table(spark, d, "lineitem").select(
+    # Columns of their own, or the map would be built anew for each attribute that is looked up.
+    shown = spread(table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", attrs.alias("attrs"), text.alias("text"))
+    attrs, text = F.col("attrs"), F.col("text")
+    return shown.select(
         "l_orderkey", "l_linenumber", V.option_price(attrs, text, F.lit(50.0)).alias("price"), V.option_stock(attrs, text, F.lit(9)).alias("stock")
     )
 
