@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalogwatch.functions import sql as S
 from catalogwatch.plans.registry import query, table
+from catalogwatch.session import spread
 from catalogwatch.sources import readers as R
 
 
@@ -16,7 +17,7 @@ from catalogwatch.sources import readers as R
 )
 def product_documents(spark, d):
     """Export documents (object or bare list) opened to product rows."""
-    li = table(spark, d, "lineitem")
+    li = spread(table(spark, d, "lineitem"))
     item = F.struct(
         F.concat(F.lit("https://a.example.com/"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("url"),
         F.concat(F.lit("part "), "l_partkey").alias("name"),

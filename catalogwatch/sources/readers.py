@@ -58,11 +58,13 @@ def read_large_url_map(spark: SparkSession, path, chunk_bytes: int = CHUNK_BYTES
 
 def products_from_json(docs: DataFrame, column: str, ddl: str = PRODUCT_DDL) -> DataFrame:
     """Product rows out of JSON documents held in a text column."""
-    doc = F.try_parse_json(F.col(column))
+    doc = F.col("_doc")
     items = F.coalesce(
         F.try_variant_get(doc, "$.products", "array<variant>"), F.try_variant_get(doc, "$", "array<variant>")
     )
-    rows = docs.select(F.posexplode(items).alias("pos", "_v"))
+    # A column of its own, or the document would be parsed once for each place that names it.
+    parsed = docs.select(F.try_parse_json(F.col(column)).alias("_doc"))
+    rows = parsed.select(F.posexplode(items).alias("pos", "_v"))
     text = F.to_json("_v")
     return rows.where(text.startswith("{")).select("pos", F.from_json(text, ddl).alias("_p")).select("pos", "_p.*")
 

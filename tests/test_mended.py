@@ -108,3 +108,24 @@ def test_places_in_cells_equal_places_without(spark):
     for cell in (F.floor(F.col("at") / 7), F.col("at"), F.lit(1)):
         cut = numbered_pages(df, "job", "at", "id", cell=cell)
         assert sorted(map(tuple, cut.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["parsed_stocks", "option_prices", "product_documents"])
+def test_heavy_row_work_is_dealt_out(spark, tmp_path, name):
+    from __spark_entry__ import queries
+
+    ddl = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string"
+    rows = [(k, n, k, 3.0, 9.5, "A") for k in range(20) for n in range(1, 8)]
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = queries()[name](spark, str(tmp_path))
+    assert got.count() == len(rows) and got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_document_is_parsed_once(spark):
+    from catalogwatch.sources import readers
+
+    docs = spark.createDataFrame([('{"products":[{"url":"a"},5]}',), ('[{"url":"b"}]',), ("broken",)], "doc string")
+    rows = readers.products_from_json(docs, "doc")
+    assert sorted(r["url"] for r in rows.collect()) == ["a", "b"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") + plan.lower().count("parse_json") == 1
