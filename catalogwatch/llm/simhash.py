@@ -94,7 +94,8 @@ def linked_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     whole = F.shiftright("key", 32).bitwiseAND(F.lit(63)) == 32
     # A pair that the first half finds isn't taken from the second one again.
     once = (F.shiftright("key", 38) == 0) | (F.bit_count(_half(differ, 0)) >= 2)
-    met = side("u", 0).join(side("v", 1), "key")
+    # A row gives dozens of keys, which the engine's size estimate doesn't count: left to it, the keys would be broadcast.
+    met = side("u", 0).join(side("v", 1).hint("merge"), "key")
     return met.where((F.bit_count(differ) <= max_bits) & once & (~whole | (F.col("u") < F.col("v")))).select("u", "v")
 
 

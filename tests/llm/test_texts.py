@@ -4,6 +4,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from catalogwatch.llm import decontaminate, extract, secrets, simhash
 
@@ -199,3 +200,10 @@ def test_copies_of_a_page_keep_their_article(spark):
     assert got["counted"] == got["boxed"] == ["A story of its own.\nAnd its end."] * 9
     assert got["parted"] == ["\n".join(f"Part {i} of the story." for i in range(3))] * 9
     assert got["teaser"] == [f"Story {i} of this page, which is longer." for i in range(9)]
+
+
+def test_fingerprint_keys_are_not_broadcast(spark, tmp_path):
+    # 20,000 fingerprints are 0.2 MB by the engine's estimate, their keys some thirty times as many rows.
+    spark.range(20_000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "prints"))
+    pairs = simhash.linked_fingerprints(spark.read.parquet(str(tmp_path / "prints")))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
