@@ -5,12 +5,16 @@ waits for; when the watermark passes it, Spark calls back, and the machine steps
 cell. Runs are read in chunks, so a task holds a chunk of each run of one key, and of what a micro-batch brings for a key no more
 than one run. A machine may name a moment at which it speaks by itself (a deadline), and one at which its state can be
 forgotten; the timer is set for these too.
+
+A call costs some milliseconds, however few rows it brings. So keys that have few rows each are dealt into buckets by their hash: a
+bucket's rows wait together, and it has the timer and holds the states of its keys.
 """
 
 from __future__ import annotations
 
 import bisect
 import heapq
+import pickle
 from collections import namedtuple
 from collections.abc import Iterator
 
@@ -26,6 +30,9 @@ from catalogwatch.streaming.machines import OUTPUT, Machine
 CHUNK = 1000
 RUN_ROWS = 20_000
 OUT_ROWS = 5000
+# Groups of keys: a call for each of them in a micro-batch, whatever the number of keys.
+BUCKETS = 1024
+BUCKET = "_bucket"
 # What is known of a run: its number, its first chunk, its rows, and the time of the first one.
 RUN, CHUNK_AT, N, US = range(4)
 
@@ -294,25 +301,32 @@ class Ordered(StatefulProcessor):
             rows = list(heapq.merge(self._due(runs.pop(), None), rows, key=self.order))
         run = max((r[RUN] for r in runs), default=-1) + 1
         for at in range(0, len(rows), CHUNK):
-            self.rows.updateValue((run, at // CHUNK), (rows[at : at + CHUNK],))
+            self.rows.updateValue((run, at // CHUNK), (self._packed(rows[at : at + CHUNK]),))
         runs.append([run, 0, len(rows), self.time(rows[0])])
 
     def _due(self, run: list, edge: int | None) -> Iterator[tuple]:
         """Takes the rows before ``edge`` out of a run, chunk by chunk; all rows without one."""
         while run[N]:
             at = (run[RUN], run[CHUNK_AT])
-            rows = [tuple(row) for row in self.rows.getValue(at)[0]]
+            rows = self._unpacked(self.rows.getValue(at)[0])
             n = len(rows) if edge is None else bisect.bisect_left(rows, edge, key=self.time)
             yield from rows[:n]
             run[N] -= n
             if n < len(rows):
                 run[US] = self.time(rows[n])
                 if n:
-                    self.rows.updateValue(at, (rows[n:],))
+                    self.rows.updateValue(at, (self._packed(rows[n:]),))
                 return
             self.rows.removeKey(at)
             run[CHUNK_AT] += 1
 
+    def _packed(self, rows: list[tuple]):
+        """Rows as an entry of the state holds them."""
+        return rows
+
+    def _unpacked(self, held) -> list[tuple]:
+        return [tuple(row) for row in held]
+
     def _moments(self, state: tuple, last: int | None) -> tuple[int | None, int | None]:
         """When the machine speaks by itself, and when its state goes: its own moment, or a key idle for too long."""
         timed = isinstance(self.machine, Timed)
@@ -335,6 +349,70 @@ class Ordered(StatefulProcessor):
         return state
 
 
+class OrderedBuckets(Ordered):
+    """As :class:`Ordered` for every key of a bucket. ``fields`` hold the keys too; those among ``whole`` are whole numbers as texts.
+
+    Rows and states are kept as bytes, since the state's own rows are converted value by value. A firing goes through the states of
+    the bucket's keys once.
+    """
+
+    def __init__(self, machine: Machine, keys: list[str], fields: StructType, cell_ms: int, whole: frozenset[str] = frozenset()) -> None:
+        super().__init__(machine, keys, fields, cell_ms)
+        places = [(self.names.index(k), k in whole) for k in keys]
+        self.key_of = lambda row: tuple(int(row[i]) if number and row[i] is not None else row[i] for i, number in places)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.states = handle.getValueState("states", "held binary")
+        self.rows = handle.getMapState("packed", "run bigint, chunk bigint", "rows binary")
+
+    def _packed(self, rows: list[tuple]):
+        return pickle.dumps(rows, pickle.HIGHEST_PROTOCOL)
+
+    def _unpacked(self, held) -> list[tuple]:
+        return pickle.loads(bytes(held))
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=self.columns, dtype=object)  # whole numbers stay such beside nulls
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        machine, out = self.machine, []
+        known = self.states.get()
+        held: dict[tuple, tuple] = {} if known is None else self._unpacked(known[0])
+        timer, _, runs = self._waiting()
+        edge = timerValues.getCurrentWatermarkInMs() // self.cell_ms * self.cell_us
+        Row = namedtuple("Row", self.names, rename=True)
+        for values in heapq.merge(*(self._due(run, edge) for run in runs), key=self.order):
+            row, one = Row(*values), self.key_of(values)
+            state, last = held.get(one, (None, None))
+            state = self._lapse(one, state, last, row.us, out)
+            state, values = machine.step(machine.start() if state is None else state, row)
+            held[one] = state, row.us
+            if values is not None:
+                out.append((*one, row.id, row.us, *values))
+            if len(out) >= OUT_ROWS:
+                yield self._frame(out)
+                out = []
+        first = None
+        for one, (state, last) in list(held.items()):
+            state = self._lapse(one, state, last, edge, out)
+            if state is None:
+                del held[one]
+                continue
+            held[one] = state, last
+            first = min((m for m in (first, *self._moments(state, last)) if m is not None), default=None)
+            if len(out) >= OUT_ROWS:
+                yield self._frame(out)
+                out = []
+        if held:
+            self.states.update((self._packed(held),))
+        else:
+            self.states.clear()
+        self._wait(None, None if first is None else (first // self.cell_us + 1) * self.cell_ms, None, [run for run in runs if run[N]])
+        if out:
+            yield self._frame(out)
+
+
 def run_ordered(
     events: DataFrame, machine: type[Machine], keys: str | list[str], late: str | None, cell_seconds: float = 1.0, ts: str = "ts",
     initial: DataFrame | None = None, **settings,
@@ -350,13 +428,23 @@ def run_ordered(
     keys = [keys] if isinstance(keys, str) else list(keys)
     kept = events.where(F.col(ts).isNotNull() & F.col("us").isNotNull())
     kept = kept.withWatermark(ts, late) if late else kept
-    fields = StructType([f for f in events.schema.fields if f.name not in {*keys, ts}])
+    # A table of earlier rows is state by key, so that the work follows the micro-batch and not the table.
+    dealt = initial is None
+    fields = StructType([f for f in events.schema.fields if f.name != ts and (dealt or f.name not in keys)])
     made = machine(keys[0], ("us", "id"), **settings)
     values = made.output() if isinstance(made, Changes) else OUTPUT[machine]
     kinds = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{kinds}, id {events.schema['id'].dataType.simpleString()}, us bigint, {values}"
-    processor = Ordered(made, keys, fields, int(cell_seconds * 1000))
-    return kept.groupBy(*keys).transformWithStateInPandas(
+    cell_ms = int(cell_seconds * 1000)
+    if dealt:
+        # As texts, since pandas makes whole numbers beside nulls inexact.
+        whole = frozenset(k for k in keys if isinstance(events.schema[k].dataType, IntegralType))
+        kept = kept.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))).withColumns({k: F.col(k).cast("string") for k in whole})
+        fields = StructType([StructField(f.name, StringType()) if f.name in whole else f for f in fields])
+        processor: Ordered = OrderedBuckets(made, keys, fields, cell_ms, whole)
+    else:
+        processor = Ordered(made, keys, fields, cell_ms)
+    return kept.groupBy(*([BUCKET] if dealt else keys)).transformWithStateInPandas(
         processor, outputStructType=schema, outputMode="append", timeMode="eventTime",
         initialState=None if initial is None else initial.groupBy(*keys),
     )

@@ -305,3 +305,29 @@ def test_runs_of_a_key_are_merged_in_order(spark, monkeypatch):
     out, handle = released([*batches, ([], 2000)])
     rows = sorted((us, i) for part, _ in batches for i, us, _ in part)
     assert out == [i for _, i in rows] and len(out) > 1000 and not handle.timers
+
+
+def test_calls_of_a_bucket_do_not_grow_with_its_keys(spark):
+    fields = StructType.fromDDL("id long, us long, key string, success boolean")
+    handle = OneKey()
+    processor = O.OrderedBuckets(M.Circuit("key", ("us", "id"), threshold=2, timeout_us=60 * US), ["key"], fields, 1000, frozenset(["key"]))
+    processor.init(handle)
+    rows = [(i, (i * 7 % 300) * US, None if i % 50 == 0 else str(2**53 + i % 50), i % 3 == 0) for i in range(300)]
+    processor.handleInputRows((1,), iter([pd.DataFrame(rows, columns=fields.names)]), None)
+    out = [x for f in processor.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 600_000), None) for x in f.itertuples(index=False)]
+    assert handle.calls < 40
+    alone, want = M.Circuit("key", ("us", "id"), threshold=2, timeout_us=60 * US), set()
+    states = {}
+    for i, us, key, ok in sorted(rows, key=lambda r: (r[1], r[0])):
+        states[key], values = alone.step(states.get(key, alone.start()), SimpleNamespace(us=us, success=ok))
+        want.add((None if key is None else int(key), i, us, *values))
+    assert set(map(tuple, out)) == want and len(out) == 300
+
+
+def test_keys_of_a_stream_share_buckets(spark, tmp_path):
+    rows = [(i, (i + 1) * US, 2**60 + i % 40 if i % 40 else None, True) for i in range(200)]
+    spark.createDataFrame(rows, "id long, us long, key long, success boolean").coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    s = spark.readStream.schema("id long, us long, key long, success boolean").parquet(f"{tmp_path}/in/*").withColumn("ts", F.timestamp_micros("us"))
+    stream = O.run_ordered(s, M.Circuit, "key", "10 seconds", 1, threshold=2, timeout_us=60 * US)
+    assert O.BUCKET in stream._jdf.queryExecution().analyzed().toString()
+    assert sorted((r["id"], r["key"]) for r in drain(stream, "shared").collect()) == [(i, k) for i, _, k, _ in rows if i < 189]
