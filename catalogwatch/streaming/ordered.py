@@ -184,6 +184,9 @@ def plain_rows(frame: pd.DataFrame, fields: StructType) -> Iterator[tuple]:
     """Rows of a frame as tuples in the order of ``fields``, with None for missing values and whole numbers where they are such."""
     columns = []
     for field in fields:
+        if frame[field.name].dtype.kind in "biu":  # nothing is missing there
+            columns.append(frame[field.name].tolist())
+            continue
         values = [None if x is pd.NaT or type(x) is float and x != x else x for x in frame[field.name].tolist()]
         if isinstance(field.dataType, IntegralType):
             values = [None if x is None else int(x) for x in values]
@@ -207,6 +210,8 @@ class Ordered(StatefulProcessor):
         us, id = self.names.index("us"), self.names.index("id")
         self.order = lambda row: (row[us], row[id] is not None, row[id])
         self.time = lambda row: row[us]
+        # Does anything happen to a state between rows?
+        self.moves = isinstance(machine, Timed) or bool(machine.settings.get("idle_us"))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -336,6 +341,8 @@ class Ordered(StatefulProcessor):
 
     def _lapse(self, key, state: tuple | None, last: int | None, us: int, out: list[tuple]) -> tuple | None:
         """Everything that is due before ``us``: deadlines, and forgetting."""
+        if not self.moves:
+            return state
         while state is not None:
             deadline, forget = self._moments(state, last)
             if deadline is not None and deadline < us and (forget is None or deadline <= forget):

@@ -1,5 +1,6 @@
 """Machines over late events: any order and any cut into micro-batches within the watermark's delay give the same rows."""
 
+import os
 import random
 from types import SimpleNamespace
 
@@ -331,3 +332,23 @@ def test_keys_of_a_stream_share_buckets(spark, tmp_path):
     stream = O.run_ordered(s, M.Circuit, "key", "10 seconds", 1, threshold=2, timeout_us=60 * US)
     assert O.BUCKET in stream._jdf.queryExecution().analyzed().toString()
     assert sorted((r["id"], r["key"]) for r in drain(stream, "shared").collect()) == [(i, k) for i, _, k, _ in rows if i < 189]
+
+
+def test_state_lies_in_a_few_partitions_for_each_core(spark, tmp_path):
+    """A store is opened and committed for each partition in every micro-batch, so their number follows the cores, not the session's."""
+    name, most = "spark.sql.shuffle.partitions", 2 * spark.sparkContext.defaultParallelism
+    known = spark.conf.get(name)
+    rows, n = events(n=60), 0
+    spark.conf.set(name, 10 * most)
+    try:
+        s = land(spark, rows, f"{tmp_path}/in", 0, 1, 0)
+        stream = O.run_ordered(s, M.Fallback, "key", "300 seconds", 10, steps=M.FETCH_STEPS, refusals=M.REFUSALS)
+        out = drain(stream, "few-partitions")
+        root = os.path.dirname(out.inputFiles()[0].removeprefix("file:").replace("//", "/"))
+        n = len([x for x in os.listdir(f"{root}/../state/state/0") if x.isdigit()])
+        got = {r["id"]: (r["step"], r["timeouts"]) for r in out.collect()}
+        assert spark.conf.get(name) == str(10 * most)
+    finally:
+        spark.conf.set(name, known)
+    assert 0 < n <= most
+    assert got == folded(M.Fallback, rows, 300, 10, steps=M.FETCH_STEPS, refusals=M.REFUSALS)
