@@ -117,21 +117,22 @@ def _begin(path: str, k: int, inside: bool, depth: int, size: int, key: re.Patte
     """Offset of the array's bracket, if it lies in this range, the depth inside it, and whether it closes in this range."""
     base = k * size
     own = read_range(path, base, size)
+    back = min(BACK, base)
+    before = read_range(path, base - back, back)
+    names = list(key.finditer(before + own)) if key else []
+    if back < base and not names:  # most ranges hold neither the name nor the beginning of the document
+        return None
     s = Scan(own, _escaped_start(path, base))
     depths, outside = depth + s.depth(inside), s.outside(inside)
 
     def found(at: int, level: int) -> tuple[int, int, bool]:
         return base + at, level, bool((outside[at:] & (depths[at:] < level)).any())
 
-    back = min(BACK, base)
-    before = read_range(path, base - back, back)
     if back == base:  # a bare list is the first thing in the document
         head = (before + own).lstrip(b" \t\r\n\xef\xbb\xbf")
         if head.startswith(b"[") and len(head) <= len(own):
             return found(len(own) - len(head), 1)
-    if key is None:
-        return None
-    for m in key.finditer(before + own):
+    for m in names:
         at = m.end() - 1 - back
         name = before[: m.start()] if m.start() < back else before + own[: m.start() - back]
         quoted = (len(name) - len(name.rstrip(b"\\"))) % 2 == 0

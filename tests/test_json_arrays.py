@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 
@@ -110,3 +111,22 @@ def test_large_link_files(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"domain": "x", "links": ["https://a.ru/1", {"url": "https://a.ru/2", "title": "]"}, 7, {"title": "x"}, None]}))
     got = R.read_large_url_map(spark, str(tmp_path / "m.json"), chunk_bytes=11).orderBy("at").collect()
     assert [r["url"] for r in got] == ["https://a.ru/1", "https://a.ru/2"]
+
+
+def test_ranges_without_the_name_are_not_scanned_for_the_beginning(tmp_path, monkeypatch):
+    """Where the array begins is looked for in every range; those that can't hold it cost a search for bytes only."""
+    path = tmp_path / "one.json"
+    path.write_text(json.dumps({"before": ["x" * 20_000], "products": [{"name": 'He said "a": [{\\' * 20} for _ in range(400)]}))
+    size, real, scanned = 8192, J.Scan, []
+    name = re.compile(rb'"products"\s*:\s*\[')
+    start = path.read_bytes().index(b'"products"') + len('"products": [') - 1
+    monkeypatch.setattr(J, "Scan", lambda *a: scanned.append(k) or real(*a))
+    found, inside, depth = {}, False, 0
+    for k in range(-(-path.stat().st_size // size)):
+        if at := J._begin(str(path), k, inside, depth, size, name):
+            found[k] = at
+        data = real(J.read_range(str(path), k * size, size), J._escaped_start(str(path), k * size))
+        inside, depth = bool(data.odd[-1] != inside), depth + int(data.depth(inside)[-1])
+    assert found == {start // size: (start, 2, False)}
+    # The first range, where a bare list would begin, the one with the name, and the next if the name is close to its end.
+    assert set(scanned) <= {0, start // size, start // size + 1} and k > 10
