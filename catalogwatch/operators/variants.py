@@ -29,24 +29,50 @@ BITRIX_PRICE_PARTS = (
 BITRIX_STOCK_KEYS = ("QUANTITY", "STOCK", "QUANTITY_RESERVED", "IN_STOCK", "AVAILABLE", "TOTAL_QUANTITY")
 BITRIX_PRODUCT_STOCK = ("QUANTITY", "AVAILABLE", "QUANTITY_AVAILABLE", "STOCK")
 
+# The fields that are read of an offer, of the product within it, and of the other vendors' entries.
+BITRIX_FIELDS = (
+    "ID", "OFFER_ID", "SKU", "ARTNUMBER", "CODE", "XML_ID", "PROPERTY_NAME", "NAME", "CAN_BUY", "PRODUCT", *BITRIX_PRICE_KEYS, *BITRIX_PRICE_LISTS, *BITRIX_STOCK_KEYS,
+)
+BITRIX_PRODUCT_FIELDS = tuple(dict.fromkeys(("CAN_BUY", *BITRIX_PRODUCT_PRICES, *BITRIX_PRODUCT_STOCK)))
+PLAIN_FIELDS = (
+    "id", "variation_id", "sku", "title", "name", "label", "value", "type", "option_name", "option_values", "attributes", "price", "display_price",
+    "stock", "quantity", "inventory_quantity", "max_qty", "available",
+)
+
 MAP = "map<string,string>"
 
 
-def _entries(payload: Column, vendor: Column) -> Column:
-    """Variants of a payload as JSON texts, with the label of the option group they stand in; entries that are no objects are left out."""
+def _entries(rows: DataFrame, payload: Column) -> DataFrame:
+    """Variants of a payload as JSON texts ``_texts``, with the labels of the option groups they stand in; entries that are no objects are left out."""
     inner = F.from_json(payload, "spConfig struct<attributes:map<string,string>>, attributes map<string,string>")
     groups = F.map_values(F.coalesce(inner["spConfig"]["attributes"], inner["attributes"]))
+    # A group is read once, and not again for each of its options.
+    read = F.transform(groups, lambda t: F.from_json(t, "label string, options array<string>"))
 
-    def options(text: Column) -> Column:
-        group = F.from_json(text, "label string, options array<string>")
+    def options(group: Column) -> Column:
         return F.transform(F.coalesce(group["options"], F.array().cast("array<string>")), lambda o: F.struct(o.alias("v"), group["label"].alias("label")))
 
-    lists = F.when(vendor == "magento", F.flatten(F.transform(groups, options)))
-    none = F.lit(None).cast("string").alias("label")
+    grouped = F.filter(F.flatten(F.transform(read, options)), lambda e: e["v"].startswith("{"))
+    vendor = F.col("vendor")
+    rows = rows.withColumn("_grouped", F.when(vendor == "magento", grouped))
+    lists = F.when(vendor == "magento", F.col("_grouped.v"))
     for name, path in VARIANT_PATHS.items():
         plain = F.from_json(payload, f"`{path[2:]}` array<string>")[path[2:]]
-        lists = lists.when(vendor == name, F.transform(plain, lambda v: F.struct(v.alias("v"), none)))
-    return F.filter(lists, lambda e: e["v"].startswith("{"))
+        lists = lists.when(vendor == name, F.filter(plain, lambda v: v.startswith("{")))
+    return rows.withColumns({"_texts": lists, "_labels": F.col("_grouped.label")}).drop("_grouped")
+
+
+def _objects(rows: DataFrame, payload: Column, *keep: str) -> DataFrame:
+    """The texts of a payload's entries as maps, one a row: all in one reading, as each reading has its own cost.
+
+    A text that was quoted in the payload need not be whole JSON, so where there may be such ones each text is read by itself.
+    """
+    quoted = payload.contains('"{') | payload.contains("'{") | payload.contains("\\u00")
+    whole = F.from_json(F.concat(F.lit("["), F.array_join("_texts", ","), F.lit("]")), f"array<{MAP}>")
+    rows = rows.withColumn("_whole", F.when(~quoted, whole))
+    single = F.transform("_texts", lambda t: F.from_json(t, MAP))
+    # The choice sits in the generator: of a plain column the engine would infer a filter and read all again for it, before the rows are dealt out.
+    return rows.select(*keep, F.posexplode(F.when(F.size("_whole") == F.size("_texts"), F.col("_whole")).otherwise(single)).alias("pos", "_m"))
 
 
 def _get(doc: Column, *paths: str) -> Column:
@@ -66,42 +92,47 @@ def payload_variants(payloads: DataFrame, vendor: str, payload: str, *keep: str,
     that prices every offer. A document that isn't JSON has no rows.
     """
     base = base_price if base_price is not None else F.lit(None).cast("double")
-    entries = F.posexplode(_entries(F.col(payload), F.col(vendor))).alias("pos", "_e")
-    rows = payloads.select(*keep, F.col(vendor).alias("vendor"), base.alias("_base"), entries)
-    # An entry is read once into the texts of its fields, and so is the product within it: a field that isn't there costs a look
-    # at the names, and only what is an object itself is read on.
-    rows = rows.select(*keep, "vendor", "pos", "_base", F.from_json("_e.v", MAP).alias("_m"), F.col("_e.label").alias("_label"))
-    rows = rows.select("*", F.from_json(F.try_element_at("_m", F.lit("PRODUCT")), MAP).alias("_p"))
+    rows = payloads.select(*keep, F.col(vendor).alias("vendor"), base.alias("_base"), F.col(payload).alias("_payload"))
+    rows = _objects(_entries(rows, F.col("_payload")), F.col("_payload"), *keep, "vendor", "_base", "_labels")
+    of = lambda name, c: F.when(F.col("vendor") == name, c)
+
+    def picked(fields: str, names: Sequence[str]) -> Column:
+        """The named fields of a map by their places; names differ in their case alone."""
+        return F.struct(*[F.try_element_at(fields, F.lit(n)).alias(f"f{i}") for i, n in enumerate(names)])
+
+    # Each field is looked up once, and only those of the row's kind of vendor; what is an object within an entry is read once.
+    rows = rows.select(
+        *keep, "vendor", "pos", "_base", F.try_element_at("_labels", F.col("pos") + 1).alias("_label"),
+        of("bitrix", picked("_m", BITRIX_FIELDS)).alias("_offer"), F.when(F.col("vendor") != "bitrix", picked("_m", PLAIN_FIELDS)).alias("_plain"),
+    )
+    offer = lambda name: F.col(f"_offer.f{BITRIX_FIELDS.index(name)}")
+    plain = lambda name: F.col(f"_plain.f{PLAIN_FIELDS.index(name)}")
+    product = lambda name: F.col(f"_product.f{BITRIX_PRODUCT_FIELDS.index(name)}")
+    rows = rows.withColumn("_p", F.from_json(offer("PRODUCT"), MAP)).withColumn("_product", F.when(F.col("_p").isNotNull(), picked("_p", BITRIX_PRODUCT_FIELDS))).drop("_p")
 
     def inner(text: Column, kind: str) -> Column:
         return F.when(text.startswith("[" if kind.startswith("array") else "{"), F.from_json(text, kind))
 
-    def field(name: str) -> Column:
-        """A field's text by its path: names, and ``[0]`` for the first of a list."""
-        fields, name = ("_p", name[8:]) if name.startswith("PRODUCT.") else ("_m", name)
-        first, listed, more = re.fullmatch(r"(\w+)(\[0\])?(?:\.(\w+))?", name).groups()
-        value = F.try_element_at(fields, F.lit(first))
-        if listed:
-            value = F.try_element_at(inner(value, "array<string>"), F.lit(1))
-        return F.try_element_at(inner(value, MAP), F.lit(more)) if more else value
-
-    def raw(*names: str) -> Column:
+    def said(*fields: Column) -> Column:
         """The first of the fields that says anything."""
-        return F.try_element_at(F.filter(F.array(*map(field, names)), lambda x: x != ""), F.lit(1))
+        return F.coalesce(*[F.when(x != "", x) for x in fields])
 
-    empty = F.array().cast("array<string>")
+    def raw(*names: str) -> Column:
+        return said(*map(plain, names))
 
-    def parts_of(text: Column) -> Column:
-        """Prices among the fields of an object, read once."""
-        return F.flatten(F.transform(F.array(F.from_json(text, MAP)), lambda m: F.array(*[F.try_element_at(m, F.lit(k)) for k in BITRIX_PRICE_PARTS])))
+    def parts(m: Column) -> Column:
+        """Prices among the fields of an object."""
+        return F.array(*[F.try_element_at(m, F.lit(k)) for k in BITRIX_PRICE_PARTS])
 
-    def price_texts(name: str, listed: bool = False) -> Column:
+    def price_texts(x: Column) -> Column:
         """What may be a price below a field: its own text, the parts of an object, or those of a list's objects."""
-        value = field(name)
-        texts = F.when(value.isNull(), empty).when(value.startswith("{"), parts_of(value))
-        if listed:
-            texts = texts.when(value.startswith("["), F.flatten(F.transform(F.from_json(value, "array<string>"), parts_of)))
-        return texts.otherwise(F.array(value))
+        listed = F.flatten(F.transform(F.transform(x["texts"], lambda t: F.from_json(t, MAP)), parts))
+        return F.when(x["text"].startswith("{"), parts(x["fields"])).when(x["listed"] & x["text"].startswith("["), listed).otherwise(F.array(x["text"]))
+
+    def currency(x: Column) -> Column:
+        """The currency that an object or a list's first object names."""
+        head = F.try_element_at(x["texts"], F.lit(1))
+        return F.when(~x["listed"], F.try_element_at(x["fields"], F.lit("CURRENCY"))).otherwise(F.try_element_at(inner(head, MAP), F.lit("CURRENCY")))
 
     def first_of(texts: Column, read) -> Column:
         """What is read from the first text that can be read."""
@@ -118,19 +149,27 @@ def payload_variants(payloads: DataFrame, vendor: str, payload: str, *keep: str,
 
     zero = F.lit(0.0)
     none = F.lit(None).cast("string")
-    # In the order in which they count.
-    prices = [
-        *map(price_texts, BITRIX_PRICE_KEYS), *[price_texts(k, True) for k in BITRIX_PRICE_LISTS], *[price_texts(f"PRODUCT.{k}") for k in BITRIX_PRODUCT_PRICES],
-    ]
-    stocks = [field(k) for k in (*BITRIX_STOCK_KEYS, *(f"PRODUCT.{k}" for k in BITRIX_PRODUCT_STOCK))]
-    barred = F.coalesce(F.upper(raw("PRODUCT.CAN_BUY")).isin("N", "FALSE"), F.lit(False)) | F.coalesce(F.upper(raw("CAN_BUY")).isin("N", "FALSE"), F.lit(False))
-    money = [f"{k}.CURRENCY" for k in BITRIX_PRICE_KEYS] + [f"{k}[0].CURRENCY" for k in BITRIX_PRICE_LISTS] + [f"PRODUCT.{k}.CURRENCY" for k in BITRIX_PRODUCT_PRICES]
-    chosen = F.array_join(F.map_values(inner(field("attributes"), MAP)), " ")
+    # In the order in which they count. Most of them aren't there, so those that are there are picked first and read once.
+    named = [*[(offer(k), False) for k in BITRIX_PRICE_KEYS], *[(offer(k), True) for k in BITRIX_PRICE_LISTS], *[(product(k), False) for k in BITRIX_PRODUCT_PRICES]]
+    priced = F.array(*[F.struct(c.alias("text"), F.lit(listed).alias("listed")) for c, listed in named])
+    stocks = F.array(*map(offer, BITRIX_STOCK_KEYS), *map(product, BITRIX_PRODUCT_STOCK))
+
+    def opened(x: Column) -> Column:
+        texts = F.when(x["listed"] & x["text"].startswith("["), F.from_json(x["text"], "array<string>"))
+        return F.struct(x["text"], x["listed"], inner(x["text"], MAP).alias("fields"), texts.alias("texts"))
+
+    rows = rows.withColumns({
+        "_priced": of("bitrix", F.transform(F.filter(priced, lambda x: x["text"].isNotNull()), opened)),
+        "_option": of("insales", inner(F.try_element_at(inner(plain("option_values"), "array<string>"), F.lit(1)), MAP)),
+    })
+    option = lambda name: F.try_element_at("_option", F.lit(name))
+    barred = F.coalesce(F.upper(said(product("CAN_BUY"))).isin("N", "FALSE"), F.lit(False)) | F.coalesce(F.upper(said(offer("CAN_BUY"))).isin("N", "FALSE"), F.lit(False))
+    chosen = F.array_join(F.map_values(inner(plain("attributes"), MAP)), " ")
     kinds = {
         "insales": {
             "variation_id": raw("id"), "sku": raw("sku"),
-            "type": raw("option_values[0].option_name", "option_values[0].name", "option_values[0].option", "option_name"),
-            "value": clean_text(raw("title", "option_values[0].title", "option_values[0].value")),
+            "type": said(*map(option, ("option_name", "name", "option")), plain("option_name")),
+            "value": clean_text(said(plain("title"), option("title"), option("value"))),
             "price": F.coalesce(to_number(raw("price")), F.col("_base")), "stock": F.coalesce(to_number(raw("quantity")), zero), "currency": none,
         },
         "shopify": {
@@ -138,11 +177,11 @@ def payload_variants(payloads: DataFrame, vendor: str, payload: str, *keep: str,
             "price": F.coalesce(to_number(raw("price")), zero) / 100, "stock": F.coalesce(to_number(raw("inventory_quantity")), zero), "currency": none,
         },
         "bitrix": {
-            "variation_id": raw("ID", "OFFER_ID"), "sku": raw("SKU", "ARTNUMBER", "CODE", "XML_ID", "ID"), "type": raw("PROPERTY_NAME"),
-            "value": clean_text(raw("NAME")),
-            "price": first_of(F.flatten(F.array(*prices)), goods.clean_price),
-            "stock": F.coalesce(first_of(F.array(*stocks), quantity), F.when(barred, zero)),
-            "currency": raw(*money),
+            "variation_id": said(offer("ID"), offer("OFFER_ID")), "sku": said(*map(offer, ("SKU", "ARTNUMBER", "CODE", "XML_ID", "ID"))),
+            "type": said(offer("PROPERTY_NAME")), "value": clean_text(said(offer("NAME"))),
+            "price": first_of(F.flatten(F.transform("_priced", price_texts)), goods.clean_price),
+            "stock": F.coalesce(first_of(stocks, quantity), F.when(barred, zero)),
+            "currency": F.try_element_at(F.filter(F.transform("_priced", currency), lambda c: c != ""), F.lit(1)),
         },
         "generic": {
             "variation_id": raw("id", "variation_id"), "sku": raw("sku"), "type": raw("type"), "value": raw("name", "title", "label", "value"),
@@ -162,11 +201,12 @@ def payload_variants(payloads: DataFrame, vendor: str, payload: str, *keep: str,
     for name, columns in kinds.items():
         made = F.struct(*[c.alias(n) for n, c in columns.items()])
         entry = F.when(F.col("vendor") == name, made) if entry is None else entry.when(F.col("vendor") == name, made)
-    available = F.coalesce(field("available") == "true", F.lit(False))
-    # An offer without a price is dropped for the vendor that prices every offer; the test sits in the generator, as a
-    # filter behind the projection would be pushed down and read the JSON again.
-    kept = F.filter(F.array(entry), lambda e: (F.col("vendor") != "bitrix") | e["price"].isNotNull())
-    out = rows.select(*keep, "vendor", "pos", available.alias("_available"), F.explode(kept).alias("_e"))
+    available = F.coalesce(plain("available") == "true", F.lit(False))
+    rows = rows.select(*keep, "vendor", "pos", available.alias("_available"), entry.alias("_e"))
+    # An offer without a price is dropped for the vendor that prices every offer; the test sits in a generator, as a
+    # filter behind the projection would be pushed down and read the prices again.
+    kept = F.when((F.col("vendor") != "bitrix") | F.col("_e.price").isNotNull(), F.array("_e"))
+    out = rows.select(*keep, "vendor", "pos", "_available", F.explode(kept).alias("_e"))
     positive = F.col("_e.stock") > 0
     flag = F.when(F.col("vendor") == "insales", positive | F.col("_available")).otherwise(F.col("_e.stock").isNull() | positive)
     return out.select(
