@@ -7,7 +7,8 @@ than one run. A machine may name a moment at which it speaks by itself (a deadli
 forgotten; the timer is set for these too.
 
 A call costs some milliseconds, however few rows it brings. So keys that have few rows each are dealt into buckets by their hash: a
-bucket's rows wait together, and it has the timer and holds the states of its keys.
+bucket's rows wait together, and it has the timer and holds the states of its keys. Where these begin with a table, the bucket
+holds them in pages, so that the work follows the micro-batch and not the table.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from __future__ import annotations
 import bisect
 import heapq
 import pickle
+import zlib
 from collections import namedtuple
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,6 +35,8 @@ OUT_ROWS = 5000
 # Groups of keys: a call for each of them in a micro-batch, whatever the number of keys.
 BUCKETS = 1024
 BUCKET = "_bucket"
+# Keys of a page at most, on the average of a bucket.
+PAGE_KEYS = 128
 # What is known of a run: its number, its first chunk, its rows, and the time of the first one.
 RUN, CHUNK_AT, N, US = range(4)
 
@@ -237,14 +241,6 @@ class Ordered(StatefulProcessor):
         self._wait(timer, timer, last, runs)
         return iter(())
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        state, names = self._load(), list(initialState.columns)
-        Row = namedtuple("Row", names)
-        for values in plain_rows(initialState, StructType([self.fields[n] if n in self.names else StructField(n, StringType()) for n in names])):
-            state = self.machine.known(state, Row(*values))
-        if state is not None:
-            self.state.update(state)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         machine, state, out = self.machine, self._load(), []
         timer, last, runs = self._waiting()
@@ -356,6 +352,18 @@ class Ordered(StatefulProcessor):
         return state
 
 
+class Pages(dict):
+    """The pages that were read of a bucket's states, by number: states and times of last rows by key.
+
+    ``count`` is the number of all pages, ``keys`` that of the keys on pages that were not read, and ``firsts`` has the first moment
+    of every page with any.
+    """
+
+    def __init__(self, count: int = 1, keys: int = 0, firsts: dict[int, int] | None = None) -> None:
+        super().__init__()
+        self.count, self.keys, self.firsts = count, keys, firsts or {}
+
+
 class OrderedBuckets(Ordered):
     """As :class:`Ordered` for every key of a bucket. ``fields`` hold the keys too; those among ``whole`` are whole numbers as texts.
 
@@ -365,14 +373,19 @@ class OrderedBuckets(Ordered):
 
     def __init__(self, machine: Machine, keys: list[str], fields: StructType, cell_ms: int, whole: frozenset[str] = frozenset()) -> None:
         super().__init__(machine, keys, fields, cell_ms)
-        places = [(self.names.index(k), k in whole) for k in keys]
-        self.key_of = lambda row: tuple(int(row[i]) if number and row[i] is not None else row[i] for i, number in places)
+        self.whole = whole
+        self.key_of = self._key_of(self.names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.states = handle.getValueState("states", "held binary")
         self.rows = handle.getMapState("packed", "run bigint, chunk bigint", "rows binary")
 
+    def _key_of(self, names: list[str]) -> Callable[[tuple], tuple]:
+        """What takes the key out of a row with columns of these names."""
+        places = [(names.index(k), k in self.whole) for k in self.keys]
+        return lambda row: tuple(int(row[i]) if number and row[i] is not None else row[i] for i, number in places)
+
     def _packed(self, rows: list[tuple]):
         return pickle.dumps(rows, pickle.HIGHEST_PROTOCOL)
 
@@ -384,13 +397,13 @@ class OrderedBuckets(Ordered):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         machine, out = self.machine, []
-        known = self.states.get()
-        held: dict[tuple, tuple] = {} if known is None else self._unpacked(known[0])
         timer, _, runs = self._waiting()
         edge = timerValues.getCurrentWatermarkInMs() // self.cell_ms * self.cell_us
+        pages = self._pages(edge)
         Row = namedtuple("Row", self.names, rename=True)
         for values in heapq.merge(*(self._due(run, edge) for run in runs), key=self.order):
             row, one = Row(*values), self.key_of(values)
+            held = self._page(pages, one)
             state, last = held.get(one, (None, None))
             state = self._lapse(one, state, last, row.us, out)
             state, values = machine.step(machine.start() if state is None else state, row)
@@ -400,25 +413,110 @@ class OrderedBuckets(Ordered):
             if len(out) >= OUT_ROWS:
                 yield self._frame(out)
                 out = []
-        first = None
-        for one, (state, last) in list(held.items()):
-            state = self._lapse(one, state, last, edge, out)
-            if state is None:
-                del held[one]
-                continue
-            held[one] = state, last
-            first = min((m for m in (first, *self._moments(state, last)) if m is not None), default=None)
-            if len(out) >= OUT_ROWS:
-                yield self._frame(out)
-                out = []
-        if held:
-            self.states.update((self._packed(held),))
-        else:
-            self.states.clear()
-        self._wait(None, None if first is None else (first // self.cell_us + 1) * self.cell_ms, None, [run for run in runs if run[N]])
+        for held in pages.values():
+            for one, (state, last) in list(held.items()):
+                state = self._lapse(one, state, last, edge, out)
+                if state is None:
+                    del held[one]
+                    continue
+                held[one] = state, last
+                if len(out) >= OUT_ROWS:
+                    yield self._frame(out)
+                    out = []
+        self._wait(None, self._timer(self._keep(pages)), None, [run for run in runs if run[N]])
         if out:
             yield self._frame(out)
 
+    def _timer(self, moment: int | None) -> int | None:
+        return None if moment is None else (moment // self.cell_us + 1) * self.cell_ms
+
+    def _first(self, held: dict[tuple, tuple]) -> int | None:
+        """The first moment of these states."""
+        return min((m for state, last in held.values() for m in self._moments(state, last) if m is not None), default=None)
+
+    def _pages(self, edge: int | None) -> Pages:
+        """States, of which those are read that have a moment before ``edge``: here all, as one page."""
+        known, pages = self.states.get(), Pages()
+        pages[0] = {} if known is None else self._unpacked(known[0])
+        return pages
+
+    def _page(self, pages: Pages, one: tuple) -> dict[tuple, tuple]:
+        """The page that a key belongs to."""
+        return pages[0]
+
+    def _keep(self, pages: Pages) -> int | None:
+        """Writes pages back, and gives the first moment of all."""
+        if pages[0]:
+            self.states.update((self._packed(pages[0]),))
+        else:
+            self.states.clear()
+        return self._first(pages[0])
+
+
+class OrderedTable(OrderedBuckets):
+    """As :class:`OrderedBuckets` for keys whose states begin with a table.
+
+    States lie in pages by the hash of their key. A firing reads and writes the pages of the keys that it has rows of, and those
+    with a moment that has come. Whenever there are ``PAGE_KEYS`` keys more, one page is split in two, each in its turn, so that a
+    bucket is never dealt anew as a whole.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.held = handle.getMapState("pages", "page bigint", "held binary")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        names, pages = [n for n in initialState.columns if n != BUCKET], self._pages(None)
+        Row, key_of = namedtuple("Row", names, rename=True), self._key_of(names)
+        for values in plain_rows(initialState, StructType([self.fields[n] if n in self.names else StructField(n, StringType()) for n in names])):
+            one = key_of(values)
+            held = self._page(pages, one)
+            held[one] = self.machine.known(held.get(one, (None,))[0], Row(*values)), None
+        timer, last, runs = self._waiting()
+        self._wait(timer, self._timer(self._keep(pages)), last, runs)
+
+    def _pages(self, edge: int | None) -> Pages:
+        known = self.states.get()
+        pages = Pages() if known is None else Pages(*self._unpacked(known[0]))
+        for at in [at for at, first in pages.firsts.items() if edge is not None and first < edge]:
+            self._read(pages, at)
+        return pages
+
+    def _page(self, pages: Pages, one: tuple) -> dict[tuple, tuple]:
+        at = self._page_at(one, pages.count)
+        return pages[at] if at in pages else self._read(pages, at)
+
+    def _page_at(self, one: tuple, count: int) -> int:
+        """The number of a key's page among ``count``. Pages from a power of two on were split off those that stand as far from 0."""
+        whole = 1 << count.bit_length() - 1
+        at = zlib.crc32(repr(one).encode()) % (2 * whole)
+        return at if at < count else at - whole
+
+    def _read(self, pages: Pages, at: int) -> dict[tuple, tuple]:
+        known = self.held.getValue((at,))
+        pages[at] = {} if known is None else self._unpacked(known[0])
+        pages.keys -= len(pages[at])
+        return pages[at]
+
+    def _split(self, pages: Pages) -> None:
+        """Makes one page more. The keys that belong there now all come from one page."""
+        new, old = pages.count, pages.count - (1 << pages.count.bit_length() - 1)
+        held = pages[old] if old in pages else self._read(pages, old)
+        pages.count += 1
+        pages[new] = {one: held.pop(one) for one in list(held) if self._page_at(one, pages.count) == new}
+
+    def _keep(self, pages: Pages) -> int | None:
+        keys = pages.keys + sum(map(len, pages.values()))
+        while keys > pages.count * PAGE_KEYS:
+            self._split(pages)
+        for at, held in pages.items():
+            pages.firsts.pop(at, None)
+            if (first := self._first(held)) is not None:
+                pages.firsts[at] = first
+            self.held.updateValue((at,), (self._packed(held),))
+        self.states.update((self._packed((pages.count, keys, pages.firsts)),))
+        return min(pages.firsts.values(), default=None)
+
 
 def run_ordered(
     events: DataFrame, machine: type[Machine], keys: str | list[str], late: str | None, cell_seconds: float = 1.0, ts: str = "ts",
@@ -435,23 +533,21 @@ def run_ordered(
     keys = [keys] if isinstance(keys, str) else list(keys)
     kept = events.where(F.col(ts).isNotNull() & F.col("us").isNotNull())
     kept = kept.withWatermark(ts, late) if late else kept
-    # A table of earlier rows is state by key, so that the work follows the micro-batch and not the table.
-    dealt = initial is None
-    fields = StructType([f for f in events.schema.fields if f.name != ts and (dealt or f.name not in keys)])
     made = machine(keys[0], ("us", "id"), **settings)
     values = made.output() if isinstance(made, Changes) else OUTPUT[machine]
     kinds = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{kinds}, id {events.schema['id'].dataType.simpleString()}, us bigint, {values}"
     cell_ms = int(cell_seconds * 1000)
-    if dealt:
-        # As texts, since pandas makes whole numbers beside nulls inexact.
-        whole = frozenset(k for k in keys if isinstance(events.schema[k].dataType, IntegralType))
-        kept = kept.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))).withColumns({k: F.col(k).cast("string") for k in whole})
-        fields = StructType([StructField(f.name, StringType()) if f.name in whole else f for f in fields])
-        processor: Ordered = OrderedBuckets(made, keys, fields, cell_ms, whole)
-    else:
-        processor = Ordered(made, keys, fields, cell_ms)
-    return kept.groupBy(*([BUCKET] if dealt else keys)).transformWithStateInPandas(
-        processor, outputStructType=schema, outputMode="append", timeMode="eventTime",
-        initialState=None if initial is None else initial.groupBy(*keys),
+    # As texts, since pandas makes whole numbers beside nulls inexact.
+    whole = frozenset(k for k in keys if isinstance(events.schema[k].dataType, IntegralType))
+    fields = StructType([StructField(f.name, StringType()) if f.name in whole else f for f in events.schema.fields if f.name != ts])
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))).withColumns({k: F.col(k).cast("string") for k in whole})
+
+    if initial is not None:
+        initial = dealt(initial.withColumns({k: F.col(k).cast(events.schema[k].dataType) for k in keys})).groupBy(BUCKET)
+    processor = (OrderedBuckets if initial is None else OrderedTable)(made, keys, fields, cell_ms, whole)
+    return dealt(kept).groupBy(BUCKET).transformWithStateInPandas(
+        processor, outputStructType=schema, outputMode="append", timeMode="eventTime", initialState=initial
     )

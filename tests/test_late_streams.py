@@ -352,3 +352,116 @@ def test_state_lies_in_a_few_partitions_for_each_core(spark, tmp_path):
         spark.conf.set(name, known)
     assert 0 < n <= most
     assert got == folded(M.Fallback, rows, 300, 10, steps=M.FETCH_STEPS, refusals=M.REFUSALS)
+
+
+PAGE = "fetched_at string, price double, availability string, title string"
+
+
+def pages_of(rng, ids, n, low, high):
+    """Rows of ``n`` pages at most, some of them with no address, with several rows each."""
+    keys = [None, *(2**60 + i for i in range(n))]
+    return [
+        (rng.choice(keys), i, rng.randint(low, high) * US, "f", rng.choice([None, 1.0, 2.0]), rng.choice(["x", None]), rng.choice(["t", ""]))
+        for i in ids
+    ]
+
+
+def changed(old, new, edge):
+    """Rows before ``edge`` beside the row before them, page by page, as (id, known, price before, price)."""
+    states, out = {}, set()
+    for r in sorted(old, key=lambda r: (r[2], r[1])):
+        states[r[0]] = r
+    for r in sorted(new, key=lambda r: (r[2], r[1])):
+        if r[2] < edge and (r[0] not in states or (states[r[0]][2], states[r[0]][1]) < (r[2], r[1])):
+            before = states.get(r[0])
+            out.add((r[0], r[1], before is not None, before[4] if before else None, r[4]))
+            states[r[0]] = r
+    return out
+
+
+def test_pages_of_a_table_share_buckets(spark, tmp_path, monkeypatch):
+    """A call costs some milliseconds: pages that begin with a table are dealt into buckets as others are."""
+    monkeypatch.setattr(O, "BUCKETS", 3)
+    rng, name = random.Random(6), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    ddl, old = f"key long, id long, us long, {PAGE}", pages_of(rng, range(2000), 1200, 1, 900)
+    new = pages_of(rng, range(2000, 5000), 1500, 800, 2000)
+    new.append((2**60, 5000, 2400 * US, "f", 1.0, "x", "t"))
+    known = spark.conf.get(name)
+    spark.conf.set(name, 100)
+    try:
+        for k, cuts in enumerate([[0, 3001], [0, 700, 2200, 3001]]):
+            arriving = sorted(new, key=lambda r: (r[2] + rng.uniform(0, 290) * US))
+            for at, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                spark.createDataFrame(arriving[a:b], ddl).coalesce(1).write.parquet(f"{tmp_path}/{k}/{at:03d}")
+            s = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{k}/*").withColumn("ts", F.timestamp_micros("us"))
+            stream = O.run_ordered(s, O.Changes, "key", "300 seconds", 10, initial=spark.createDataFrame(old, ddl), fields=PAGE)
+            assert O.BUCKET in stream._jdf.queryExecution().analyzed().toString()
+            got = [(r["key"], r["id"], r["known"], r["prev_price"], r["curr_price"]) for r in drain(stream, "pages").collect()]
+            assert set(got) == changed(old, new, 2100 * US) and len(got) == len(set(got)) > 2500
+    finally:
+        spark.conf.set(name, known)
+
+
+def fired(processor, handle, mark):
+    """Rows that come out of a bucket's timer when the watermark stands at ``mark`` seconds."""
+    out, times = [], SimpleNamespace(getCurrentWatermarkInMs=lambda: mark * 1000)
+    while handle.timers and min(handle.timers) <= mark * 1000:
+        at = min(handle.timers)
+        for frame in processor.handleExpiredTimer((1,), times, None):
+            out.extend(frame.itertuples(index=False))
+        handle.timers.discard(at)
+    return out
+
+
+def bucket_with_table(old, frames, **settings):
+    fields = StructType.fromDDL(f"key string, id long, us long, {PAGE}")
+    handle = OneKey()
+    processor = O.OrderedTable(O.Changes("key", ("us", "id"), fields=PAGE, **settings), ["key"], fields, 1000, frozenset(["key"]))
+    processor.init(handle)
+    rows = [(1, *r[1:], None if r[0] is None else str(r[0])) for r in old]  # in another order, with the bucket
+    for at in range(0, len(rows), frames):
+        processor.handleInitialState((1,), pd.DataFrame(rows[at : at + frames], columns=[O.BUCKET, *fields.names[1:], "key"]), None)
+
+    def batch(new, mark):
+        if new:
+            processor.handleInputRows((1,), iter([pd.DataFrame([(None if r[0] is None else str(r[0]), *r[1:]) for r in new], columns=fields.names)]), None)
+        return {(r.key, r.id, r.known, r.prev_price, r.curr_price) for r in fired(processor, handle, mark)}
+
+    return processor, handle, batch
+
+
+def test_work_follows_the_micro_batch_and_not_the_table(spark):
+    old = [(i, i, US, "f", 1.0, "x", "t") for i in range(20_000)]
+    processor, handle, batch = bucket_with_table(old, 7000)
+    held = {at: len(processor._unpacked(v[0])) for (at,), v in processor.held.entries.items()}
+    assert sum(held.values()) == 20_000 and len(held) >= 20_000 // O.PAGE_KEYS and max(held.values()) < 4 * O.PAGE_KEYS
+    handle.calls = 0
+    new = [(7, 20_000, 5 * US, "f", 2.0, "x", "t"), (None, 20_001, 6 * US, "f", 3.0, "x", "t"), (7, 20_002, 7 * US, "f", 4.0, "x", "t")]
+    assert batch(new, 100) == {(7, 20_000, True, 1.0, 2.0), (None, 20_001, False, None, 3.0), (7, 20_002, True, 2.0, 4.0)}
+    assert handle.calls < 30 and not handle.timers
+
+
+@pytest.mark.parametrize("size", [1, 4, 128])
+def test_pages_split_as_keys_come(spark, monkeypatch, size):
+    monkeypatch.setattr(O, "PAGE_KEYS", size)
+    rng = random.Random(size)
+    old, new = pages_of(rng, range(300), 150, 1, 90), pages_of(rng, range(300, 1500), 600, 100, 1000)
+    processor, handle, batch = bucket_with_table(old, 50)
+    got, arriving = set(), sorted(new, key=lambda r: r[2] + rng.uniform(0, 40) * US)
+    for at in range(0, len(arriving), 60):
+        got |= batch(arriving[at : at + 60], min((r[2] for r in arriving[at + 60 :]), default=2000 * US) // US - 1)
+    assert got == changed(old, new, 2000 * US) and len(got) > 1000
+    count, keys, firsts = processor._unpacked(processor.states.get()[0])
+    held = [processor._unpacked(v[0]) for v in processor.held.entries.values()]
+    assert keys == sum(map(len, held)) == len({r[0] for r in [*old, *new]}) <= count * size and not firsts
+
+
+def test_idle_pages_of_a_table_are_forgotten(spark):
+    processor, handle, batch = bucket_with_table([(k, k, US, "f", 1.0, "x", "t") for k in range(500)], 500, idle_us=100 * US)
+    assert len(batch([(k, 500 + k, 50 * US, "f", 2.0, "x", "t") for k in (3, 4)], 60)) == 2
+    assert len(handle.timers) == 1 and batch([], 300) == set() and not handle.timers
+    held = {one[0] for v in processor.held.entries.values() for one in processor._unpacked(v[0])}
+    assert held == set(range(500)) - {3, 4}  # what the table holds had no row that it could be idle after
+    assert batch([(3, 1003, 310 * US, "f", 5.0, "x", "t"), (9, 1009, 310 * US, "f", 5.0, "x", "t")], 320) == {
+        (3, 1003, False, None, 5.0), (9, 1009, True, 1.0, 5.0)
+    }
